@@ -4,27 +4,30 @@
    shingles (64-bit hashes), a digest of the set, ``K`` minima, ``K / ROWS``
    band keys from the whole minima, and a signature of the lowest ``BITS`` bits
    of each minimum, packed. Documents with one set count once from there on.
-2. Documents that share a band key are candidates. Within a band's bucket they
-   are paired with one hub, never all with all; pairs whose similarity, as
-   estimated from equal signature slots and corrected for chance collisions, is
-   too low go. What stays is confirmed on the full sets, which are made again
-   from the texts of the candidates alone.
-3. Hubs change for a few rounds. Then what is left, members of one bucket that
-   still have different labels, is compared by signature in blocks of bounded
-   size, confirmed, and united. So within a bucket every two documents were
-   compared, or are known to be in one component.
-
-At similarity 0.8 a pair shares none of 32 bands of 4 rows once in 2*10^7; the
-margin of the estimate is six standard deviations.
+2. Documents that share a band key are candidates. Their similarity is
+   estimated by counting the signature slots that are equal, corrected for
+   those equal by chance; estimates within six standard deviations of the
+   threshold pass. Members of a bucket meet its first member; those that remain
+   under other labels are compared in cells of two bounded blocks, which give
+   only the edges that join something. The components of what passed are
+   families: two documents that share a bucket and might be similar enough are
+   in one.
+3. Families are confirmed on full sets, made again from their texts alone, in
+   cells of two bounded blocks. A cell tells the links that join something, so
+   its output grows with its members and not with their pairs. Families of
+   many blocks first meet their first member, so that cells compare only what
+   is not united yet.
+
+At similarity 0.8 a pair shares none of 32 bands of 4 rows once in 2*10^7.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkglass.llm import wordhash as wh
@@ -32,22 +35,24 @@ from inkglass.llm.components import components
 from inkglass.session import scratch_dir, ship, stored
 
 K, ROWS, BITS = 128, 4, 4
-STAR_ROUNDS = 3
-BLOCK = 512  # members compared at once
+BLOCK = 256  # members of a block,
+BLOCK_SHINGLES = 1_000_000  # and about so many shingles
 BROADCAST_IDS = 1_000_000  # at most this many ids are broadcast; beyond it, a shuffle join
-PER_TASK = 500  # members confirmed against one copy of a hub's set
+PER_TASK = 500  # members confirmed against one copy of a first member's set
+SLICE = 500  # texts hashed at once
 
 _rng = np.random.Generator(np.random.PCG64(20250101))
 _A = _rng.integers(0, 2**32, K, dtype=np.uint32)[:, None] | np.uint32(1)
 _B = _rng.integers(0, 2**32, K, dtype=np.uint32)[:, None]
 _SALT = wh.mix(np.arange(1, K // ROWS + 1, dtype=np.uint64))
+_ONES = 0x1111111111111111
 
 
 def minima(s: np.ndarray) -> np.ndarray:
     x = (s >> np.uint64(32)).astype(np.uint32)
     low = np.full(K, 2**32 - 1, np.uint32)
-    for k in range(0, len(x), 1024):
-        np.minimum(low, (x[None, k : k + 1024] * _A + _B).min(axis=1), out=low)
+    for k in range(0, len(x), 512):
+        np.minimum(low, (x[None, k : k + 512] * _A + _B).min(axis=1), out=low)
     return low
 
 
@@ -60,45 +65,59 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def pack(low: np.ndarray) -> np.ndarray:
-    """The lowest BITS bits of each minimum, after mixing, packed into bytes."""
+    """The lowest BITS bits of each minimum, after mixing: K * BITS / 64 words."""
     bits = (wh.mix(low.astype(np.uint64)) & np.uint64(2**BITS - 1)).astype(np.uint8)
-    return (bits[:, ::2] << BITS) | bits[:, 1::2]
+    return np.ascontiguousarray((bits[:, ::2] << BITS) | bits[:, 1::2]).view("<i8")
+
+
+_CHANCE = 2.0**-BITS
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from packed signatures: the share of equal slots, corrected
     for slots that are equal by chance."""
-    x = a ^ b
-    same = ((x & 15) == 0).sum(axis=-1) + ((x >> 4) == 0).sum(axis=-1)
-    chance = 2.0**-BITS
-    return np.maximum(0, (same / K - chance) / (1 - chance))
+    x = (a ^ b).view(np.uint64)
+    x = x | x >> np.uint64(1)
+    x = (x | x >> np.uint64(2)) & np.uint64(_ONES)
+    return np.maximum(0, (1 - np.bitwise_count(x).sum(axis=-1, dtype=np.int64) / K - _CHANCE) / (1 - _CHANCE))
+
+
+def estimated(a: Column, b: Column) -> Column:
+    """The same, in SQL, for arrays of words."""
+
+    def other(i: int) -> Column:
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(_ONES)))
+
+    same = 1 - sum((other(i) for i in range(K * BITS // 64)), F.lit(0)) / K
+    return F.greatest(F.lit(0.0), (same - _CHANCE) / (1 - _CHANCE))
 
 
 def floor_of(threshold: float) -> float:
     """Six standard deviations under the threshold."""
-    chance = 2.0**-BITS
-    p = threshold + (1 - threshold) * chance
-    return threshold - 6 * (p * (1 - p) / K) ** 0.5 / (1 - chance)
+    p = threshold + (1 - threshold) * _CHANCE
+    return threshold - 6 * (p * (1 - p) / K) ** 0.5 / (1 - _CHANCE)
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary"
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig array<long>"
 
 
 def _sign(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), wh.utf8(batch.column(1))
-            for lo in range(0, len(texts), 1000):
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
                 with np.errstate(over="ignore"):
-                    sets = wh.shingle_sets(texts[lo : lo + 1000], n)
+                    sets = wh.shingle_sets(wh.utf8(part.column(1)), n)
                     low = np.stack([minima(s) for s in sets])
                     keys, sig = band_keys(low), pack(low)
                     a = [int(wh.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                     b = [int(wh.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 yield pa.record_batch(
                     [
-                        pa.array(ids[lo : lo + 1000], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                        pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary()),
+                        part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                        pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())), pa.array(sig.tolist(), pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
                 )
@@ -106,138 +125,121 @@ def _sign(n: int):
     return run
 
 
-def _near(floor: float):
-    @F.pandas_udf("boolean")
-    def near(a, b):
-        import pandas as pd
+def _similar(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return bool(both) and 100 * both >= per_cent * (len(a) + len(b) - both)
 
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-        return pd.Series(estimate(x, y) >= floor)
 
-    return near
-
-
-def _confirm(n: int, per_cent: int):
-    """Rows (hub, part, kind, id, text), the hub's own row first in each (hub, part)."""
+def _meet_first(n: int, per_cent: int):
+    """Rows (family, part, kind, node, text), the family's first member's first
+    in each (family, part): the members that are linked to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for batch in batches:
-            hubs, parts, kinds, ids = (batch.column(i).to_pylist() for i in range(4))
-            texts, a, b = wh.utf8(batch.column(4)), [], []
-            for lo in range(0, len(texts), 1000):
+            a, b = [], []
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                families, parts, kinds, nodes = (part.column(i).to_pylist() for i in range(4))
                 with np.errstate(over="ignore"):
-                    sets = wh.shingle_sets(texts[lo : lo + 1000], n)
-                for i, s in enumerate(sets, lo):
+                    sets = wh.shingle_sets(wh.utf8(part.column(4)), n)
+                for i, s in enumerate(sets):
                     if kinds[i] == 0:
-                        at, own = (hubs[i], parts[i]), s
-                    elif at == (hubs[i], parts[i]):
-                        both = len(np.intersect1d(own, s, assume_unique=True))
-                        if both and 100 * both >= per_cent * (len(own) + len(s) - both):
-                            a.append(hubs[i])
-                            b.append(ids[i])
+                        at, own = (families[i], parts[i]), s
+                    elif at == (families[i], parts[i]) and _similar(own, s, per_cent):
+                        a.append(families[i])
+                        b.append(nodes[i])
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, n: int, per_cent: int, where: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Each b's
-    text meets one copy of its hub's text; hubs with many members are split."""
-    spark = docs.sparkSession
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("parts"))
-    pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    pairs = stored(pairs, where, f"{name}_pairs")
-    hubs = pairs.select("a", "part").distinct()
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    members = texts.join(pairs, F.col("doc_id") == F.col("b")).select(F.col("a").alias("hub"), "part", F.lit(1).alias("kind"), "doc_id", "text")
-    own = texts.join(hubs, F.col("doc_id") == F.col("a")).select(F.col("a").alias("hub"), "part", F.lit(0).alias("kind"), "doc_id", "text")
-    rows = members.unionByName(own).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
-    return stored(rows.mapInArrow(_confirm(n, per_cent), "a long, b long"), where, name)
-
-
-def _cross(floor: float):
-    """Rows (key, cell, side, node, label, n, sig), sorted by cell: pairs of
-    nodes of different labels that may be similar, within each cell."""
-
-    def pairs(rows: list) -> tuple[list, list]:
-        import pandas as pd
-
-        f = pd.concat(rows)
-        label, node, size, side = (f[c].to_numpy() for c in ("label", "node", "n_shingles", "side"))
-        sig = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1)
+def _in_cells(floor: float, exact: tuple[int, int] | None):
+    """Rows (key, i, j, side, node, label, n_shingles, sig[, text]) sorted by
+    cell (key, i, j): edges between nodes that may be similar, or with ``exact``
+    are, and are not united by the edges before. Nodes of one side are not
+    compared, but on side 2."""
+
+    def edges(rows: pa.Table) -> tuple[list[int], list[int]]:
+        side, node, label, size = (rows.column(c).to_numpy() for c in ("side", "node", "label", "n_shingles"))
+        sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        sets = None
+        if exact:
+            with np.errstate(over="ignore"):
+                sets = wh.shingle_sets(wh.utf8(rows.column("text").combine_chunks()), exact[0])
+        label = np.unique(label, return_inverse=True)[1]
         a, b = [], []
-        for i in range(len(f)):
-            j = slice(i + 1, None)
-            ok = (label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 2)) & (np.minimum(size[j], size[i]) >= 0.79 * np.maximum(size[j], size[i]))
-            if ok.any():
-                at = np.flatnonzero(ok) + i + 1
-                at = at[estimate(sig[at], sig[i]) >= floor]
-                a += np.minimum(node[at], node[i]).tolist()
-                b += np.maximum(node[at], node[i]).tolist()
+        for i in range(rows.num_rows - 1):
+            j = np.flatnonzero((label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2)) & (np.minimum(size[i + 1 :], size[i]) >= floor * np.maximum(size[i + 1 :], size[i]))) + i + 1
+            if not len(j):
+                continue
+            e = estimate(sig[j], sig[i])
+            j = j[e >= floor][np.argsort(-e[e >= floor], kind="stable")]
+            for k in j.tolist():
+                if label[k] != label[i] and (sets is None or _similar(sets[i], sets[k], exact[1])):
+                    a.append(int(node[i]))
+                    b.append(int(node[k]))
+                    label[label == label[k]] = label[i]
         return a, b
 
-    def run(frames):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
 
         def out():
-            a, b = pairs(rows) if rows else ([], [])
-            return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            a, b = edges(pa.Table.from_batches(rows)) if rows else ([], [])
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for f in frames:
-            cells = list(zip(f["key"], f["i"], f["j"], strict=True))
+        for batch in batches:
+            cells = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
             lo = 0
-            for k in range(1, len(f) + 1):
-                if k == len(f) or cells[k] != cells[lo]:
+            for k in range(1, len(cells) + 1):
+                if k == len(cells) or cells[k] != cells[lo]:
                     if cells[lo] != cell:
                         yield out()
                         cell, rows = cells[lo], []
-                    rows.append(f.iloc[lo:k])
+                    rows.append(batch.slice(lo, k - lo))
                     lo = k
         yield out()
 
     return run
 
 
-def _across(rows: DataFrame, sigs: DataFrame, floor: float) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, label) in one bucket under different
-    labels that may be similar. A bucket is dealt to blocks of about BLOCK
-    members; each two blocks meet in one cell. Members under the bucket's
-    commonest label are not compared with each other."""
-    by = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    top = by.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("all")).where("labels > 1")
-    top = top.select(
-        "key", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("hot"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rest")
-    )
+def _cells(rows: DataFrame) -> DataFrame:
+    """Deals rows (key, node, label, n_shingles, ...) of keys with several
+    labels to cells. Each key's nodes go to blocks, and every two blocks meet in
+    one cell; blocks under the key's commonest label don't meet each other."""
+    by = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    top = by.groupBy("key").agg(F.max(F.struct("n", "label", "s")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("labels > 1")
+
+    def blocks(n: Column, s: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+
+    top = top.select("key", F.col("top.label").alias("top"), blocks(F.col("top.n"), F.col("top.s")).alias("hot"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("rest"))
     rows = rows.join(top, "key")
     h = F.xxhash64("node")
-    hot = F.col("label") == F.col("top")
-    cells = F.when(
-        hot,  # (rest block, hot block)
-        F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.pmod(h, "hot")).cast("int").alias("j"), F.lit(0).alias("side"))),
-    ).otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("hot") - 1), lambda j: F.struct(F.pmod(h, "rest").cast("int").alias("i"), (-1 - j).cast("int").alias("j"), F.lit(1).alias("side"))),
-            F.transform(
-                F.sequence(F.lit(0), F.col("rest") - 1),
-                lambda k: F.struct(
-                    F.least(k, F.pmod(h, "rest")).cast("int").alias("i"),
-                    F.greatest(k, F.pmod(h, "rest")).cast("int").alias("j"),
-                    F.when(k == F.pmod(h, "rest"), 2).when(k > F.pmod(h, "rest"), 1).otherwise(0).alias("side"),
-                ),
-            ),
-        )
+    mine = F.pmod(h, F.col("rest")).cast("int")
+
+    def cell(i, j, side) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    hot = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda i: cell(i, -1 - F.pmod(h, F.col("hot")), F.lit(0)))
+    cold = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("hot") - 1), lambda j: cell(mine, -1 - j, F.lit(1))),
+        F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: cell(F.least(k, mine), F.greatest(k, mine), F.when(k == mine, 2).when(k > mine, 1).otherwise(0))),
     )
-    rows = rows.withColumn("cell", F.explode(cells)).select("key", "cell.*", "node", "label").join(sigs, "node")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.select("key", "i", "j", "side", "node", "label", "n_shingles", "sig").mapInPandas(_cross(floor), "a long, b long").distinct()
+    return rows.withColumn("cell", F.explode(F.when(F.col("label") == F.col("top"), hot).otherwise(cold))).drop("top", "hot", "rest").select("*", "cell.*").drop("cell")
+
+
+def _run_cells(rows: DataFrame, columns: list[str], run: Callable) -> DataFrame:
+    rows = rows.select("key", "i", "j", "side", "node", "label", "n_shingles", "sig", *columns)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(name, text) of the documents in ``ids``, each id once."""
+    few = ids.count() <= BROADCAST_IDS
+    out = docs.select(F.col("doc_id").alias(name), "text").join(F.broadcast(ids) if few else ids, name, "left_semi")
+    return out.dropDuplicates([name])
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
@@ -246,7 +248,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFram
     Documents are linked when ``100 * intersection >= per_cent * union`` over
     their distinct n-word shingles; component_id is the smallest doc_id
     reachable over links. Null and empty texts have no shingles and no links.
-    Rows without doc_id stay alone, with a null component, and are kept.
+    Rows without doc_id stay alone, with a null component, and are kept. Of
+    rows with one doc_id and different texts, one is compared.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -256,39 +259,49 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFram
     signed = stored(docs.mapInArrow(_sign(n), SIGNED), where, "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stored(some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node")), where, "reps")
-    nodes = signed.join(reps.select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("_n")), "doc_id", "left_semi").where("n_shingles > 0")
-    nodes = nodes.dropDuplicates(["doc_id"])
-    keyed = stored(nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), where, "keyed")
-    full = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    nodes = signed.join(reps, ["n_shingles", "set_a", "set_b"]).where("doc_id = node").dropDuplicates(["node"])
+    keyed = stored(nodes.select(F.explode("bands").alias("key"), "node"), where, "keyed")
+    full = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1").select("key", "first")
     members = stored(keyed.join(full, "key"), where, "members")
-    sigs = nodes.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sigs = stored(sigs.select(F.col("doc_id").alias("node"), "n_shingles", "sig"), where, "sigs")
+    sigs = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sig"), where, "sigs")
+
+    # families, from signatures alone
+    one, two = (sigs.select(*(F.col(c).alias(f"{c}_{s}") for c in sigs.columns)) for s in "ab")
+    pairs = members.where("node <> first").select(F.col("first").alias("node_a"), F.col("node").alias("node_b")).distinct().join(one, "node_a").join(two, "node_b")
+    pairs = pairs.where(F.least("n_shingles_a", "n_shingles_b") >= floor * F.greatest("n_shingles_a", "n_shingles_b")).where(estimated(F.col("sig_a"), F.col("sig_b")) >= floor)
+    edges = stored(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), where, "close")
+    labels = components(edges)
+    rows = members.select("key", "node").join(sigs, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = stored(_run_cells(_cells(rows), [], _in_cells(floor, None)), where, "closer")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
+    families = stored(labels.withColumnRenamed("label", "key").join(sigs, "node"), where, "families")
+
+    # links, from full sets
+    texts = stored(_texts(docs, families.select("node"), "node"), where, "texts")
+    large = families.groupBy("key").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s")).where((F.col("m") > 2 * BLOCK) | (F.col("s") > 2 * BLOCK_SHINGLES))
+    large = stored(large.select(F.col("key").alias("family"), F.ceil(F.col("m") / PER_TASK).cast("int").alias("parts")), where, "large")
+    labels = families.select("node", F.col("node").alias("label"))
     links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    near = _near(floor)
-    left, right = (sigs.select(*(F.col(c).alias(f"{c}_{s}") for c in sigs.columns)) for s in "ab")
-
-    def labelled() -> DataFrame:
-        return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    for k in range(STAR_ROUNDS):
-        at = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
-        rows = labelled()
-        hubs = rows.groupBy("key").agg(F.min(F.struct(at.alias("o"), "node", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        pairs = rows.join(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "key").where("label <> hub_label")
-        pairs = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
-        pairs = pairs.where("least(n_shingles_a, n_shingles_b) * 100 >= greatest(n_shingles_a, n_shingles_b) * " + str(per_cent)).where(near("sig_a", "sig_b"))
-        best = pairs.groupBy("b").agg(F.min("a").alias("a"))  # one hub each, this round
-        found = confirm(docs, best.select("a", "b"), n, per_cent, where, f"star{k}")
-        links = links.unionByName(found)
-        if found.isEmpty():
-            break
-        labels = stored(components(links), where, f"labels{k}")
-    pairs = stored(_across(labelled(), sigs, floor), where, "across")
-    if not pairs.isEmpty():
-        links = links.unionByName(confirm(docs, pairs, n, per_cent, where, "rest"))
-        labels = components(links)
-    out = signed.join(reps, ["n_shingles", "set_a", "set_b"], "left").join(labels, "node", "left")
+    if not large.isEmpty():
+        own = large.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("family").alias("node"))
+        rest = families.where("node <> key").join(large, F.col("key") == F.col("family")).select("family", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "node")
+        both = own.unionByName(rest).join(texts, "node").select("family", "part", "kind", "node", "text")
+        links = stored(both.repartition("family", "part").sortWithinPartitions("family", "part", "kind").mapInArrow(_meet_first(n, per_cent), "a long, b long"), where, "first_links")
+        labels = families.select("node").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = _cells(families.join(labels, "node")).join(texts, "node")
+    links = links.unionByName(stored(_run_cells(rows, ["text"], _in_cells(floor, (n, per_cent))), where, "links"))
+    out = signed.join(reps, ["n_shingles", "set_a", "set_b"], "left").join(components(links), "node", "left")
     comp = F.coalesce("label", "node", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each
+    component the smallest doc_id, once; rows without doc_id all stay."""
+    gone = near_duplicates(docs, n, per_cent).where("not kept").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -25,9 +25,9 @@ DOMAINS = ["good", "poor", "toxic"]
 TARGETS = {"good": 0.92, "poor": 0.03, "toxic": 0.05}
 BUCKETS = 1 << 16  # slots of hashed words; bounds the weights that are broadcast
 TRAIN_ROWS = 4000  # labelled documents the weights are learnt from, at most
-CLEAR = 4.0  # standard errors a weight is from 0, at least
+CLEAR = 3.5  # standard errors a weight is from 0, at least
 SMOOTH = 0.5
-STEPS, CLOSE = 60, 1e-6
+STEPS, CLOSE, GAIN = 60, 1e-5, 0.98  # most steps; gap that ends them; so does one that closes less
 TOKEN = r"\p{L}+|[^\p{L}\p{N}\s]+"
 
 
@@ -95,9 +95,12 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
 
 def fit(posts: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None) -> list[list[float]]:
     """The steps' vectors. Targets are shares of ``budget`` tokens, by default
-    all there are; ``most`` bounds the rates above."""
+    all there are. ``most`` bounds the rates above; then a domain's target is at
+    most what its documents hold at that rate."""
     p = [f"p_{d}" for d in DOMAINS]
-    moments = posts.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(a) * F.col(b)) for a in p for b in p)).first()
+    moments = posts.agg(
+        F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(a) * F.col(b)) for a in p for b in p), *(F.sum(F.col("n_tokens") * F.col(a)) for a in p)
+    ).first()
     total = float(moments[0] or 0)
     if not total:
         return []
@@ -105,17 +108,19 @@ def fit(posts: DataFrame, targets: dict[str, float], budget: float | None = None
     metric = _inverse([[moments[1 + 3 * i + j] + ridge * (i == j) for j in range(3)] for i in range(3)])
     share = sum(targets[d] for d in DOMAINS)
     want = [targets[d] / share * (budget or total) for d in DOMAINS]
+    if most is not None:
+        want = [min(t, most * h) for t, h in zip(want, moments[10:], strict=True)]
     steps: list[list[float]] = []
+    before = math.inf
     for _ in range(STEPS):
         rated = posts.withColumn("rate", rate(steps, most))
         have = rated.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.col(c)) for c in p)).first()
         gap = [h - t for h, t in zip(have, want, strict=True)]
-        if max(map(abs, gap)) <= CLOSE * sum(want):
+        off = max(map(abs, gap))
+        if off <= CLOSE * sum(want) or off > GAIN * before:
             break
-        step = [sum(m * g for m, g in zip(row, gap, strict=True)) for row in metric]
-        if steps and max(abs(x) for x in step) < 1e-9:
-            break
-        steps.append(step)
+        before = off
+        steps.append([sum(m * g for m, g in zip(row, gap, strict=True)) for row in metric])
     return steps
 
 

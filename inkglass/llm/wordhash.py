@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 21  # bytes hashed at once; bounds the temporaries
+BLOCK = 1 << 19  # bytes hashed at once; bounds the temporaries
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
