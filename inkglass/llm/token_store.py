@@ -37,7 +37,7 @@ from inkglass.session import scratch_dir, ship, stored
 MAGIC = b"IGTOK1"
 END_ID = 1
 DICTIONARY_DOCS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
-CACHE = 300_000  # words whose ids a worker keeps
+CACHE = 600_000  # runs, and pieces, whose ids a worker keeps
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = "shard string, n_docs long, n_ids long, first_id long, null_ids boolean"
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
@@ -51,37 +51,75 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer never joins what white space parts, so
-    each distinct run of other characters goes to it once and is remembered.
-    Texts with a character that Python alone, or only some versions of Unicode,
-    count as white space go to it whole."""
+    """Serialised ids of whole texts, through the tokenizers library, which sees
+    each distinct piece once.
+
+    It never joins what white space parts, so texts are cut there, and each new
+    run is cut further as the tokenizer does it, in lower case: into words,
+    digits and runs of other marks. What is new of those goes to the library in
+    one text, each apart; the last id of each carries the mark of a word's end.
+    Runs beyond Latin letters, or with the strings of special tokens, go to it
+    as they are, and so do texts with characters that only some count as white
+    space.
+    """
 
-    ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\u1680\u180e\u200b-\u200d\u2060\ufeff]")
+    LATIN = re.compile("[\\t\\n\\r\\x20-\\x7e\xa1-\u012f\u0131-\u024f]*")
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f\xb2\xb3\xb9\xbc-\xbe]+")
+    ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\u1680\u180e\u200b-\u200d\u2060\ufeff]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        if max(vocabulary.values()) >= 256**width:
+            raise ValueError(f"ids of {path} don't fit in {width} bytes")
+        self.kind = f"<u{width}"
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.end = np.array([END_ID], self.kind).tobytes()
+        self.pieces: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _each(self, new: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for k in range(0, len(new), 5000):
+            some = new[k : k + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):  # not cut as here
+                self.pieces.update(zip(some, self._each(some), strict=True))
+                continue
+            data, size = ids.astype(self.kind).tobytes(), len(self.end)
+            at = [0, *(ends * size).tolist()]
+            self.pieces.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
+
+    def _learn_runs(self, new: list[str]) -> None:
+        plain = [w for w in new if self.LATIN.fullmatch(w) and "<|" not in w]
+        cut = [self.PIECE.findall(w.lower()) for w in plain]
+        pieces = set().union(*cut)
+        if len(self.pieces) + len(pieces) > CACHE:
+            self.pieces.clear()
+        self._learn_pieces(list(pieces.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        self.runs.update((w, b"".join(map(get, p))) for w, p in zip(plain, cut, strict=True))
+        rest = list(set(new).difference(plain))
+        self.runs.update(zip(rest, self._each(rest), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Serialised ids of each text, the end id last."""
         parts = [[t] if self.ODD.search(t) else t.split() for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({w for p in parts for w in p})
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            self.known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out, known = [], self.known
-        for p in parts:
-            ids: list[int] = []
-            for w in p:
-                ids += known[w]
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint32))
-        return out
+        new = set().union(*parts)
+        if len(self.runs) + len(new) > CACHE:
+            self.runs.clear()
+        new = list(new.difference(self.runs))
+        if new:
+            self._learn_runs(new)
+        get = self.runs.__getitem__
+        return [b"".join(map(get, p)) + self.end for p in parts]
 
 
 def _files(url: str):
@@ -104,10 +142,9 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 def _sample(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = Encoder(path, width)
         for batch in batches:
-            ids = enc.encode([x or "" for x in batch.column(0).to_pylist()])
-            yield pa.record_batch([pa.array([x.astype(f"<u{width}").tobytes() for x in ids], pa.binary())], names=["ids"])
+            yield pa.record_batch([pa.array(enc.encode([x or "" for x in batch.column(0).to_pylist()]), pa.binary())], names=["ids"])
 
     return run
 
@@ -118,7 +155,7 @@ def _write(path: str, folder: str, dictionary, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc = Encoder(path)
+        enc = Encoder(path, width)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None)
         files, at = _files(folder)
         name = f"{uuid.uuid4().hex}.tok"
@@ -131,8 +168,8 @@ def _write(path: str, folder: str, dictionary, width: int):
                     if out is None:
                         out = files.open_output_stream(f"{at}/{name}.part")
                         size = out.write(MAGIC + struct.pack("<H", width) + hashlib.sha256(dictionary.value).digest())
-                    frame = packer.compress(t.astype(f"<u{width}").tobytes())
-                    index.append((NO_ID if i is None else i, size, len(frame), len(t)))
+                    frame = packer.compress(t)
+                    index.append((NO_ID if i is None else i, size, len(frame), len(t) // width))
                     size += out.write(frame)
         if out is None:
             return
