@@ -7,6 +7,7 @@ Unicode normal forms, quote matching.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -14,10 +15,29 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkglass.session import ship
+
 K, WINDOW = 5, 4
+
+
+def _scalar(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A column function from a function of series. The UDF is made when it is
+    used, as its type needs a session."""
+
+    def make(f: Callable) -> Callable[..., Column]:
+        @functools.wraps(f)
+        def call(*cols: Column) -> Column:
+            ship(SparkSession.getActiveSession())
+            return F.pandas_udf(f, kind, F.PandasUDFType.SCALAR)(*cols)
+
+        return call
+
+    return make
+
+
 POINT = "array<struct<hash:string,position:int>>"
 
 
@@ -55,26 +75,9 @@ def fingerprint(text: str, hasher: Callable[[str], str], known: dict[str, str],
     return [(hashes[i], i) for i in winnow(hashes, window)]
 
 
-def points(mode: str = "md5"):
-    """Column function: the winnowed fingerprint of a normalised text. Hashes
-    are 16 hex digits, whose order is that of the unsigned numbers."""
-
-    @F.pandas_udf(POINT)
-    def run(batches: Iterator[object]) -> Iterator[object]:
-        import pandas as pd
-
-        hasher, known = _hash(mode), {}
-        for texts in batches:
-            if len(known) > 500_000:
-                known.clear()
-            yield pd.Series([[{"hash": h, "position": p} for h, p in fingerprint(t or "", hasher, known)] for t in texts])
-
-    run.__annotations__ = {}
-    return run
-
-
 def with_points(df: DataFrame, column: str, mode: str = "md5", keep: list[str] | None = None) -> DataFrame:
     """``df`` with a column ``points``. Batches stay in Arrow end to end."""
+    ship(df.sparkSession)
     keep = keep or [c for c in df.columns if c != column]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
 
@@ -125,7 +128,7 @@ def split_protected(paragraph: str) -> list[tuple[str, int, int]]:
     return out
 
 
-@F.pandas_udf("array<struct<text:string,start:int,end:int>>")
+@_scalar("array<struct<text:string,start:int,end:int>>")
 def sentences(c):
     import pandas as pd
 
@@ -149,14 +152,14 @@ def build_offset_map(original: str, normalized: str) -> list[int]:
     return out
 
 
-@F.pandas_udf("array<int>")
+@_scalar("array<int>")
 def offset_map(original, normalized):
     import pandas as pd
 
     return pd.Series([build_offset_map(a or "", b or "") for a, b in zip(original, normalized, strict=True)])
 
 
-@F.pandas_udf("double")
+@_scalar("double")
 def sequence_ratio(a, b):
     """Share of matching characters in the longest matching blocks."""
     import pandas as pd
@@ -164,21 +167,21 @@ def sequence_ratio(a, b):
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@_scalar("string")
 def nfc(c):
     import pandas as pd
 
     return pd.Series([None if x is None else unicodedata.normalize("NFC", x) for x in c])
 
 
-@F.pandas_udf("string")
+@_scalar("string")
 def nfkd_ascii(c):
     import pandas as pd
 
     return pd.Series([None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in c])
 
 
-@F.pandas_udf("string")
+@_scalar("string")
 def unescape_html(c):
     import html
 
@@ -191,7 +194,7 @@ def matches(pattern: str, flags: int = 0):
     """Column function: (text, start, end) of a regex's matches, in code points."""
     compiled = re.compile(pattern, flags)
 
-    @F.pandas_udf("array<struct<text:string,start:int,end:int>>")
+    @_scalar("array<struct<text:string,start:int,end:int>>")
     def run(c):
         import pandas as pd
 
@@ -266,7 +269,7 @@ def find_citations(paragraph: str) -> list[dict]:
     return sorted(out, key=lambda c: c["char_offset"])
 
 
-@F.pandas_udf(CITATION)
+@_scalar(CITATION)
 def citations(c):
     import pandas as pd
 
@@ -288,7 +291,7 @@ def quote_pairs(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@_scalar("array<struct<start:int,end:int>>")
 def quotes(c):
     import pandas as pd
 
@@ -301,7 +304,7 @@ def name_like(text: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-@F.pandas_udf("array<string>")
+@_scalar("array<string>")
 def entities(c):
     import pandas as pd
 
@@ -324,7 +327,7 @@ def passages(paragraphs: list[str], most: int) -> list[str]:
     return [*out, held] if held else out
 
 
-@F.pandas_udf("array<string>")
+@_scalar("array<string>")
 def docx_paragraphs(c):
     """Paragraphs of .docx bytes: body and table cells in order, blank dropped."""
     import io
