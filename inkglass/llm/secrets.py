@@ -92,5 +92,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     whole = F.when(F.col("k") == KINDS.index("ident"), F.col("with_secret")).when(F.col("k") == KINDS.index("opaque"), F.col("with_id")).otherwise(F.col("with_id") & F.col("with_secret"))
     linked = met.where(whole).groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("linked"))
     out = rows.join(linked, "row", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN)))))
-    n = [F.size(F.filter("base", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{k}") for i, (k, *_) in enumerate(STRONG)]
+
+    def count(rank: int):
+        return F.size(F.filter("base", lambda x: x["k"] == rank)).cast("long")
+
+    n = [count(i).alias(f"n_{k}") for i, (k, *_) in enumerate(STRONG)]
     return out.select("doc_id", *n, F.sha2(_names(F.col("base")), 256).alias("base_sha256"), _names(F.col("all")).alias("spans"))
