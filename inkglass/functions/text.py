@@ -7,6 +7,8 @@ for is in ``functions.arrow``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ STOP_WORDS = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row: inside a lambda a
+    column's expression would be evaluated anew for every element."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, "\\s+", " "))
@@ -60,7 +68,7 @@ def strip_section_headers(c: Column) -> Column:
 
 def split_sentences(c: Column) -> Column:
     """Sentences that end before white space and a capital; blank ones dropped."""
-    return F.filter(F.transform(F.split(c, SENTENCE_END), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(c, SENTENCE_END), lambda x: F.trim(x)), lambda s: F.length(s) > 0)
 
 
 def tokens_by_space(c: Column) -> Column:
@@ -83,7 +91,7 @@ def paragraphs(c: Column) -> Column:
     blocks = F.filter(F.transform(F.split(unix, "\\n\\s*\\n"), lambda b: F.regexp_replace(b, "^\\s+|\\s+$", "")), lambda b: F.length(b) > 0)
 
     def lines(b: Column) -> Column:
-        return F.filter(F.transform(F.split(b, "\\n"), F.trim), lambda x: F.length(x) > 0)
+        return F.filter(F.transform(F.split(b, "\\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
     def parts(b: Column) -> Column:
         rows = lines(b)
@@ -167,6 +175,10 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
 
 def char_ngram_jaccard(a: Column, b: Column) -> Column:
     """Over distinct three-character runs; over words where a text is shorter."""
-    a, b = normalize_turkish(a), normalize_turkish(b)
-    short = (F.length(a) < 3) | (F.length(b) < 3)
-    return F.when(short, jaccard(F.array_distinct(tokens_by_space(a)), F.array_distinct(tokens_by_space(b)))).otherwise(jaccard(char_ngrams(a), char_ngrams(b)))
+
+    def score(a: Column, b: Column) -> Column:
+        short = (F.length(a) < 3) | (F.length(b) < 3)
+        by_words = jaccard(F.array_distinct(tokens_by_space(a)), F.array_distinct(tokens_by_space(b)))
+        return F.when(short, by_words).otherwise(let(char_ngrams(a), lambda x: let(char_ngrams(b), lambda y: jaccard(x, y))))
+
+    return let(normalize_turkish(a), lambda x: let(normalize_turkish(b), lambda y: score(x, y)))

@@ -21,7 +21,8 @@ def health_score() -> Column:
     outside = F.lit(False)
     for c in RATIOS:
         outside = outside | F.coalesce(~F.col(c).between(0, 1), F.lit(False))
-    return F.when(outside, F.raise_error(F.lit("ratios must be between 0 and 1")).cast("long")).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), T.half_even(score)))).cast("long")
+    clamped = F.when(score.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), T.half_even(score))))
+    return F.when(outside, F.raise_error(F.lit("ratios must be between 0 and 1")).cast("long")).otherwise(clamped).cast("long")
 
 
 def product_ratios(df: DataFrame) -> DataFrame:

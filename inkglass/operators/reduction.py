@@ -58,7 +58,7 @@ def fix_plan(risk_type: Column, action: Column) -> Column:
 
 def protected_tokens(c: Column) -> Column:
     """Numbers with units, versions, identifiers, dates: each once, in order of kind."""
-    return F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in PROTECTED))), F.trim))
+    return F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in PROTECTED))), lambda x: F.trim(x)))
 
 
 def strengthened(original: Column, candidate: Column) -> Column:

@@ -1 +1 @@
-"""Part of inkglass."""
+"""Composed plans, and the registry of queries over them."""
