@@ -154,7 +154,8 @@ def apply_rewrites(texts: DataFrame, edits: DataFrame) -> DataFrame:
         return (F.length(text) - F.length(F.replace(text, part, F.lit("")))) == F.length(part)
 
     ok = F.filter("e", lambda x: (F.length(x["original"]) > 0) & once(F.col("text"), x["original"]))
-    return rows.select("doc_id", F.aggregate(ok, F.col("text"), lambda t, x: F.replace(t, x["original"], x["new"])).alias("text"), F.size(ok).cast("long").alias("applied"))
+    rows = rows.withColumn("ok", ok)
+    return rows.select("doc_id", F.aggregate("ok", F.col("text"), lambda t, x: F.replace(t, x["original"], x["new"])).alias("text"), F.size("ok").cast("long").alias("applied"))
 
 
 def normalised_pair(a: Column, b: Column) -> Column:

@@ -88,7 +88,7 @@ def verbatim_plants(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("p")).withColumn("w", T.tokens_by_space(F.col("p"))).where(F.size("w") > n + 1)
     b = b.select("item_id", "p", F.array_join(F.slice("w", 2, n), " ").alias("key"))
     w = d.select("doc_id", T.tokens_by_space(F.col("t")).alias("w")).where(F.size("w") >= n)
-    runs = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("key"))
+    runs = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.concat_ws(" ", *(F.get("w", i + k) for k in range(n)))))).alias("key"))
     pairs = runs.join(b, "key").select("doc_id", "item_id", "p").join(d, "doc_id").where(F.contains("t", "p"))
     return pairs.select("doc_id", "item_id", (F.expr("instr(t, p)") - 1).cast("long").alias("start"))
 

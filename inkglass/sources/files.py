@@ -18,10 +18,12 @@ def read_paragraphs(spark: SparkSession, path: str, recursive: bool = True) -> D
     name = path.rstrip("/").rsplit("/", 1)[-1]
     if "." in name and not name.lower().endswith(SUFFIXES) and "*" not in name:
         raise ValueError(f"unsupported file type: {name}; supported: {', '.join(SUFFIXES)}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content")
-    suffix = F.lower(F.regexp_extract("path", "(\\.[^./]+)$", 1))
-    plain = files.where(suffix.isin(".md", ".txt")).select("path", T.paragraphs(F.decode("content", "UTF-8")).alias("p"))
-    word = files.where(suffix == ".docx").select("path", arrow.docx_paragraphs(F.col("content")).alias("p"))
+
+    def read(kinds: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", kinds).load(path).select("path", "content")
+
+    plain = read("*.{md,txt,MD,TXT}").select("path", T.paragraphs(F.decode("content", "UTF-8")).alias("p"))
+    word = read("*.{docx,DOCX}").select("path", arrow.docx_paragraphs(F.col("content")).alias("p"))
     return plain.unionByName(word).select("path", F.posexplode("p").alias("paragraph_index", "text"))
 
 

@@ -1,0 +1,84 @@
+import random
+
+from pyspark.sql import functions as F
+
+from inkglass.functions import arrow
+from inkglass.functions import text as T
+
+
+def brute_winnow(h, w=4):
+    """Every window's least hash, the last of equals; short runs: the first."""
+    if len(h) <= w:
+        return [min(range(len(h)), key=lambda i: (h[i], i))] if h else []
+    return sorted({min(range(i, i + w), key=lambda k: (h[k], -k)) for i in range(len(h) - w + 1)})
+
+
+def test_winnow_is_the_windows_minima():
+    r = random.Random(5)
+    for _ in range(500):
+        h = [f"{r.randint(0, 6):016x}" for _ in range(r.randint(0, 30))]
+        assert arrow.winnow(h) == brute_winnow(h)
+
+
+def test_fingerprint_of_short_and_empty():
+    md5 = arrow._hash("md5")
+    assert arrow.fingerprint("", md5, {}) == []
+    assert [p for _, p in arrow.fingerprint("abc", md5, {})] == [0]
+    assert arrow._hash("blake2b")("abc") != md5("abc")
+
+
+def test_citations():
+    found = arrow.find_citations("As shown (Smith & Jones, 2019; Brown, n.d.) and Clark et al. (2001, p. 4) [1, 4-2] 10.1000/ab.")
+    assert [(c["authors"], c["year"], c["numbered_ref"], c["doi"]) for c in found] == [
+        ("Smith & Jones", 2019, None, None), ("Brown", None, None, None), ("Clark et al.", 2001, None, None), (None, None, 1, None), (None, None, 2, None), (None, None, 3, None), (None, None, 4, None),
+        (None, None, None, "10.1000/ab"),
+    ]
+    assert arrow.find_citations("(see below) and (lower, 2019)") == []
+
+
+def test_numbers():
+    assert arrow.expand_numbers("3, 1-2, 0") == [1, 2, 3]
+    assert len(arrow.expand_numbers("1-900")) == 101
+
+
+def test_sentences_keep_their_places():
+    p = "  Dr. Smith left. It was late! See fig. 3 of J. Doe. Done"
+    parts = arrow.split_protected(p)
+    assert [t for t, _, _ in parts] == ["Dr. Smith left.", "It was late!", "See fig. 3 of J. Doe.", "Done"]
+    assert all(p.strip()[s:e] == t for t, s, e in parts)
+    assert arrow.split_protected("") == []
+
+
+def test_offset_map():
+    assert arrow.build_offset_map("a  b", "a b") == [0, 3, 3]
+    assert arrow.build_offset_map("", "") == []
+
+
+def test_quotes():
+    assert arrow.quote_pairs('a "b" “c «d»” "open') == [(2, 5), (6, 13), (9, 12)]
+
+
+def test_entities_and_passages():
+    assert arrow.name_like("NASA and John Smith use PySpark") == ["NASA", "John Smith", "PySpark"]
+    assert arrow.passages(["aa", "", "bbb", "c" * 7], 8) == ["aa\n\nbbb", "c" * 7]
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([("İSTANBUL  IŞIK\n’x’ ", "# Head\nline one\r\nline two\r\n\r\n  \n\nlast")], "a string, b string")
+    r = df.select(T.normalize_turkish(F.col("a")).alias("n"), T.paragraphs(F.col("b")).alias("p"), T.is_turkish(F.col("a")).alias("t")).first()
+    assert r.n == "istanbul ışık 'x'"
+    assert r.p == ["# Head", "line one line two", "last"]
+    assert r.t
+    nulls = spark.createDataFrame([(None,)], "a string").select(T.split_sentences(F.col("a")), T.normalize_doi(F.col("a")), T.language(F.col("a"))).first()
+    assert nulls[0] is None and nulls[1] is None
+
+
+def test_trigram_overlap_bounds(spark):
+    df = spark.createDataFrame([("abcd", "abcd"), ("ab", "ab"), ("abc", "xyz"), ("", "")], "a string, b string")
+    assert [r[0] for r in df.select(T.char_ngram_jaccard(F.col("a"), F.col("b"))).collect()] == [1.0, 1.0, 0.0, 0.0]
+
+
+def test_udf_columns(spark):
+    df = spark.createDataFrame([("Café A. Done.", "Cafe")], "a string, b string")
+    r = df.select(arrow.nfkd_ascii(F.col("a")).alias("n"), arrow.sequence_ratio(F.col("a"), F.col("b")).alias("s"), F.size(arrow.sentences(F.col("a"))).alias("k"), arrow.quotes(F.lit('"x"')).alias("q")).first()
+    assert r.n == "Cafe A. Done." and 0 < r.s < 1 and r.k == 1 and r.q[0].end == 3
