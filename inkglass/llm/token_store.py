@@ -37,7 +37,7 @@ from inkglass.session import scratch_dir, ship, stored
 MAGIC = b"IGTOK1"
 END_ID = 1
 DICTIONARY_DOCS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
-CACHE = 600_000  # runs, and pieces, whose ids a worker keeps
+CACHE = 800_000  # runs, and pieces, whose ids a worker keeps
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = "shard string, n_docs long, n_ids long, first_id long, null_ids boolean"
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
@@ -64,22 +64,26 @@ class Encoder:
     """
 
     LATIN = re.compile("[\\t\\n\\r\\x20-\\x7e\xa1-\u012f\u0131-\u024f]*")
-    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f\xb2\xb3\xb9\xbc-\xbe]+")
-    ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\u1680\u180e\u200b-\u200d\u2060\ufeff]")
+    PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f\xb2\xb3\xb9\xbc-\xbe]+")
+    ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\u1680"
 
     def __init__(self, path: str, width: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cut = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for pieces: cut and in lower case already
+        self.cut.normalizer = normalizers.Sequence([])
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        if max(vocabulary.values()) >= 256**width:
+        if max(vocabulary.values()) >= 256**width - 1:
             raise ValueError(f"ids of {path} don't fit in {width} bytes")
         self.kind = f"<u{width}"
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([END_ID], self.kind).tobytes()
-        self.pieces: dict[str, bytes] = {}
+        self.mark = b"\xff" * width  # no id
+        self.pieces: dict[str, bytes] = {"\n": self.mark}
         self.runs: dict[str, bytes] = {}
 
     def _each(self, new: list[str]) -> list[bytes]:
@@ -88,7 +92,7 @@ class Encoder:
     def _learn_pieces(self, new: list[str]) -> None:
         for k in range(0, len(new), 5000):
             some = new[k : k + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.cut.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(some):  # not cut as here
                 self.pieces.update(zip(some, self._each(some), strict=True))
@@ -98,23 +102,30 @@ class Encoder:
             self.pieces.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
 
     def _learn_runs(self, new: list[str]) -> None:
-        plain = [w for w in new if self.LATIN.fullmatch(w) and "<|" not in w]
-        cut = [self.PIECE.findall(w.lower()) for w in plain]
-        pieces = set().union(*cut)
-        if len(self.pieces) + len(pieces) > CACHE:
-            self.pieces.clear()
-        self._learn_pieces(list(pieces.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        self.runs.update((w, b"".join(map(get, p))) for w, p in zip(plain, cut, strict=True))
-        rest = list(set(new).difference(plain))
+        joined = "\n".join(new)
+        if self.LATIN.fullmatch(joined) and "<|" not in joined:
+            plain, rest = new, []
+        else:
+            plain = [w for w in new if self.LATIN.fullmatch(w) and "<|" not in w]
+            rest = list(set(new).difference(plain))
+            joined = "\n".join(plain)
+        if plain:
+            cut = self.PIECE.findall(joined.lower())
+            pieces = set(cut)
+            if len(self.pieces) + len(pieces) > CACHE:
+                self.pieces = {"\n": self.mark}
+            self._learn_pieces(list(pieces.difference(self.pieces)))
+            data, size = b"".join(map(self.pieces.__getitem__, cut)), len(self.mark)
+            gaps = np.flatnonzero(np.frombuffer(data, self.kind) == 256**size - 1) * size
+            self.runs.update((w, data[x:y]) for w, x, y in zip(plain, [0, *(gaps + size).tolist()], [*gaps.tolist(), len(data)], strict=True))
         self.runs.update(zip(rest, self._each(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialised ids of each text, the end id last."""
-        parts = [[t] if self.ODD.search(t) else t.split() for t in texts]
+        parts = [[t] if any(c in t for c in self.ODD) else t.split() for t in texts]
         new = set().union(*parts)
         if len(self.runs) + len(new) > CACHE:
-            self.runs.clear()
+            self.runs = {}
         new = list(new.difference(self.runs))
         if new:
             self._learn_runs(new)
