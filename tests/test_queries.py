@@ -3,7 +3,7 @@
 import pytest
 from engines import rows_of
 
-from inkglass.plans import decision_queries, overlap_queries, text_queries  # noqa: F401
+from inkglass.plans import decision_queries, link_queries, overlap_queries, text_queries  # noqa: F401
 from inkglass.plans.registry import QUERIES, SQL
 
 
