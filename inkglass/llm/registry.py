@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_chat_perspectives": chat.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_chat_perspectives": chat.ORACLE, "op9_minhash_near_dedup": minhash.ORACLE}

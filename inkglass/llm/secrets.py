@@ -74,7 +74,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     where = scratch_dir(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")).alias("row"), _found(F.col("text"), STRONG, 0).alias("base"), _found(F.col("text"), WEAK, len(STRONG)).alias("weak"))
+    rows = rows.select("doc_id", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.col("text"))).alias("row"), _found(F.col("text"), STRONG, 0).alias("base"), _found(F.col("text"), WEAK, len(STRONG)).alias("weak"))
     rows = stored(rows, where, "parts")
     some = rows.where(F.size("weak") > 0).where((F.size("base") + F.size("weak")) > 1).dropDuplicates(["row"])
     parts = some.select("row", F.explode(F.concat("base", "weak")).alias("p")).select("row", "p.*")
