@@ -25,7 +25,6 @@ from inkglass.llm import wordhash as wh
 from inkglass.session import ship
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_FOLD = {c: c + 32 for c in range(65, 91)}
 #: The phrases that are always looked for, as consecutive words.
 PHRASES = {
     ("gnu", "general", "public", "license"): "gpl",
