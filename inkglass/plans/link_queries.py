@@ -9,7 +9,7 @@ from inkglass.functions import text as T
 from inkglass.operators import audit, links, support
 from inkglass.plans.decision_queries import _CITES, _ENTRIES
 from inkglass.plans.registry import Fixture, query
-from inkglass.plans.text_queries import sql_sentence, sql_sentences, sql_tokens
+from inkglass.plans.text_queries import _HTML, sql_collapse, sql_sentence, sql_sentences, sql_tokens
 from inkglass.session import table
 
 
@@ -166,3 +166,52 @@ def claim_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = best.withColumn("r", C.contradiction_risk(F.col("text"), F.col("sentence"))).withColumn("metadata", support.metadata_match(T.search_query(F.col("text")), F.col("sentence")))
     rows = rows.withColumn("verdict", support.verdict(F.col("metadata"), F.col("score"), F.col("r.verdict"))).withColumn("support", support.support(F.col("score"), F.col("r.verdict"), F.col("r.confidence")))
     return rows.select("claim_id", "cand_id", "metadata", "verdict", "support", support.overall_confidence(F.col("metadata"), F.col("support"), F.lit(True)).alias("overall"))
+
+
+@query(
+    f"""SELECT 'local-' || item_id AS source_id, sha256(text) AS sha256, CAST(length(text) AS BIGINT) AS n_chars FROM benchmark
+        UNION ALL SELECT 'url-' || page_id, sha256({sql_collapse(_HTML)}), CAST(length({sql_collapse(_HTML)}) AS BIGINT) FROM pages"""
+)
+def source_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Local passages and pages as one table of sources."""
+    from inkglass.sources.files import page_sources
+
+    local = table(spark, sf, "benchmark").select(F.concat(F.lit("local-"), "item_id").alias("source_id"), "text", F.sha2("text", 256).alias("sha256"))
+    both = local.unionByName(page_sources(table(spark, sf, "pages")).drop("url"))
+    return both.select("source_id", "sha256", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("SELECT p_type AS path, CAST(min(p_partkey) AS BIGINT) AS position FROM part GROUP BY p_type")
+def unique_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Types of parts stand for paths; each keeps its first place."""
+    from inkglass.sources.files import unique_paths as unique
+
+    return unique(table(spark, sf, "part").select(F.col("p_type").alias("path"), F.col("p_partkey").alias("position")))
+
+
+@query()
+def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as candidate records for queries that are their neighbours' names."""
+    from inkglass.operators import verification
+
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title"))
+    q = p.select((F.floor(F.col("k") / 10)).alias("query_id"), F.col("title").alias("query")).groupBy("query_id").agg(F.min("query").alias("query"))
+    rows = p.withColumn("query_id", F.floor(F.col("k") / 10)).join(q, "query_id")
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({"doi": none, "arxiv_id": none, "year": 2000 + F.col("k") % 20, "arrival": F.col("k"), "source_api": F.lit("crossref")})
+    rows = rows.withColumn("relevance", verification.relevance(F.col("query"), F.col("title"), F.col("doi"), F.col("arxiv_id")))
+    return verification.ranked(rows).select("query_id", "k", "relevance", "rank")
+
+
+@query()
+def review_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON report a document with matches."""
+    from inkglass.operators import review
+    from inkglass.plans.overlap_queries import _review_words
+    from inkglass.sources import sinks
+
+    words, totals = _review_words(spark, sf)
+    summary = review.coverage(words, totals).where("raw_percent > 0")
+    shares = review.contributions(review.allocate_words(words, ["doc_id", "paragraph", "word"]), totals)
+    matches = words.select("doc_id", "match_rank", "source_id", "kind").distinct().withColumn("severity", F.lit("high")).withColumn("status", F.lit("unattributed_exact"))
+    return sinks.review_json(summary, matches, shares)

@@ -37,10 +37,6 @@ def sql_tokens(c: str) -> str:
     return f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
 
 
-def _re2(pattern: str) -> str:
-    return literal(pattern)
-
-
 @query(
     """SELECT sha256(n) AS hash, count(*) AS n, min(doc_id) AS first_doc
        FROM (SELECT doc_id, """ + sql_sentence("text") + """ AS n FROM documents) GROUP BY n HAVING count(*) > 1"""
