@@ -12,6 +12,7 @@ titles, short forms, SPDX ids and tags, file headers, urls.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -171,6 +172,11 @@ class Scanner:
         return sorted(kept, key=lambda x: x[:2])
 
 
+@functools.lru_cache(maxsize=1)
+def standard() -> Scanner:
+    return Scanner()
+
+
 def phrases(words: list[str]) -> list[tuple[int, str]]:
     """Places of the fixed phrases: first word and label."""
     out = []
@@ -205,7 +211,7 @@ _DETECTION = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("l
 
 def _scan(own: list[Rule] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(own)
+        scanner = standard() if own is None else Scanner(own)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)

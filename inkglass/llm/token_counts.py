@@ -19,6 +19,7 @@ remembered.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -207,6 +208,12 @@ class Transducer:
         return n
 
 
+@functools.lru_cache(maxsize=1)
+def transducer(path: str) -> Transducer:
+    """One a worker process: what it has compiled serves the tasks after."""
+    return Transducer(path)
+
+
 _RUN = re.compile(f"{SPACE}*[^\\W\\d_]+|(?:(?!{SPACE}*[^\\W\\d_]).)+", re.S)
 _SYNC = re.compile("(?<=[^ ])(?= )")
 _WORD = re.compile(" ( *[^ ]*)")
@@ -274,7 +281,7 @@ def count(text: str, t: Transducer, size: int = CHUNK) -> int:
 
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(path)
+        t = transducer(path)
         for batch in batches:
             n_bytes, n = [], []
             for x in batch.column(1):

@@ -19,6 +19,7 @@ names those of the attempts that counted.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -133,6 +134,12 @@ class Encoder:
         return [b"".join(map(get, p)) + self.end for p in parts]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, width: int) -> Encoder:
+    """One a worker process: what it has learnt serves the tasks after."""
+    return Encoder(path, width)
+
+
 def _files(url: str):
     """File system and path: whatever store the url names, as the cluster's."""
     from pyarrow import fs
@@ -153,7 +160,7 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 def _sample(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, width)
+        enc = encoder(path, width)
         for batch in batches:
             yield pa.record_batch([pa.array(enc.encode([x or "" for x in batch.column(0).to_pylist()]), pa.binary())], names=["ids"])
 
@@ -166,7 +173,7 @@ def _write(path: str, folder: str, dictionary, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc = Encoder(path, width)
+        enc = encoder(path, width)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None)
         files, at = _files(folder)
         name = f"{uuid.uuid4().hex}.tok"
