@@ -235,3 +235,11 @@ def test_pipeline(spark, small, documents):
         assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == documents.columns
     assert counts == sorted(counts, reverse=True) and counts[0] < documents.count() and counts[1] < counts[0] and counts[2] < counts[1]
     assert corpus_pipeline.run(spark, small).count() == counts[-1]
+
+
+def test_chunks_make_up_the_text(spark, documents):
+    odd = spark.createDataFrame([(-1, "a b\u0085c d" * 3000), (-2, "x" * 10000), (-3, "😀é" * 700)], "doc_id long, text string")
+    rows = exact_dedup.chunked(documents.select("doc_id", "text").unionByName(odd))
+    assert rows.where(F.array_join("chunks", "") != F.col("norm")).isEmpty()
+    assert rows.where(F.exists("chunks", lambda c: F.length(c) > exact_dedup.MAX_CHUNK)).isEmpty()
+    assert rows.agg(F.sum(F.size("chunks"))).first()[0] > 2 * documents.count()
