@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The test items are a stated query set. They are taken in blocks of bounded size
 (``BLOCK_WORDS``); for each block an index of its word n-grams is broadcast and
-the corpus is read twice. The first pass counts the block's words over all
-documents. An n-gram is a seed when those counts make it rare, as the product
-of its words' shares: an item that many documents hold stays findable, a string
-of common words is no seed. In the second pass every seed that a text holds
-proposes a window around the place where the item would lie, windows of one
-item that overlap are joined, and the item is aligned with the window's words.
-The alignment pays 1 for an equal word and -1 for a changed, missing or added
-one; its score over the item's length is 1 for a whole copy.
+the corpus is read once. Every n-gram of an item is a seed, however common it
+is in the corpus: each that a text holds proposes a window around the place
+where the item would lie, and windows of one item that overlap are joined. A
+window stays when a stretch as long as a copy can be holds as many of the
+item's words as the least score needs, which loses nothing; the item is aligned
+with the words of those. The alignment pays 1 for an equal word and -1 for a
+changed, missing or added one; its score over the item's length is 1 for a
+whole copy.
 """
 
 from __future__ import annotations
@@ -25,10 +25,9 @@ from inkglass.llm import wordhash as wh
 from inkglass.session import ship
 
 N = 3
-RARE = 1e-8  # the largest chance, per place, of a seed under the corpus's word shares
-LEAST_SEEDS = 4  # an item with fewer rare n-grams has its rarest as seeds
 MIN_WORDS = 5  # shorter items say too little; they are not looked for
 BLOCK_WORDS = 2_000_000  # words of the items that are broadcast together
+PAIRS = 1 << 20  # seeds, window words and alignment cells that are held at once, about
 THRESHOLD = 0.4
 FOUND = "doc_id long, item_id long, score double, n_seeds long, first_word long, last_word long"
 
@@ -45,24 +44,17 @@ class Index:
                         self.ids.append(items[lo + k][0])
                         self.words.append(h[first[k] : first[k + 1]])
             self.size = np.array([len(w) for w in self.words], np.int64)
-            self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
             self.gram = np.concatenate([*(wh.ngrams(w, N) for w in self.words), np.zeros(0, np.uint64)])
         self.item = np.repeat(np.arange(len(self.words)), np.maximum(self.size - N + 1, 0))
         self.at = np.concatenate([*(np.arange(max(0, n - N + 1)) for n in self.size), np.zeros(0, np.int64)]).astype(np.int64)
+        by = np.argsort(self.gram, kind="stable")
+        self.gram, self.item, self.at = (x[by] for x in (self.gram, self.item, self.at))
+        self.pairs = np.unique(_pair(np.repeat(np.arange(len(self.words)), self.size), np.concatenate([*self.words, np.zeros(0, np.uint64)])))
 
-    def seeded(self, counts: dict[int, int], total: int) -> Index:
-        """Keeps the rare n-grams, at least LEAST_SEEDS of each item."""
-        share = np.array([max(1, counts.get(i, 0)) for i in range(len(self.vocabulary))], float) / max(1, total)
-        log = np.log(share) if len(share) else share
-        chance = np.concatenate([*(np.convolve(log[np.searchsorted(self.vocabulary, w)], np.ones(N), "valid") for w in self.words), np.zeros(0)])
-        order = np.lexsort((self.at, chance, self.item))
-        first = np.searchsorted(self.item[order], self.item[order], "left")
-        nth = np.empty(len(order), np.int64)
-        nth[order] = np.arange(len(order)) - first
-        keep = (chance <= np.log(RARE)) | (nth < LEAST_SEEDS)
-        by = np.argsort(self.gram[keep], kind="stable")
-        self.gram, self.item, self.at = (x[keep][by] for x in (self.gram, self.item, self.at))
-        return self
+
+def _pair(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return wh.mix(word + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Lookup:
@@ -106,19 +98,77 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def _count(index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Lookup(index.value.vocabulary)
-        counts, total = np.zeros(len(find.keys) + 1, np.int64), 0
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                for _, h, *_ in wh.batch_words(wh.utf8(batch.column(0)), wh.PUNCT):
-                    total += len(h)
-                    counts += np.bincount(find.find(h)[1], minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array([-1, *some.tolist()], pa.int64()), pa.array([total, *counts[some].tolist()], pa.int64())], names=["word", "n"])
-
-    return run
+def joined(doc: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows [a, b) of one document and item that overlap or touch become one; n adds up."""
+    if not len(a):
+        return doc, item, a, b, n
+    by = np.lexsort((a, item, doc))
+    doc, item, a, b, n = (x[by] for x in (doc, item, a, b, n))
+    other = np.ones(len(by), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    shift = np.cumsum(other) * (int(b.max()) + 1)
+    b = np.maximum.accumulate(b + shift) - shift
+    other[1:] |= a[1:] > b[:-1]
+    lows = np.flatnonzero(other)
+    return doc[lows], item[lows], a[lows], b[np.append(lows[1:], len(by)) - 1], np.add.reduceat(n, lows)
+
+
+def proposed(ix: Index, first_of: np.ndarray, several: np.ndarray, place: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The joined windows of seeds ``at``, found at ``place``: document, item, start, end, seeds."""
+    parts = []
+    upto = np.cumsum(several[at])
+    lo = 0
+    while lo < len(place):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+        where, of = place[lo:hi], at[lo:hi]
+        n = several[of]  # the items that hold this seed
+        k = np.repeat(first_of[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        where, item = np.repeat(where, n), ix.item[k]
+        doc = np.searchsorted(first, where, "right") - 1
+        size = ix.size[item]
+        pad, begin = size // 4 + 4, where - ix.at[k]
+        parts.append(joined(doc, item, np.maximum(begin - pad, first[doc]), np.minimum(begin + size + pad, first[doc + 1]), np.ones(len(k), np.int64)))
+        lo = hi
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    return parts[0] if len(parts) == 1 else joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def possible(ix: Index, find: Lookup, h: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a window may reach ``threshold``. Each unit of score is an equal
+    word, and each word beyond the item's length costs one, so a copy is at most
+    (2 - threshold) items long and has threshold * size of the item's words."""
+    ok, length = np.zeros(len(item), bool), b - a
+    upto, lo = np.cumsum(length), 0
+    while lo < len(item):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+        n = length[lo:hi]
+        begin = np.cumsum(n) - n
+        where = np.repeat(a[lo:hi] - begin, n) + np.arange(n.sum())
+        held = np.zeros(len(where) + 1, np.int64)
+        held[1 + find.find(_pair(np.repeat(item[lo:hi], n), h[where]))[0]] = 1
+        held = np.cumsum(held)
+        size = ix.size[item[lo:hi]]
+        reach = np.ceil((2 - threshold) * size).astype(np.int64) + 1
+        to = np.minimum(np.arange(len(where)) + np.repeat(reach, n), np.repeat(begin + n, n))
+        most = np.maximum.reduceat(held[to] - held[:-1], begin)
+        ok[lo:hi] = most >= threshold * size
+        lo = hi
+    return ok
+
+
+def _grouped(order: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of at most 256 windows, or of about PAIRS words padded to the longest."""
+    lo = 0
+    while lo < len(order):
+        hi, cols = lo, 0
+        while hi < len(order) and hi - lo < 256:
+            cols = max(cols, int(length[order[hi]]))
+            if hi > lo and cols * (hi - lo + 1) > PAIRS:
+                break
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
 
 
 def _search(index, threshold: float):
@@ -126,32 +176,18 @@ def _search(index, threshold: float):
         ix = index.value
         grams, first_of = np.unique(ix.gram, return_index=True)
         several = np.diff(np.append(first_of, len(ix.gram)))
-        find = Lookup(grams)
+        find, words = Lookup(grams), Lookup(ix.pairs)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             with np.errstate(over="ignore"):
                 for lo, h, _, _, first, _ in wh.batch_words(wh.utf8(batch.column(1)), wh.PUNCT):
                     place, at = find.find(wh.ngrams(h, N))
-                    doc = np.searchsorted(first, place, "right") - 1
-                    inside = place + N <= first[doc + 1]
-                    place, at, doc = place[inside], at[inside], doc[inside]
-                    n = several[at]  # the items that hold this seed
-                    k = np.repeat(first_of[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    place, doc, item = np.repeat(place, n), np.repeat(doc, n), ix.item[k]
-                    size = ix.size[item]
-                    pad = size // 4 + 4
-                    a = np.maximum(place - ix.at[k] - pad, first[doc])
-                    b = np.minimum(place - ix.at[k] + size + pad, first[doc + 1])
-                    by = np.lexsort((a, item, doc))
-                    a, b, item, doc = a[by], b[by], item[by], doc[by]
-                    new = np.ones(len(by), bool)
-                    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (a[1:] > b[:-1])
-                    lows = np.flatnonzero(new)
-                    ends = np.append(lows[1:], len(by))
-                    order = np.argsort(ix.size[item[lows]], kind="stable")
-                    for c in range(0, len(order), 256):
-                        some = order[c : c + 256]
-                        w = [(item[lows[x]], doc[lows[x]], a[lows[x]], b[ends[x] - 1], ends[x] - lows[x]) for x in some]
+                    inside = place + N <= first[np.searchsorted(first, place, "right")]
+                    doc, item, a, b, n = proposed(ix, first_of, several, place[inside], at[inside], first)
+                    ok = possible(ix, words, h, item, a, b, threshold)
+                    doc, item, a, b, n = (x[ok] for x in (doc, item, a, b, n))
+                    for some in _grouped(np.lexsort((b - a, ix.size[item])), b - a):
+                        w = [(item[x], doc[x], a[x], b[x], n[x]) for x in some]
                         xs, ys = [ix.words[i] for i, *_ in w], [h[p:q] for _, _, p, q, _ in w]
                         best, end = align(xs, ys)
                         ok = np.flatnonzero(best >= threshold * ix.size[[i for i, *_ in w]])
@@ -189,8 +225,6 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         if not index.ids:
             continue
         shared = spark.sparkContext.broadcast(index)
-        counts = {r.word: r.n for r in docs.select("text").mapInArrow(_count(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-        shared = spark.sparkContext.broadcast(index.seeded(counts, counts.get(-1, 0)))
         out = out.unionByName(docs.mapInArrow(_search(shared, threshold), FOUND))
     best = F.max(F.struct("score", "n_seeds", (-F.col("first_word")).alias("o"), "last_word")).alias("best")
     out = out.groupBy("doc_id", "item_id").agg(best)

@@ -109,6 +109,38 @@ def test_leaks(spark, small, documents, texts):
     assert not {d for d, _ in got} & set(clean)
 
 
+def test_leaks_of_common_items(spark, small):
+    """An item that a third of short rows hold: its words are common, and an
+    edited copy shares none of its first trigrams."""
+    items = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").limit(2)
+    passages = {r.item_id: r.text.split()[:30] for r in items.collect()}
+    r, rows, want = random.Random(5), [], set()
+    for i, w in passages.items():
+        for k in range(40):
+            rows.append((len(rows), " ".join([*(f"w{r.randint(0, 99)}" for _ in range(30)), *w])))
+            want.add((rows[-1][0], i))
+            rows.extend((len(rows) + j, " ".join(f"w{r.randint(0, 99)}" for _ in range(60))) for j in range(2))
+        rows.append((len(rows), " ".join(x if k > 12 else f"new{k}" for k, x in enumerate(w))))
+        want.add((rows[-1][0], i))
+    cut = spark.createDataFrame([(i, " ".join(w)) for i, w in passages.items()], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), cut)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
+
+
+def test_windows_that_are_left_out_score_less():
+    """Over random words, what ``possible`` leaves out is below the threshold."""
+    r = random.Random(6)
+    items = [(i, " ".join(f"w{r.randint(0, 40)}" for _ in range(r.randint(5, 40))).encode()) for i in range(60)]
+    ix = decontaminate.Index(items)
+    h = np.concatenate([next(decontaminate.wh.batch_words([" ".join(f"w{r.randint(0, 90)}" for _ in range(3000)).encode()], decontaminate.wh.PUNCT))[1]])
+    item = np.array([r.randrange(60) for _ in range(800)])
+    a = np.array([r.randrange(2500) for _ in item])
+    b = a + np.array([r.randint(1, 300) for _ in item])
+    ok = decontaminate.possible(ix, decontaminate.Lookup(ix.pairs), h, item, a, b, 0.4)
+    best = decontaminate.align([ix.words[i] for i in item], [h[x:y] for x, y in zip(a, b, strict=True)])[0]
+    assert ok[best >= 0.4 * ix.size[item]].all() and (~ok).any()
+
+
 def test_quality_held_out(spark, documents):
     """Labels follow how a text is written; a third of them is never learnt from."""
     labels = documents.select("doc_id", F.when(F.regexp_count("text", F.lit("[!#$%&*|]")) > 20, 0).otherwise(1).alias("quality"))
