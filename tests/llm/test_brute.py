@@ -178,6 +178,47 @@ def test_license_rules():
     assert labels("nothing to see") == []
 
 
+def written(parsed, r):
+    """A text that a parsed pattern matches, with line breaks for its spaces."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            out += r.choice([chr(c) if str(o) == "LITERAL" else "\n" for o, c in x if str(o) in ("LITERAL", "CATEGORY")])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(written(x[2], r) for _ in range(r.randint(x[0], min(x[1], x[0] + 1))))
+        elif op == "SUBPATTERN":
+            out += written(x[3], r)
+        elif op == "BRANCH":
+            out += written(r.choice(x[1]), r)
+    return out
+
+
+def test_license_rules_on_wrapped_text():
+    """Every rule: its keyword is in what it matches."""
+    from re import _parser
+
+    scan, r = licenses.Scanner(), random.Random(8)
+    every = set(scan.by_key)
+    for rule in licenses.rules():
+        for _ in range(6):
+            pattern = rule.pattern.replace(r"(?![\d.]\d)", "").replace(r"\S*", "").replace(r"\d", "[0123456789]")
+            text = f"see the {written(_parser.parse(pattern), r)}\n. end"
+            assert re.search(rule.pattern, text), (rule, text)
+            assert rule.keyword in scan.present(text), (rule, text)
+            assert scan.detections(text, scan.present(text)) == scan.detections(text, every) != []
+    texts = {
+        "permission is\nhereby granted, free of charge, to any person\nobtaining a copy": "mit", "redistribution\nand use in source and binary forms, with or without\nmodification": "bsd",
+        "permission to\nuse, copy, modify, and/or distribute this software for any purpose": "isc", "in the public\ndomain": "public-domain", "all\nrights reserved": "proprietary",
+        "creative\ncommons attribution\nsharealike": "cc-by-sa", "the software shall be used for good,\nnot evil": "json",
+        "bsd license": "bsd", "under bsd license": "bsd", "the bsd\nlicense": "bsd", "a renew bsd license": "bsd", "the new bsd license": "bsd", "copyright ©2020": "copyright",
+    }
+    for text, label in texts.items():
+        assert label in [x.label for *_, x in scan.detections(text, scan.present(text))], text
+
+
 def test_token_store(spark, documents, texts, tmp_path):
     from tokenizers import Tokenizer
 
