@@ -5,15 +5,19 @@
    a posterior over domains: good, poor, toxic.
 2. Nonnegative rates, one a document, are fitted so that the expected tokens of
    each domain, rate * tokens * posterior summed over documents, match targets.
-   This is least squares under bounds by projected gradient: a step subtracts
-   posterior . v, with v the domains' remaining error in the metric of the
-   posteriors' own moments (Lipschitz constant 1), and clips. Each step is one
-   aggregation to a value for each domain; the steps' vectors are all that the
-   driver keeps, and rates are a fold over them.
+   Of all such rates they are the nearest to 1, by squares weighted with tokens:
+   the clipped value of 1 - posterior . v, for one vector v with a number a
+   domain. v is the minimum of a convex function, found by Newton steps with a
+   line search; each is one to three aggregations to a few numbers. A share
+   ``EPS`` of the distance to 1 in the objective keeps v finite where targets
+   can't be met, and makes it least squares there; when whole steps overshoot,
+   v is followed as that share falls from 0.1. Steps end at the targets or
+   where that function's gradient vanishes; the gap that remains is logged.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import DataFrame
@@ -27,7 +31,8 @@ BUCKETS = 1 << 16  # slots of hashed words; bounds the weights that are broadcas
 TRAIN_ROWS = 4000  # labelled documents the weights are learnt from, at most
 CLEAR = 3.5  # standard errors a weight is from 0, at least
 SMOOTH = 0.5
-STEPS, CLOSE, GAIN = 60, 1e-5, 0.98  # most steps; gap that ends them; so does one that closes less
+CLOSE, FLAT = 1e-5, 1e-8  # share of the budget: a gap, a gradient that end the steps
+EPS = 1e-8  # weight of the rates' distance to 1 against the gaps
 TOKEN = r"\p{L}+|[^\p{L}\p{N}\s]+"
 
 
@@ -93,48 +98,80 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
     return [row[n:] for row in a]
 
 
-def fit(posts: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None) -> list[list[float]]:
-    """The steps' vectors. Targets are shares of ``budget`` tokens, by default
-    all there are. ``most`` bounds the rates above; then a domain's target is at
-    most what its documents hold at that rate."""
+def fit(posts: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None) -> list[float]:
+    """The vector v of ``rate``. Targets are shares of ``budget`` tokens, by
+    default all there are. ``most`` bounds the rates above; then a domain's
+    target is at most what its documents hold at that rate."""
     p = [f"p_{d}" for d in DOMAINS]
-    moments = posts.agg(
-        F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(a) * F.col(b)) for a in p for b in p), *(F.sum(F.col("n_tokens") * F.col(a)) for a in p)
-    ).first()
-    total = float(moments[0] or 0)
+    held = posts.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(a)) for a in p)).first()
+    total = float(held[0] or 0)
     if not total:
         return []
-    ridge = 1e-9 * total
-    metric = _inverse([[moments[1 + 3 * i + j] + ridge * (i == j) for j in range(3)] for i in range(3)])
     share = sum(targets[d] for d in DOMAINS)
-    want = [targets[d] / share * (budget or total) for d in DOMAINS]
+    want = [targets[d] / share * (budget or total) / total for d in DOMAINS]
     if most is not None:
-        want = [min(t, most * h) for t, h in zip(want, moments[10:], strict=True)]
-    steps: list[list[float]] = []
-    before = math.inf
-    for _ in range(STEPS):
-        rated = posts.withColumn("rate", rate(steps, most))
-        have = rated.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.col(c)) for c in p)).first()
-        gap = [h - t for h, t in zip(have, want, strict=True)]
-        off = max(map(abs, gap))
-        if off <= CLOSE * sum(want) or off > GAIN * before:
+        want = [min(t, most * h / total) for t, h in zip(want, held[1:], strict=True)]
+
+    def value(v):
+        """A row's share of the function whose minimum is looked for."""
+        r = rate(v, most)
+        return F.sum(F.col("n_tokens") / total * (r * _free(v) - r * r / 2))
+
+    def rest(v, eps):
+        return sum(t * x for t, x in zip(want, v, strict=True)) + eps / 2 * sum(x * x for x in v)
+
+    def at(v, eps):
+        """Value, gaps, gradient and second derivatives at ``v``."""
+        r, n = rate(v, most), F.col("n_tokens") / total
+        free = (r > 0) if most is None else (r > 0) & (r < most)
+        pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+        row = posts.agg(value(v), *(F.sum(n * r * F.col(c)) for c in p), *(F.coalesce(F.sum(F.when(free, n * F.col(p[i]) * F.col(p[j]))), F.lit(0.0)) for i, j in pairs)).first()
+        gap = [h - t for h, t in zip(row[1:4], want, strict=True)]
+        second = [[0.0] * 3 for _ in range(3)]
+        for (i, j), x in zip(pairs, row[4:], strict=True):
+            second[i][j] = second[j][i] = x + eps * (i == j)
+        return row[0] + rest(v, eps), gap, [eps * x - g for x, g in zip(v, gap, strict=True)], second
+
+    def far(x, share):
+        return max(map(abs, x)) > share * sum(want)
+
+    # straight at EPS while whole steps lead down, else from 0 by falling weights
+    for eps, begins in ((EPS, True), *((max(EPS, 10.0**-k), k == 1) for k in range(1, 1 + round(-math.log10(EPS))))):
+        v = [0.0] * 3 if begins else v
+        now, gap, slope, second = at(v, eps)
+        flat = FLAT if eps == EPS else 1e-3 * max(CLOSE, *map(abs, gap))
+        met = True
+        while far(gap, CLOSE) and far(slope, flat):
+            step = [-sum(m * g for m, g in zip(row, slope, strict=True)) for row in _inverse(second)]
+            new = [x + y for x, y in zip(v, step, strict=True)]
+            found = at(new, eps)
+            if found[0] > now + 1e-4 * sum(g * y for g, y in zip(slope, step, strict=True)):
+                met = not begins or eps != EPS
+                if not met:
+                    break
+                tries = [[x + y / 4**k for x, y in zip(v, step, strict=True)] for k in range(1, 21)]
+                values = [x + rest(t, eps) for x, t in zip(posts.agg(*map(value, tries)).first(), tries, strict=True)]
+                new = tries[values.index(min(values))]
+                found = at(new, eps)
+                if found[0] >= now:  # as low as numbers of 64 bits go
+                    break
+            v, (now, gap, slope, second) = new, found
+        if not far(gap, CLOSE) or (met and eps == EPS):
             break
-        before = off
-        steps.append([sum(m * g for m, g in zip(row, gap, strict=True)) for row in metric])
-    return steps
+    if max(map(abs, gap)) > CLOSE * sum(want):
+        logging.getLogger(__name__).warning("targets can't be met; what is too much or lacks, as shares of all tokens: %s", dict(zip(DOMAINS, gap, strict=True)))
+    return v
 
 
-def rate(steps: list[list[float]], most: float | None = None):
-    """A document's rate: from 1, each step subtracts posterior . v and clips."""
-    if not steps:
-        return F.lit(1.0)
-    each = F.array(*(F.array(*map(F.lit, s)) for s in steps))
+def _free(v: list[float]):
+    """A document's rate before it is clipped."""
+    return F.lit(1.0) - sum((F.col(f"p_{d}") * v[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
 
-    def clip(r, v):
-        r = r - sum((F.col(f"p_{d}") * v[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), r) if most is None else F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r))
 
-    return F.aggregate(each, F.lit(1.0), clip)
+def rate(v: list[float], most: float | None = None):
+    """A document's rate: 1 less posterior . v, clipped."""
+    r = F.greatest(F.lit(0.0), _free(v)) if v else F.lit(1.0)
+    return F.least(F.lit(float(most)), r) if v and most is not None else r
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, most: float | None = None) -> DataFrame:
@@ -159,7 +196,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     posts = stored(posteriors(docs, labels, where), where, "posteriors")
     good = posts.agg(F.sum(F.col("n_tokens") * F.col("p_good"))).first()[0] or 0.0
     share = targets["good"] / sum(targets[d] for d in DOMAINS)
-    steps = fit(posts, targets, max(1.0, good / share), 1.0)
+    v = fit(posts, targets, max(1.0, good / share), 1.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    gone = posts.withColumn("rate", rate(steps, 1.0)).where((F.col("rate") < 0.999) & (draw >= F.col("rate"))).select("doc_id").distinct()
+    gone = posts.withColumn("rate", rate(v, 1.0)).where((F.col("rate") < 0.999) & (draw >= F.col("rate"))).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -274,6 +274,33 @@ def test_mixing_meets_targets(spark, small, documents):
     assert min(r.rate for r in rows) >= 0 and all(abs(r.p_good + r.p_poor + r.p_toxic - 1) < 1e-9 for r in rows)
 
 
+def soft_posteriors(spark):
+    r = np.random.default_rng(2)
+    p, n = r.dirichlet([0.9, 0.6, 0.5], 1500), r.integers(0, 900, 1500)
+    rows = [(i, int(n[i]), *map(float, p[i])) for i in range(1500)]
+    return p, n, spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double").coalesce(2).cache()
+
+
+@pytest.mark.parametrize("targets", [mixing.TARGETS, {"good": 0.97, "poor": 0.01, "toxic": 0.02}])
+def test_mixing_of_soft_posteriors(spark, targets):
+    p, n, posts = soft_posteriors(spark)
+    rates = {x.doc_id: x.rate for x in posts.withColumn("rate", mixing.rate(mixing.fit(posts, targets))).collect()}
+    have = (np.array([rates[i] for i in range(len(n))]) * n) @ p / n.sum()
+    assert min(rates.values()) >= 0 and np.abs(have - [targets[d] for d in mixing.DOMAINS]).max() <= 1e-5
+
+
+def test_mixing_as_near_as_least_squares(spark):
+    """Targets that rates up to 1 can't meet, against many plain gradient steps."""
+    p, n, posts = soft_posteriors(spark)
+    rates = {x.doc_id: x.rate for x in posts.withColumn("rate", mixing.rate(mixing.fit(posts, mixing.TARGETS, 0.5 * n.sum(), 1.0), 1.0)).collect()}
+    w, r = n / n.sum(), np.ones(len(n))
+    want = np.minimum(np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * 0.5, w @ p)
+    for _ in range(5_000):
+        r = np.clip(r - p @ ((r * w) @ p - want), 0, 1)
+    best, got = (np.linalg.norm((x * w) @ p - want) for x in (r, np.array([rates[i] for i in range(len(n))])))
+    assert best > 0.01 and got <= best + 1e-5
+
+
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
