@@ -14,6 +14,7 @@ whole copy.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,24 +26,37 @@ from inkglass.llm import wordhash as wh
 from inkglass.session import ship
 
 N = 3
-MIN_WORDS = 5  # shorter items say too little; they are not looked for
+MIN_WORDS = 5  # shorter items say too little to align; they are looked for as they are
+#: Characters of scripts without spaces, each a word; wide punctuation, which parts words.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+WIDE = re.compile("[\u3000-\u3004\u3008-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 BLOCK_WORDS = 2_000_000  # words of the items that are broadcast together
 PAIRS = 1 << 20  # seeds, window words and alignment cells that are held at once, about
 THRESHOLD = 0.4
 FOUND = "doc_id long, item_id long, score double, n_seeds long, first_word long, last_word long"
 
 
+def cut(text: bytes) -> bytes:
+    """The text with spaces around the characters of unspaced scripts."""
+    return text if text.isascii() else UNSPACED.sub(r" \1 ", WIDE.sub(" ", text.decode())).encode()
+
+
 class Index:
     """The words and n-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids, self.words = [], []
+        short: dict[int, list[tuple[int, int]]] = {}
         with np.errstate(over="ignore"):
-            for lo, h, _, _, first, _ in wh.batch_words([t for _, t in items], wh.PUNCT):
+            for lo, h, _, _, first, _ in wh.batch_words([cut(t) for _, t in items], wh.PUNCT):
                 for k in range(len(first) - 1):
                     if first[k + 1] - first[k] >= MIN_WORDS:
                         self.ids.append(items[lo + k][0])
                         self.words.append(h[first[k] : first[k + 1]])
+                    elif n := int(first[k + 1] - first[k]):
+                        short.setdefault(n, []).append((int(wh.ngrams(h[first[k] : first[k + 1]], n)[0]), items[lo + k][0]))
+            #: By number of words: the sorted grams of whole short items, and the items.
+            self.short = {n: (np.array([g for g, _ in sorted(x)], np.uint64), [i for _, i in sorted(x)]) for n, x in short.items()}
             self.size = np.array([len(w) for w in self.words], np.int64)
             self.gram = np.concatenate([*(wh.ngrams(w, N) for w in self.words), np.zeros(0, np.uint64)])
         self.item = np.repeat(np.arange(len(self.words)), np.maximum(self.size - N + 1, 0))
@@ -177,10 +191,21 @@ def _search(index, threshold: float):
         grams, first_of = np.unique(ix.gram, return_index=True)
         several = np.diff(np.append(first_of, len(ix.gram)))
         find, words = Lookup(grams), Lookup(ix.pairs)
+        shorts = [(n, g, its, Lookup(np.unique(g))) for n, (g, its) in ix.short.items()]
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             with np.errstate(over="ignore"):
-                for lo, h, _, _, first, _ in wh.batch_words(wh.utf8(batch.column(1)), wh.PUNCT):
+                for lo, h, _, _, first, _ in wh.batch_words([cut(t) for t in wh.utf8(batch.column(1))], wh.PUNCT):
+                    for size, g, its, one in shorts:
+                        place, at = one.find(wh.ngrams(h, size))
+                        doc = np.searchsorted(first, place, "right") - 1
+                        inside = place + size <= first[doc + 1]
+                        if not inside.any():
+                            continue
+                        pairs, begin = np.unique(np.stack([doc[inside], at[inside]]), axis=1, return_index=True)
+                        for (d, x), y in zip(pairs.T, place[inside][begin], strict=True):
+                            for i in its[np.searchsorted(g, one.keys[x], "left") : np.searchsorted(g, one.keys[x], "right")]:
+                                out.append((ids[lo + d], i, 1.0, 1, int(y - first[d]), int(y - first[d]) + size - 1))
                     place, at = find.find(wh.ngrams(h, N))
                     inside = place + N <= first[np.searchsorted(first, place, "right")]
                     doc, item, a, b, n = proposed(ix, first_of, several, place[inside], at[inside], first)
@@ -208,9 +233,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     score (its best copy's, ``threshold`` to 1), n_seeds, and the copy's first
     and last word, counted from 0 in the document's words.
 
-    Words are runs of letters, digits and characters beyond ASCII, A-Z folded.
-    Null and empty texts on either side match nothing; items of fewer than
-    MIN_WORDS words, or without item_id, are not looked for.
+    Words are runs of letters, digits and characters beyond ASCII, A-Z folded;
+    a character of a script without spaces is a word. Items of fewer than
+    MIN_WORDS words are found where all their words follow one another. Null and
+    empty texts on either side match nothing; items without words or item_id are
+    not looked for.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -222,7 +249,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = Index([(r.item_id, r.text.encode()) for r in part.toLocalIterator()])
-        if not index.ids:
+        if not index.ids and not index.short:
             continue
         shared = spark.sparkContext.broadcast(index)
         out = out.unionByName(docs.mapInArrow(_search(shared, threshold), FOUND))

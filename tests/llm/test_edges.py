@@ -67,6 +67,17 @@ def test_leaks(spark, odd):
     assert decontaminate.leaks(odd, items(spark).limit(0)).count() == 0
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    found = {1: "Capital of France?", 2: "法国的首都是哪一座城市？请回答。", 3: "首都？", 4: "word"}
+    it = spark.createDataFrame(list(found.items()), "item_id long, text string")
+    docs = {1: "He asked: capital of FRANCE, and left", 2: "前文在此，法国的首都是哪一座城市?请回答！后文在此", 3: "the capital of all France", 4: "word by word", 5: "wordy", 6: "capital of", 7: "France"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    r = decontaminate.leaks(df, it).collect()
+    assert decontaminate.leaks(df.where("doc_id in (5, 7)"), it).count() == 0
+    assert {(x.doc_id, x.item_id) for x in r} == {(1, 1), (2, 2), (2, 3), (4, 4)} and all(x.score == 1.0 for x in r)
+    assert {(x.first_word, x.last_word) for x in r if x.item_id == 1} == {(2, 4)}
+
+
 def test_quality_without_labels(spark, odd, labels):
     assert {r.score for r in quality.quality(odd, labels.limit(0)).collect()} == {0.5}
 
