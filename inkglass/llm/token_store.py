@@ -10,7 +10,9 @@ doc_id order and is laid out as
 
 so one short document costs a seek, the index entry and a frame. The dictionary
 lies beside the shards under its hash; it is trained on the serialised ids of
-at most DICTIONARY_DOCS documents, which bears on size alone, never on content.
+at most DICTIONARY_DOCS documents, of each at most SAMPLE_PARTS stretches of
+SAMPLE_BYTES spread evenly over its whole length. That bears on the files' size
+alone, never on their content.
 
 Shards are written to shared storage under a name of their own and renamed, so
 a task that runs twice leaves one whole file of each attempt, and the manifest
@@ -26,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,8 @@ from inkglass.session import scratch_dir, ship, stored
 MAGIC = b"IGTOK1"
 END_ID = 1
 DICTIONARY_DOCS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
-CACHE = 800_000  # runs, and pieces, whose ids a worker keeps
+SAMPLE_PARTS, SAMPLE_BYTES = 8, 4 << 10
+CACHE, KEPT = 400_000, 48  # runs that a generation of a worker's memory holds, of at most so many characters
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = "shard string, n_docs long, n_ids long, first_id long, null_ids boolean"
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
@@ -51,87 +55,74 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class Encoder:
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level pieces."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
+class Encoder(dict):
     """Serialised ids of whole texts, through the tokenizers library, which sees
-    each distinct piece once.
-
-    It never joins what white space parts, so texts are cut there, and each new
-    run is cut further as the tokenizer does it, in lower case: into words,
-    digits and runs of other marks. What is new of those goes to the library in
-    one text, each apart; the last id of each carries the mark of a word's end.
-    Runs beyond Latin letters, or with the strings of special tokens, go to it
-    as they are, and so do texts with characters that only some count as white
-    space.
+    a word again only when it was forgotten.
+
+    The tokenizer never joins what white space parts, so texts are cut there,
+    and a run is looked up here. A new run is cut further as the tokenizer does
+    it, in lower case: into words, digits and runs of other marks, each of which
+    the library's model encodes. Runs beyond Latin letters, or with the strings
+    of special tokens, go to the whole tokenizer as they are, and so do texts
+    with characters that only some count as white space.
+
+    What it knows has two generations of at most CACHE short runs; when the
+    younger is full it takes the elder's place, and what is met again comes
+    back. Longer runs are not kept.
     """
 
-    LATIN = re.compile("[\\t\\n\\r\\x20-\\x7e\xa1-\u012f\u0131-\u024f]*")
-    PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f\xb2\xb3\xb9\xbc-\xbe]+")
+    LATIN = re.compile("[\\t\\n\\r\\x20-\\x7e\xa1-\u012f\u0131-\u017f]*")
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017f\xb2\xb3\xb9\xbc-\xbe]+")
     ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\u1680"
+    BYTES = _byte_letters()
 
     def __init__(self, path: str, width: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.tokenizer, self.cut = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # for pieces: cut and in lower case already
-        self.cut.normalizer = normalizers.Sequence([])
-        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        if max(vocabulary.values()) >= 256**width - 1:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merged = self.tokenizer.model.tokenize
+        if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) >= 256**width:
             raise ValueError(f"ids of {path} don't fit in {width} bytes")
-        self.kind = f"<u{width}"
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.end = np.array([END_ID], self.kind).tobytes()
-        self.mark = b"\xff" * width  # no id
-        self.pieces: dict[str, bytes] = {"\n": self.mark}
-        self.runs: dict[str, bytes] = {}
-
-    def _each(self, new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-
-    def _learn_pieces(self, new: list[str]) -> None:
-        for k in range(0, len(new), 5000):
-            some = new[k : k + 5000]
-            ids = np.array(self.cut.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(some):  # not cut as here
-                self.pieces.update(zip(some, self._each(some), strict=True))
-                continue
-            data, size = ids.astype(self.kind).tobytes(), len(self.end)
-            at = [0, *(ends * size).tolist()]
-            self.pieces.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
-
-    def _learn_runs(self, new: list[str]) -> None:
-        joined = "\n".join(new)
-        if self.LATIN.fullmatch(joined) and "<|" not in joined:
-            plain, rest = new, []
-        else:
-            plain = [w for w in new if self.LATIN.fullmatch(w) and "<|" not in w]
-            rest = list(set(new).difference(plain))
-            joined = "\n".join(plain)
-        if plain:
-            cut = self.PIECE.findall(joined.lower())
-            pieces = set(cut)
-            if len(self.pieces) + len(pieces) > CACHE:
-                self.pieces = {"\n": self.mark}
-            self._learn_pieces(list(pieces.difference(self.pieces)))
-            data, size = b"".join(map(self.pieces.__getitem__, cut)), len(self.mark)
-            gaps = np.flatnonzero(np.frombuffer(data, self.kind) == 256**size - 1) * size
-            self.runs.update((w, data[x:y]) for w, x, y in zip(plain, [0, *(gaps + size).tolist()], [*gaps.tolist(), len(data)], strict=True))
-        self.runs.update(zip(rest, self._each(rest), strict=True))
+        self.kind = {2: "H", 4: "I"}[width]
+        self.end = array(self.kind, [END_ID]).tobytes()
+        self.elder: dict[str, bytes] = {}
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.elder.get(run)
+        if ids is None:
+            ids = self._learn(run)
+        if len(run) <= KEPT:
+            if len(self) >= CACHE:
+                self.elder = dict(self)
+                self.clear()
+            self[run] = ids
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, run: str) -> bytes:
+        if not (run.isascii() and run.isprintable() or self.LATIN.fullmatch(run)) or "<|" in run:
+            return self._whole(run)
+        low = run.lower()
+        if low != run or not low.isalpha():
+            pieces = self.PIECE.findall(low)
+            if pieces != [run]:
+                return b"".join(map(self.__getitem__, pieces))
+        return array(self.kind, [x.id for x in self.merged(low if low.isascii() else low.encode().decode("latin-1").translate(self.BYTES))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialised ids of each text, the end id last."""
-        parts = [[t] if any(c in t for c in self.ODD) else t.split() for t in texts]
-        new = set().union(*parts)
-        if len(self.runs) + len(new) > CACHE:
-            self.runs = {}
-        new = list(new.difference(self.runs))
-        if new:
-            self._learn_runs(new)
-        get = self.runs.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in parts]
+        get = self.__getitem__
+        return [(self._whole(t) if any(c in t for c in self.ODD) else b"".join(map(get, t.split()))) + self.end for t in texts]
 
 
 @functools.lru_cache(maxsize=1)
@@ -148,21 +139,32 @@ def _files(url: str):
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
-    """Dictionary bytes; a plain one of the samples' start where there is too
-    little to train on."""
+    """A trained dictionary's bytes. Where the samples are too few to train on,
+    fixed runs of ids stand beside them."""
     import zstandard
 
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[:DICTIONARY_BYTES]
+    filler = [np.random.default_rng(k).integers(0, 256, 512, dtype=np.uint8).tobytes() * 2 for k in range(64)]
+    for some, size in ((samples, DICTIONARY_BYTES), (samples, DICTIONARY_BYTES >> 4), ([*samples, *filler], DICTIONARY_BYTES >> 4)):
+        try:
+            return zstandard.train_dictionary(size, some).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    raise ValueError("no dictionary could be trained")
+
+
+def stretches(ids: bytes) -> list[bytes]:
+    """Short ids whole; of longer ones SAMPLE_PARTS stretches from start to end."""
+    if len(ids) <= SAMPLE_PARTS * SAMPLE_BYTES:
+        return [ids]
+    return [ids[at : at + SAMPLE_BYTES] for at in ((len(ids) - SAMPLE_BYTES) * k // (SAMPLE_PARTS - 1) for k in range(SAMPLE_PARTS))]
 
 
 def _sample(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, width)
         for batch in batches:
-            yield pa.record_batch([pa.array(enc.encode([x or "" for x in batch.column(0).to_pylist()]), pa.binary())], names=["ids"])
+            some = [x for ids in enc.encode([x or "" for x in batch.column(0).to_pylist()]) for x in stretches(ids)]
+            yield pa.record_batch([pa.array(some, pa.binary())], names=["ids"])
 
     return run
 
@@ -266,8 +268,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, widt
     ship(spark)
     path = tokenizer or default_tokenizer()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    few = docs.where("doc_id is not null").select("doc_id").orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(DICTIONARY_DOCS)
-    samples = docs.join(F.broadcast(few), "doc_id", "left_semi").limit(2 * DICTIONARY_DOCS).select(F.substring("text", 1, 20_000))
+    named = docs.where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    few = named.select("doc_id", "h").distinct().orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "h").limit(DICTIONARY_DOCS)
+    samples = named.join(F.broadcast(few), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.min("text").alias("text")).orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "h").select("text")
     dictionary = train_dictionary([r.ids for r in samples.mapInArrow(_sample(path, width), "ids binary").toLocalIterator()])
     files, at = _files(folder)
     files.create_dir(at, recursive=True)
