@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkglass.llm import wordhash as wh
+from inkglass.llm.sample import first_present
 from inkglass.session import ship
 
 BITS = 18
@@ -33,9 +34,8 @@ _UPPER, _LOWER, _DIGIT = (np.zeros(256, np.int64) for _ in range(3))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = 1
 
 
-def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, shape and first byte of each token of one block of texts."""
-    b = np.frombuffer(data, np.uint8)
+def _block(b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash, kind, way of writing and first byte of each token of a block."""
     kind = _KIND[b]
     edge = np.flatnonzero(np.diff(kind, prepend=np.int8(0)))
     edge = edge[kind[edge] > 0]
@@ -52,22 +52,38 @@ def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return c[ends] - c[edge]
 
     upper, lower, digit = count(_UPPER), count(_LOWER), count(_DIGIT)
-    how = 4 * np.minimum(upper, 2) + 2 * (lower > 0) + (digit > 0)
-    again = np.zeros(len(h), bool)
-    again[1:] = h[1:] == h[:-1]
-    shape = np.where(kind[edge] == 2, h, wh.mix((2 * how + again + 1000).astype(np.uint64)))
-    return h, shape, edge
+    return h, kind[edge], 4 * np.minimum(upper, 2) + 2 * (lower > 0) + (digit > 0), edge
+
+
+def _tokens(data: bytes) -> tuple[np.ndarray, ...]:
+    """The same for any length, in blocks. A block ends after a space; a run of
+    wh.BLOCK bytes without one is cut there, which depends on the text alone."""
+    b, parts, at = np.frombuffer(data, np.uint8), [], 0
+    while at < len(b):
+        to = min(at + wh.BLOCK + 2, len(b))  # a group of texts, with the ends of its lines, is one block
+        if to < len(b):
+            space = np.flatnonzero(_KIND[b[at:to]] == 0)
+            to = at + int(space[-1]) + 1 if len(space) else to
+        h, kind, how, where = _block(b[at:to])
+        parts.append((h, kind, how, where + at))
+        at = to
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Slots and values of each text; without tokens, none."""
+    """Slots and values of each text, which depend on that text alone; without
+    tokens, none."""
     out = []
     mask = np.uint64(2**BITS - 1)
     for lo, hi in wh.groups(texts):
         part = texts[lo:hi]
         at = np.cumsum([0] + [len(t) + 1 for t in part])
-        h, shape, where = _tokens(b"\n".join(part) + b"\n")
+        h, kind, how, where = _tokens(b"\n".join(part) + b"\n")
         first = np.searchsorted(where, at)
+        again = np.zeros(len(h) + 1, bool)
+        again[1:-1] = h[1:] == h[:-1]
+        again[first] = False  # a text's first token repeats none
+        shape = np.where(kind == 2, h, wh.mix((2 * how + again[:-1] + 1000).astype(np.uint64)))
         grams = [wh.ngrams(x, n) + np.uint64(k) for k, (x, n) in enumerate(((h, 1), (h, 2), (shape, 1), (shape, 2), (shape, 3)))]
         grams = [((wh.mix(g) & mask).astype(np.int32), n) for g, n in zip(grams, (1, 2, 1, 2, 3), strict=True)]
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -126,13 +142,14 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float]:
     """Learns from at most TRAIN_ROWS labelled documents, those with the least
     hash of their doc_id, outside the held-out fold. Null labels, and labels
-    other than 0 and 1, are not used; of several for a document, the least."""
+    other than 0 and 1, are not used; of several for a document, the least. Of
+    several rows with one doc_id the least text is learnt from."""
     spark = docs.sparkSession
     ship(spark)
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id").select("doc_id", "y", F.col("text").cast("string").alias("text"))
+    y = first_present(y, docs, TRAIN_ROWS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(_vectors, "doc_id long, y int, slots binary, values binary").toArrow()
     cols = [rows.column(c).to_pylist() for c in ("doc_id", "y", "slots", "values")]
     order = sorted(range(len(cols[0])), key=lambda k: ((cols[0][k] * 0x9E3779B97F4A7C15) % 2**64, cols[2][k]))
