@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -169,11 +170,16 @@ class Scanner:
                     if not inside:
                         found.append((-r.priority, s - m.end(), k, s, m.end(), r))
                     m = p.search(text, s + 1 if inside else m.end())
+        # none that is kept contains another, so their starts and their ends rise together
+        starts: list[int] = []
         kept: list[tuple[int, int, Rule]] = []
         for *_, s, e, r in sorted(found, key=lambda x: x[:4]):
-            if not any(a <= s and e <= b or s <= a and b <= e for a, b, _ in kept):
-                kept.append((s, e, r))
-        return sorted(kept, key=lambda x: x[:2])
+            at = bisect_left(starts, s)
+            inside = at and kept[at - 1][1] >= e
+            if not inside and (at == len(kept) or kept[at][0] > s and kept[at][1] > e):
+                starts.insert(at, s)
+                kept.insert(at, (s, e, r))
+        return kept
 
 
 @functools.lru_cache(maxsize=1)
