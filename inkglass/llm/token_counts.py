@@ -23,6 +23,7 @@ import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,17 +85,26 @@ class Transducer:
 
     def merge(self, text: str) -> list[str]:
         """What the merge rules give: the earliest-ranked neighbours first, leftmost of ties."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranks = [self.rank.get(x + y, float("inf")) for x, y in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == float("inf"):
-                break
-            k = ranks.index(best)
-            if len(parts) == 2:
-                self.last_merge.setdefault(text, (parts[0], parts[1]))
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        n, rank = len(text), self.rank
+        parts, after, before = list(text), [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, k, 2) for k in range(n - 1) if (r := rank.get(text[k : k + 2])) is not None]
+        heapify(heap)
+        last = None
+        while heap:
+            _, k, size = heappop(heap)
+            j = after[k]
+            if not parts[k] or j < 0 or len(parts[k]) + len(parts[j]) != size:
+                continue  # one of the two has grown or gone since
+            last = parts[k], parts[j]
+            parts[k], parts[j], after[k] = parts[k] + parts[j], "", after[j]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y >= 0 and (r := rank.get(parts[x] + parts[y])) is not None:
+                    heappush(heap, (r, x, len(parts[x]) + len(parts[y])))
+        if last and parts[0] == text:
+            self.last_merge.setdefault(text, last)
+        return [p for p in parts if p]
 
     def halves(self, piece: str) -> tuple[str, str] | None:
         """The last merge that makes a piece; None for a character, or a piece
@@ -148,6 +158,8 @@ class Transducer:
             text, before, since = self.states[state]
             move = self.moves.get((text, c))
             if move is None:
+                if len(self.moves) > STATES:
+                    self.moves.clear()
                 move = self.moves[text, c] = self.move(text, c)
             ends, text, stay = move
             get = self.pairs.get
@@ -180,7 +192,7 @@ class Transducer:
         if n is None:
             if len(self.parts) > WORDS:
                 self.parts.clear()
-            # runs of spaces have one score: by the rules themselves
+            # runs of spaces have one score, so the local test can't tell their ties: by the rules themselves
             n = self.parts[text] = self.by_rules(text) if text.startswith(SPACE * 2) else self.run(text)
         return n
 
@@ -195,7 +207,7 @@ class Transducer:
         n = self.known.get(text)
         if n is None:
             n, open_ = 0, ""
-            for run in _RUN.findall(SPACE + text.replace(" ", SPACE)):
+            for run in _runs(SPACE + text.replace(" ", SPACE)):
                 if open_ and open_[-1] + run[0] not in self.beside:
                     n += self.part(open_)
                     open_ = run
@@ -214,7 +226,24 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-_RUN = re.compile(f"{SPACE}*[^\\W\\d_]+|(?:(?!{SPACE}*[^\\W\\d_]).)+", re.S)
+_RUN = re.compile(f"{SPACE}+|[^\\W\\d_]+|[^{SPACE}\\w]+(?:[\\d_]+[^{SPACE}\\w]*)*|[\\d_]+(?:[^{SPACE}\\w]+[\\d_]*)*")
+
+
+def _runs(text: str) -> list[str]:
+    """Letters with the spaces before them, and what lies between, in order."""
+    out, letters = [], True
+    for run in reversed(_RUN.findall(text)):
+        if run[0].isalpha():
+            out.append(run)
+            letters = True
+        elif run[0] == SPACE and out and out[-1][0].isalpha() or not letters:
+            out[-1] = run + out[-1]
+        else:
+            out.append(run)
+            letters = False
+    return out[::-1]
+
+
 _SYNC = re.compile("(?<=[^ ])(?= )")
 _WORD = re.compile(" ( *[^ ]*)")
 
