@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkglass.llm import wordhash as wh
@@ -100,7 +100,7 @@ def floor_of(threshold: float) -> float:
     return threshold - 6 * (p * (1 - p) / K) ** 0.5 / (1 - _CHANCE)
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sig array<long>"
 
 
 def _sign(n: int):
@@ -109,17 +109,17 @@ def _sign(n: int):
             for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
                 with np.errstate(over="ignore"):
-                    sets = wh.shingle_sets(wh.utf8(part.column(1)), n)
+                    sets = wh.shingle_sets(wh.utf8(part.column(2)), n)
                     low = np.stack([minima(s) for s in sets])
                     keys, sig = band_keys(low), pack(low)
                     a = [int(wh.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                     b = [int(wh.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 yield pa.record_batch(
                     [
-                        part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                        part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                         pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())), pa.array(sig.tolist(), pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sig"],
                 )
 
     return run
@@ -235,11 +235,11 @@ def _run_cells(rows: DataFrame, columns: list[str], run: Callable) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """(name, text) of the documents in ``ids``, each id once."""
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text) of the rows whose doc_id and text_hash are in ``ids``, each once."""
     few = ids.count() <= BROADCAST_IDS
-    out = docs.select(F.col("doc_id").alias(name), "text").join(F.broadcast(ids) if few else ids, name, "left_semi")
-    return out.dropDuplicates([name])
+    out = docs.select(F.col("doc_id").alias("node"), "text_hash", "text").join(F.broadcast(ids) if few else ids, ["node", "text_hash"], "left_semi")
+    return out.dropDuplicates(["node"]).select("node", "text")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
@@ -249,24 +249,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFram
     their distinct n-word shingles; component_id is the smallest doc_id
     reachable over links. Null and empty texts have no shingles and no links.
     Rows without doc_id stay alone, with a null component, and are kept. Of
-    rows with one doc_id and different texts, one is compared.
+    rows with one doc_id and different texts, each stands for itself among equal
+    texts, and the one of the least hash of its text is compared with others.
     """
     spark = docs.sparkSession
     ship(spark)
     where = scratch_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     floor = floor_of(per_cent / 100)
     signed = stored(docs.mapInArrow(_sign(n), SIGNED), where, "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stored(some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node")), where, "reps")
-    nodes = signed.join(reps, ["n_shingles", "set_a", "set_b"]).where("doc_id = node").dropDuplicates(["node"])
+    nodes = some.join(reps, ["n_shingles", "set_a", "set_b"]).where("doc_id = node")
+    first = Window.partitionBy("node").orderBy("text_hash")
+    nodes = nodes.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
     keyed = stored(nodes.select(F.explode("bands").alias("key"), "node"), where, "keyed")
     full = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1").select("key", "first")
     members = stored(keyed.join(full, "key"), where, "members")
-    sigs = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sig"), where, "sigs")
+    sigs = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_hash", "n_shingles", "sig"), where, "sigs")
 
     # families, from signatures alone
-    one, two = (sigs.select(*(F.col(c).alias(f"{c}_{s}") for c in sigs.columns)) for s in "ab")
+    one, two = (sigs.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "sig"))) for s in "ab")
     pairs = members.where("node <> first").select(F.col("first").alias("node_a"), F.col("node").alias("node_b")).distinct().join(one, "node_a").join(two, "node_b")
     pairs = pairs.where(F.least("n_shingles_a", "n_shingles_b") >= floor * F.greatest("n_shingles_a", "n_shingles_b")).where(estimated(F.col("sig_a"), F.col("sig_b")) >= floor)
     edges = stored(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), where, "close")
@@ -278,7 +281,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFram
     families = stored(labels.withColumnRenamed("label", "key").join(sigs, "node"), where, "families")
 
     # links, from full sets
-    texts = stored(_texts(docs, families.select("node"), "node"), where, "texts")
+    texts = stored(_texts(docs, families.select("node", "text_hash")), where, "texts")
     large = families.groupBy("key").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s")).where((F.col("m") > 2 * BLOCK) | (F.col("s") > 2 * BLOCK_SHINGLES))
     large = stored(large.select(F.col("key").alias("family"), F.ceil(F.col("m") / PER_TASK).cast("int").alias("parts")), where, "large")
     labels = families.select("node", F.col("node").alias("label"))
@@ -291,7 +294,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFram
         labels = families.select("node").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = _cells(families.join(labels, "node")).join(texts, "node")
     links = links.unionByName(stored(_run_cells(rows, ["text"], _in_cells(floor, (n, per_cent))), where, "links"))
-    out = signed.join(reps, ["n_shingles", "set_a", "set_b"], "left").join(components(links), "node", "left")
+    # rows without words, however many, have nothing to be joined with
+    out = some.join(reps, ["n_shingles", "set_a", "set_b"]).join(components(links), "node", "left").select("doc_id", "n_shingles", "node", "label")
+    out = out.unionByName(signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles"), allowMissingColumns=True)
     comp = F.coalesce("label", "node", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
