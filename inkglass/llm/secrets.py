@@ -5,12 +5,13 @@ password-like name), ``access`` (a cloud access id), ``hex`` (a long run of hex
 digits). Weak parts mean little alone: ``ident`` (a user, client or account
 assigned a value), ``opaque`` (a mixed run of 32 or more letters and digits),
 ``endpoint`` (an URL or an IPv4 address). They are reported only when what
-completes a credential starts within ``SCOPE`` characters: an identifier for a
-secret, a secret for an identifier, both for an endpoint.
+completes a credential is no more than ``SCOPE`` characters away, from the end
+of the one part to the start of the other: an identifier for a secret, a secret
+for an identifier, both for an endpoint.
 
-The interval join is by cells of SCOPE characters: a weak part meets the least
-and the greatest start of each role in its own cell and the two beside it,
-which is exact and linear, however many parts a text holds.
+The interval join is a sweep over a text's parts in order of their starts: what
+comes before a part is near when the greatest end of its role is, what comes
+after when the least start is. That is exact, and linear after the sort.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkglass.functions.text import let
 from inkglass.session import scratch_dir, stored
 
 SCOPE = 200
@@ -25,7 +27,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"""(?i)(?:user(?:name)?|login|client_?id|account(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]+"""
-OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,31}[0-9])(?=[A-Z0-9+/_-]{0,31}[a-z])(?=[a-z0-9+/_-]{0,31}[A-Z])[A-Za-z0-9+/_-]{32,}"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>()]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"""
 #: A text without a match of this has no part.
 ANY = r"(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{24}|user|login|client|account|https?://|[0-9]\.[0-9]|[a-z0-9+/_-]{32}"
@@ -34,6 +36,7 @@ STRONG = [("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 2
 WEAK = [("ident", IDENT, 0, 1), ("opaque", OPAQUE, 0, 32), ("endpoint", ENDPOINT, 0, 1)]
 KINDS = [k for k, *_ in STRONG + WEAK]
 SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
+AT_ONCE = 256  # matches whose places are added up together
 
 
 def spans(text, rank: int, pattern: str, group: int, least: int):
@@ -50,7 +53,18 @@ def spans(text, rank: int, pattern: str, group: int, least: int):
         one = F.array(F.struct(s.alias("s"), F.lit(rank).alias("k"), e.alias("e")))
         return F.struct(e.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(each, zero, add)["out"]
+    # places within blocks of matches, then the blocks' own places: a list that grows is copied for each match
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def placed(blocks):
+        starts = F.aggregate(blocks, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        moved = F.zip_with(blocks, starts, lambda x, at: F.transform(x["out"], lambda y: F.struct((y["s"] + at).alias("s"), y["k"].alias("k"), (y["e"] + at).alias("e"))))
+        return F.flatten(moved)
+
+    def blocks(each):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / AT_ONCE).cast("int")), lambda k: F.aggregate(F.slice(each, k * AT_ONCE + 1, AT_ONCE), zero, add))
+
+    return let(each, lambda x: F.when(F.size(x) > AT_ONCE, let(blocks(x), placed)).otherwise(F.aggregate(x, zero, add)["out"]))
 
 
 def _found(text, kinds, first: int):
@@ -79,18 +93,21 @@ def secrets(docs: DataFrame) -> DataFrame:
     some = rows.where(F.size("weak") > 0).where((F.size("base") + F.size("weak")) > 1).dropDuplicates(["row"])
     parts = some.select("row", F.explode(F.concat("base", "weak")).alias("p")).select("row", "p.*")
     strong = F.col("k") < len(STRONG)
-    w = Window.partitionBy("row").orderBy("s", "k", "e")
-    parts = parts.withColumn("before", F.max(F.when(strong, F.col("e"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    parts = parts.withColumn("after", F.min(F.when(strong, F.col("s"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    parts = parts.where(strong | ((F.coalesce("before", F.lit(-1)) <= F.col("s")) & (F.coalesce("after", F.lit(2**62)) >= F.col("e"))))
-    parts = stored(parts.select("row", "s", "k", "e", F.floor(F.col("s") / SCOPE).alias("cell")), where, "linked_parts")
-    role = F.when(F.col("k").isin(KINDS.index("access"), KINDS.index("ident")), "id").when(F.col("k") != KINDS.index("endpoint"), "secret")
-    cells = parts.withColumn("role", role).where("role is not null").groupBy("row", "cell", "role").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    weak = parts.where(F.col("k") >= len(STRONG)).withColumn("near", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    met = weak.alias("w").join(cells.alias("c"), F.expr("w.row = c.row AND w.near = c.cell")).where((F.col("hi") >= F.col("s") - SCOPE) & (F.col("lo") <= F.col("s") + SCOPE))
-    met = met.groupBy("w.row", "s", "k", "e").agg(F.max(F.expr("role = 'id'")).alias("with_id"), F.max(F.expr("role = 'secret'")).alias("with_secret"))
-    whole = F.when(F.col("k") == KINDS.index("ident"), F.col("with_secret")).when(F.col("k") == KINDS.index("opaque"), F.col("with_id")).otherwise(F.col("with_id") & F.col("with_secret"))
-    linked = met.where(whole).groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("linked"))
+    up = Window.partitionBy("row").orderBy("s", "k", "e").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row").orderBy(F.desc("s"), F.desc("k"), F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.lit(-SCOPE - 1), F.lit(2**62)
+
+    def around(of, name: str):
+        """The greatest end of such parts before a part, the least start after it."""
+        return {f"{name}_before": F.coalesce(F.max(F.when(of, F.col("e"))).over(up), low), f"{name}_after": F.coalesce(F.min(F.when(of, F.col("s"))).over(down), high)}
+
+    parts = parts.withColumns(around(strong, "strong"))
+    parts = parts.where(strong | ((F.col("strong_before") <= F.col("s")) & (F.col("strong_after") >= F.col("e"))))
+    ids, endpoint = F.col("k").isin(KINDS.index("access"), KINDS.index("ident")), F.col("k") == KINDS.index("endpoint")
+    parts = parts.withColumns(around(ids, "id") | around(~ids & ~endpoint, "secret"))
+    near = {n: (F.col(f"{n}_before") >= F.col("s") - SCOPE) | (F.col(f"{n}_after") <= F.col("e") + SCOPE) for n in ("id", "secret")}
+    whole = F.when(F.col("k") == KINDS.index("ident"), near["secret"]).when(F.col("k") == KINDS.index("opaque"), near["id"]).otherwise(near["id"] & near["secret"])
+    linked = parts.where(~strong & whole).groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("linked"))
     out = rows.join(linked, "row", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN)))))
 
     def count(rank: int):
