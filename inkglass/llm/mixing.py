@@ -23,6 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkglass.llm.sample import first_present
 from inkglass.session import scratch_dir, stored
 
 DOMAINS = ["good", "poor", "toxic"]
@@ -33,7 +34,9 @@ CLEAR = 3.5  # standard errors a weight is from 0, at least
 SMOOTH = 0.5
 CLOSE, FLAT = 1e-5, 1e-8  # share of the budget: a gap, a gradient that end the steps
 EPS = 1e-8  # weight of the rates' distance to 1 against the gaps
-TOKEN = r"\p{L}+|[^\p{L}\p{N}\s]+"
+TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"  # words with their digits, and runs of other marks
+ROW = -1  # stands for a row itself among the slots of its tokens
+COPIES = 10_000  # of one row, dealt out at once
 
 
 def _tokens(text):
@@ -50,7 +53,7 @@ def weights(docs: DataFrame, labels: DataFrame, where: str) -> tuple[DataFrame,
     the row out for quality; of several rows for a document the worst counts."""
     domain = F.when(F.coalesce("toxic", F.lit(0)) == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(domain).alias("y"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    y = first_present(y, docs, TRAIN_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")
     each = rows.select("y", F.explode(_tokens(F.col("text"))).alias("t")).groupBy(_slot(F.col("t")).alias("slot")).agg(*(F.count(F.when(F.col("y") == k, 1)).alias(f"c{k}") for k in range(3)))
     each = stored(each, where, "slots")
@@ -69,20 +72,22 @@ def posteriors(docs: DataFrame, labels: DataFrame, where: str) -> DataFrame:
     """(doc_id, n_tokens, p_good, p_poor, p_toxic) for every row of ``docs``.
     Texts without tokens have the priors."""
     w, prior = weights(docs, labels, where)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode_outer(_tokens(F.col("text"))).alias("i", "t"))
-    rows = rows.withColumn("slot", _slot(F.col("t"))).join(F.broadcast(w), "slot", "left")
-    # rows that repeat a document add up; "copies" says how many there are
-    by = rows.groupBy("doc_id", "h").agg(
-        F.count("t").alias("n"), F.count(F.when(F.coalesce("i", F.lit(0)) == 0, 1)).alias("copies"), F.coalesce(F.sum("w1"), F.lit(0.0)).alias("s1"), F.coalesce(F.sum("w2"), F.lit(0.0)).alias("s2")
-    )
+    w = w.unionByName(docs.sparkSession.createDataFrame([(ROW, 0.0, 0.0)], w.schema))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), _tokens(F.col("text")).alias("ts"))
+    rows = rows.select("doc_id", "h", F.size("ts").alias("n"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("t"))
+    # tokens without weight end here; the row's own entry goes on, and says how often the row is there
+    rows = rows.withColumn("slot", F.when(F.col("t") == "", ROW).otherwise(_slot(F.col("t")))).join(F.broadcast(w), "slot")
+    by = rows.groupBy("doc_id", "h").agg(F.max("n").alias("n"), F.count(F.when(F.col("slot") == ROW, 1)).alias("copies"), F.sum("w1").alias("s1"), F.sum("w2").alias("s2"))
     by = by.select(
-        "doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), "copies",
+        "doc_id", F.col("n").cast("long").alias("n_tokens"), "copies",
         *((F.col(f"s{k}") / F.col("copies") + (prior[k] - prior[0])).alias(f"z{k}") for k in (1, 2)),
     )
     top = F.greatest(F.lit(0.0), "z1", "z2")
     e = [F.exp(z - top) for z in (F.lit(0.0), F.col("z1"), F.col("z2"))]
     out = by.select("doc_id", "n_tokens", "copies", *((x / (e[0] + e[1] + e[2])).alias(f"p_{d}") for x, d in zip(e, DOMAINS, strict=True)))
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    some = F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("part") * COPIES)
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    return out.withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), some))).drop("copies", "part")
 
 
 def _inverse(m: list[list[float]]) -> list[list[float]]:
