@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,41 +39,80 @@ def _scalar(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     return make
 
 
-POINT = "array<struct<hash:string,position:int>>"
+POINT = "array<struct<hash:bigint,position:int>>"
 
 
-def _hash(mode: str) -> Callable[[str], str]:
+def _hash(mode: str) -> Callable[[str], int]:
+    """The first 64 bits of a digest, as an unsigned number."""
     if mode == "md5":
-        return lambda s: hashlib.md5(s.encode()).hexdigest()[:16]
-    return lambda s: hashlib.blake2b(s.encode(), digest_size=8).hexdigest()
-
-
-def winnow(hashes: list[str], window: int = WINDOW) -> list[int]:
-    """Places of the windows' least hashes, the last of equals; of a run no
-    longer than a window, the first least."""
-    n = len(hashes)
-    if n <= window:
-        return [hashes.index(min(hashes))] if n else []
-    out: list[int] = []
-    for i in range(n - window + 1):
-        best = i + window - 1
-        for k in range(i + window - 2, i - 1, -1):
-            if hashes[k] < hashes[best]:
-                best = k
-        if not out or out[-1] != best:
-            out.append(best)
-    return out
-
-
-def fingerprint(text: str, hasher: Callable[[str], str], known: dict[str, str], k: int = K, window: int = WINDOW) -> list[tuple[str, int]]:
-    if not text:
-        return []
-    parts = [text] if len(text) < k else [text[i : i + k] for i in range(len(text) - k + 1)]
-    for p in parts:
-        if p not in known:
-            known[p] = hasher(p)
-    hashes = [known[p] for p in parts]
-    return [(hashes[i], i) for i in winnow(hashes, window)]
+        return lambda s: int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "big")
+    return lambda s: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big")
+
+
+def hash_hex(c: Column) -> Column:
+    """A point's hash as sixteen hexadecimal digits."""
+    return F.lpad(F.lower(F.hex(c)), 16, "0")
+
+
+def _shingle_hashes(chars: np.ndarray, at: np.ndarray, k: int, hasher: Callable[[str], int], known: dict[str, int]) -> np.ndarray:
+    """Hash of the k characters from each place of ``at``. Each distinct run of
+    characters is hashed once: a run is one number as long as the characters
+    that occur can be numbered in 64 / k bits, else a row of k numbers."""
+    letters, number = np.unique(chars, return_inverse=True)
+    rows = np.stack([number[at + j] for j in range(k)], axis=1)
+    if len(letters) ** k < 2**63:
+        key = rows[:, 0].astype(np.int64)
+        for j in range(1, k):
+            key = key * len(letters) + rows[:, j]
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    else:
+        _, first, back = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    grams = letters[rows[first]].astype("<u4").tobytes().decode("utf-32-le")
+    out = np.empty(len(first), np.uint64)
+    for i in range(len(first)):
+        g = grams[i * k : i * k + k]
+        h = known.get(g)
+        if h is None:
+            h = known[g] = hasher(g)
+        out[i] = h
+    return out[back.reshape(-1)]
+
+
+def fingerprints(texts: list[str], hasher: Callable[[str], int], known: dict[str, int] | None = None, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points of all texts: hashes, positions, and how many each text has.
+
+    A text's shingles are its runs of k characters, or a shorter text itself.
+    Of every ``window`` neighbours the least hash is a point, the last of equal
+    ones; of a text with no more than ``window`` shingles the first least.
+    """
+    known = {} if known is None else known
+    size = np.array([len(t) for t in texts], np.int64)
+    n = np.where(size >= k, size - k + 1, np.minimum(size, 1))  # shingles
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    begin, first = np.cumsum(size) - size, np.cumsum(n) - n
+    h = np.zeros(int(n.sum()), np.uint64)
+    long = np.repeat(size >= k, n)
+    place = np.arange(len(h)) - np.repeat(first, n)
+    if long.any():
+        h[long] = _shingle_hashes(chars, (np.repeat(begin, n) + place)[long], k, hasher, known)
+    for i in np.flatnonzero((size > 0) & (size < k)):
+        h[first[i]] = hasher(texts[i])
+    # windows lie inside one text; a text shorter than that is one window, read from its end
+    of = np.repeat(np.arange(len(texts)), n)
+    start = np.flatnonzero(place + window <= np.repeat(n, n)) if len(h) else np.zeros(0, np.int64)
+    start = start[n[of[start]] > window]
+    best = start + window - 1
+    for j in range(window - 2, -1, -1):
+        best = np.where(h[start + j] < h[best], start + j, best)
+    if len(best):
+        best = best[np.append(True, best[1:] != best[:-1])]
+    few = np.flatnonzero((n > 0) & (n <= window))
+    least = first[few].copy()
+    for j in range(1, window):
+        other = np.minimum(first[few] + j, first[few] + n[few] - 1)
+        least = np.where(h[other] < h[least], other, least)
+    points = np.sort(np.concatenate([best, least]))
+    return h[points], place[points].astype(np.int32), np.bincount(of[points], minlength=len(texts)) if len(points) else np.zeros(len(texts), np.int64)
 
 
 def with_points(df: DataFrame, column: str, mode: str = "md5", keep: list[str] | None = None) -> DataFrame:
@@ -83,49 +123,41 @@ def with_points(df: DataFrame, column: str, mode: str = "md5", keep: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = _hash(mode), {}
-        kind = pa.list_(pa.struct([("hash", pa.string()), ("position", pa.int32())]))
-        for b in batches:
-            if len(known) > 500_000:
-                known.clear()
-            rows = [[{"hash": h, "position": p} for h, p in fingerprint(t or "", hasher, known)] for t in b.column(b.schema.get_field_index(column)).to_pylist()]
-            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(rows, kind)], names=[*keep, "points"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                if len(known) > 500_000:
+                    known.clear()
+                h, at, n = fingerprints([t or "" for t in b.column(b.schema.get_field_index(column)).to_pylist()], hasher, known)
+                points = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(at, pa.int32())], ["hash", "position"])
+                ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+                yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.ListArray.from_arrays(ends, points)], names=[*keep, "points"])
 
     return df.select(*keep, *([column] if column not in keep else [])).mapInArrow(run, f"{schema}, points {POINT}")
 
 
-# What a sentence does not end after, seen in the characters up to its mark.
-PROTECTED = [
-    re.compile(r"\b(?:vb|vs|vd|vrs|bkz|örn|yay|çev|ed|eds|hz|dr|prof|doç|yrd|öğr|st|mr|mrs|ms|fig|no|nos|vol|pp|cf|ca|approx|e\.g|i\.e|et al|al|etc|inc|ltd|co|corp|dept|univ|assoc|sec|eq|ref|refs|tab|ch|art)\.$", re.I),
-    re.compile(r"(?:^|\s)\d+\.$"),
-    re.compile(r"[^\d]\.\d+\.?$"),
-    re.compile(r"\b[A-ZÇĞİÖŞÜ]\.$"),
-    re.compile(r"\b(?:[A-ZÇĞİÖŞÜ]\.){2,}$"),
-    re.compile(r"(?:https?://|www\.)\S*$", re.I),
-]
-_END = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s+|$)")
+# Abbreviations that no sentence ends after, and what keeps a mark from ending one when the characters up to it hold it.
+ABBREVIATIONS = {"dr.", "prof.", "doç.", "müh.", "yrd.", "tek.", "mim.", "ibid.", "bkz.", "vb.", "vd.", "vs.", "örn.", "t.c.", "rh.", "mp."}
+PROTECTED = re.compile(r"(?i:Prof\. Dr\.)|(?<!\d)[.,](?=\d)|\b10\.|(?i:https?|ftp)://|(?:^|\s)\d+\.|\.{3}(?=\s|$)")
 LOOK_BACK = 21
+_BORDER = re.compile(r"(?<=[.!?])\s+(?=[A-ZÇĞİÖŞÜ])")
+
+
+def _ends(text: str, mark: int) -> bool:
+    """Whether the mark at this place ends a sentence."""
+    run = re.search(r"\S+$", text[max(0, mark - 200) : mark].rstrip())
+    word = run[0].lower() if run else ""
+    return word not in ABBREVIATIONS and word + "." not in ABBREVIATIONS and not PROTECTED.search(text[max(0, mark - LOOK_BACK + 1) : mark + 1])
 
 
 def split_protected(paragraph: str) -> list[tuple[str, int, int]]:
-    """Sentences with their code point offsets in the stripped paragraph. A
-    mark ends one unless the characters up to it are an abbreviation, a bare
-    number, an initial or the like."""
-    text, out, start = paragraph.strip(), [], 0
-    for m in _END.finditer(text):
-        mark = m.start() + 1
-        if any(p.search(text[max(0, mark - LOOK_BACK) : mark]) for p in PROTECTED) and m.end() < len(text):
-            continue
-        s, e = start, m.end()
-        while s < e and text[s].isspace():
-            s += 1
-        if s < e:
-            out.append((text[s:e], s, e))
-        start = m.end()
-    rest = text[start:]
-    if rest.strip():
-        s = start + len(rest) - len(rest.lstrip())
-        out.append((text[s:].rstrip(), s, s + len(text[s:].rstrip())))
-    return out
+    """Sentences with their code point offsets in the stripped paragraph. One
+    ends at a mark before white space and a capital, but for abbreviations,
+    headings' numbers and the like."""
+    text = paragraph.strip()
+    borders = [m.span() for m in _BORDER.finditer(text) if _ends(text, m.start() - 1)]
+    starts, ends = [0, *(e for _, e in borders)], [*(s for s, _ in borders), len(text)]
+    return [(text[s:e], s, e) for s, e in zip(starts, ends, strict=True) if s < e]
 
 
 @_scalar("array<struct<text:string,start:int,end:int>>")
@@ -298,10 +330,30 @@ def quotes(c):
     return pd.Series([[{"start": s, "end": e} for s, e in quote_pairs(x or "")] for x in c])
 
 
+_TOKEN = re.compile(r"\b[^\W_]+\b")
+
+
 def name_like(text: str) -> list[str]:
-    """Acronyms, mixed-case names and runs of capitalised words, each once."""
-    found = re.findall(r"\b(?:[A-ZÇĞİÖŞÜ]{2,}\w*|\w+[a-zçğıöşü][A-ZÇĞİÖŞÜ]\w*|[A-ZÇĞİÖŞÜ][a-zçğıöşü]+(?:\s+[A-ZÇĞİÖŞÜ][a-zçğıöşü]+)+)\b", text)
-    return list(dict.fromkeys(found))
+    """Acronyms, words with capitals inside, and runs of two and more
+    capitalised words with only white space between, each once."""
+    names: list[str] = []
+    run: tuple[int, int, int] | None = None  # start, end, words
+    for m in _TOKEN.finditer(text):
+        token = m[0]
+        odd = len(token) > 1 and token.isupper() or any(map(str.isupper, token[1:]))
+        title = not odd and token[0].isupper() and token[1:].islower()
+        grows = bool(run and title and not text[run[1] : m.start()].strip())
+        if run and not grows:
+            if run[2] > 1:
+                names.append(text[run[0] : run[1]])
+            run = None
+        if odd:
+            names.append(token)
+        elif title:
+            run = (run[0], m.end(), run[2] + 1) if grows else (m.start(), m.end(), 1)
+    if run and run[2] > 1:
+        names.append(text[run[0] : run[1]])
+    return list(dict.fromkeys(names))
 
 
 @_scalar("array<string>")

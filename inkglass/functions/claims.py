@@ -12,44 +12,45 @@ SIGNALS = [
     ("quotation", "“[^”]+”|\"[^\"]+\"|'[^']+'"),
     (
         "comparative",
-        "(?i)\\b(?:more than|less than|fewer than|greater than|higher than|lower than|compared to|in comparison|than the|outperform|underperform|exceeds?"
+        "(?iU)\\b(?:more than|less than|fewer than|greater than|higher than|lower than|compared to|in comparison|than the|outperform|underperform|exceeds?"
         "|surpasses?|daha yüksek|daha düşük|daha fazla|daha az|kıyasla|oranla|kıyaslandığında)\\b",
     ),
     (
         "causal",
-        "(?i)\\b(?:causes?|leads? to|results? in|due to|because of|contributes? to|is associated with|is linked to|correlates? with|affects?|influences?"
+        "(?iU)\\b(?:causes?|leads? to|results? in|due to|because of|contributes? to|is associated with|is linked to|correlates? with|affects?|influences?"
         "|neden ol[\\p{L}\\p{N}_]*|yol aç[\\p{L}\\p{N}_]*|nedeniyle|kaynaklan[\\p{L}\\p{N}_]*|etkile[\\p{L}\\p{N}_]*|ilişkilidir)\\b",
     ),
     (
         "statistic",
-        "(?i)%\\s*\\d[\\d,.]*|\\b\\d[\\d,.]*\\s*(?:%|percent|million|billion|trillion|thousand|hundred|milyon|milyar|bin)"
+        "(?iU)%\\s*\\d[\\d,.]*|\\b\\d[\\d,.]*\\s*(?:%|percent|million|billion|trillion|thousand|hundred|milyon|milyar|bin)"
         "|\\b(?:approximately|roughly|about|nearly|over|around|up to|yaklaşık|en az|en çok|yüzde)\\s+\\d"
         "|\\b(?:increase|decrease|growth|rate|ratio|proportion|average|median|mean|artış|azalış|oran|ortalama)\\b.*\\d",
     ),
     (
         "prior_work",
-        "(?i)\\b(?:previous|prior|earlier|following|subsequent|existing|established)\\s+"
+        "(?iU)\\b(?:previous|prior|earlier|following|subsequent|existing|established)\\s+"
         "(?:work|study|research|studies|findings|evidence|literature|approach|method|technique|framework|model)",
     ),
-    ("historical", "(?i)\\b(?:first|introduced|discovered|established|founded|proposed|published|invented|developed|created|originated|began|emerged)\\b"),
-    ("definition", "(?i)\\b(?:is defined as|refers to|is known as|is called|can be defined|means that|is understood as|is characterized by)\\b"),
+    ("historical", "(?iU)\\b(?:first|introduced|discovered|established|founded|proposed|published|invented|developed|created|originated|began|emerged)\\b"),
+    ("definition", "(?iU)\\b(?:is defined as|refers to|is known as|is called|can be defined|means that|is understood as|is characterized by)\\b"),
 ]
 GENERAL = "general_fact"
-INSTRUCTION = "(?i)^(?:#+\\s*)?(?:note|todo|fixme|hack|xxx|important|attention|warning|please|ensure|make sure|do not|never|always|must|should|shall)\\b"
-DECISION = "(?i)\\b(?:we (?:decided|chose|selected|opted|will use|plan to)|the (?:goal|purpose|aim) (?:of this|is to))\\b"
+# What keeps a paragraph from being a claim, and what negates. U: letters and case beyond ASCII count.
+INSTRUCTION = "(?iU)^(?:#+\\s*)?(?:note|todo|fixme|hack|xxx|important|attention|warning|please|ensure|make sure|do not|never|always|must|should|shall)\\b"
+DECISION = "(?iU)\\b(?:we (?:decided|chose|selected|opted|will use|plan to)|the (?:goal|purpose|aim) (?:of this|is to))\\b"
 FORM_LABEL = (
-    "(?i)^(?:başvuru sahibinin adı soyadı|danışmanın adı soyadı|araştırma önerisinin başlığı|araştırmanın yürütüleceği kurum(?:/kuruluş)?|anahtar kelimeler)\\s*:"
+    "(?iU)^(?:başvuru sahibinin adı soyadı|danışmanın adı soyadı|araştırma önerisinin başlığı|araştırmanın yürütüleceği kurum(?:/kuruluş)?|anahtar kelimeler)\\s*:"
 )
 FORM_CONTEXT = (
-    "(?i)(?:başvuru formu(?:nun|nda|na)?|bu bölüm(?:ün|de|e)?|araştırma önerisi(?:nin|nde|ne)?|anahtar kelimeler|çalışma takvimi(?:nin|nde|ne)?"
-    "|risk yönetimi tablosu(?:nun|nda|na)?|çizelge(?:deki|nin)?|satır(?:lar|ların)?|sütun(?:daki|lar|ların)?)(?![\\p{L}\\p{N}_])"
+    "(?iU)(?:^|[^\\p{L}\\p{N}_])(?:başvuru formu(?:nun|nda|na)?|bu bölüm(?:ün|de|e)?|araştırma önerisi(?:nin|nde|ne)?|anahtar kelimeler|çalışma takvimi(?:nin|nde|ne)?"
+    "|risk yönetimi tablosu(?:nun|nda|na)?|çizelge(?:deki|nin)?|satır(?:lar|ların)?|sütun(?:daki|lar|ların)?)(?:$|[^\\p{L}\\p{N}_])"
 )
 DIRECTIVE = (
-    "(?i)(?:beklenir|önerilir|istenir|yazılmalı(?:dır)?|hazırlanmalı(?:dır)?|doldurulmalı(?:dır)?|açıklanmalı(?:dır)?|belirtilmeli(?:dir)?|sunulmalı(?:dır)?"
-    "|gösterilmemeli(?:dir)?|ortaya konulur|ifade edilir|belirtilir|eklenebilir|yazılır|sunulur|verilir|özetlenir|doldurularak)(?![\\p{L}\\p{N}_])"
+    "(?iU)(?:^|[^\\p{L}\\p{N}_])(?:beklenir|önerilir|istenir|yazılmalı(?:dır)?|hazırlanmalı(?:dır)?|doldurulmalı(?:dır)?|açıklanmalı(?:dır)?|belirtilmeli(?:dir)?|sunulmalı(?:dır)?"
+    "|gösterilmemeli(?:dir)?|ortaya konulur|ifade edilir|belirtilir|eklenebilir|yazılır|sunulur|verilir|özetlenir|doldurularak)(?:$|[^\\p{L}\\p{N}_])"
 )
 NEGATION = (
-    "(?i)\\b(?:not|no|did not|does not|failed to|no significant|not associated|not linked|no evidence|no effect|no impact|not significantly|not considerably"
+    "(?iU)\\b(?:not|no|did not|does not|failed to|no significant|not associated|not linked|no evidence|no effect|no impact|not significantly|not considerably"
     "|neither|nor|without|lack of|absence of|contrary to|opposite of|refutes?|negates?)\\b"
 )
 SEVERITY = {"statistic": "high", "causal": "high", "quotation": "high", "comparative": "medium", "historical": "medium", "definition": "medium"}

@@ -14,18 +14,32 @@ from inkglass.session import scratch_dir, stored
 CLOSE, SEMANTIC = 0.70, 0.85
 EPSILON = 1e-9
 WEIGHTS = {"meaning": 0.40, "support": 0.30, "source_reduction": 0.20, "structural": 0.10}
-# What a rewrite must keep; weak wording and the strong wording it must not become.
+# What a rewrite must keep, as numbers with units, versions, identifiers, dates. U: letters and digits beyond ASCII count.
 PROTECTED = [
-    "\\d+(?:[.,]\\d+)*\\s*(?:%|percent|km|kg|mg|g|cm|mm|m|ms|s|GB|MB|KB|Hz|kHz|MHz|GHz)?",
-    "\\bv\\d+(?:\\.\\d+)+\\b",
-    "\\b[A-Z]{2,}-?\\d+\\b",
-    "\\b\\d{4}-\\d{2}-\\d{2}\\b",
-]
-STRONGER = [
-    ("may", "will"), ("might", "will"), ("could", "does"), ("suggests", "proves"), ("suggest", "prove"), ("associated with", "causes"), ("correlates with", "causes"),
-    ("some", "all"), ("often", "always"),
+    "(?iU)(?<!\\w)(?:n\\s*=\\s*)?\\d[\\d,]*(?:\\.\\d+)?%?(?:\\s*(?:mg(?:/kg)?|g(?:/kg)?|kg|ml|mmol/l|mol/l|cm|mm|km|hz|mhz|ghz|°c|°f))?(?!\\w)",
+    "(?iU)\\b(?:v(?:ersion)?\\s*)?\\d+(?:\\.\\d+){1,3}\\b",
+    "(?U)\\b[A-Za-z][A-Za-z0-9_-]*[-_][A-Za-z0-9_.-]*\\d[A-Za-z0-9_.-]*\\b",
+    "(?iU)\\b(?:\\d{4}-\\d{2}-\\d{2}|(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\\s+\\d{1,2},\\s+\\d{4})\\b",
 ]
-NEGATED = "(?i)\\b(?:not|no|never|without|neither|nor|cannot|can't|doesn't|didn't|isn't|wasn't)\\b"
+# Weak wording, and the strong wording that it must not become; what negates a clause.
+TRANSITIONS = [
+    (["associated with", "correlated with", "linked to", "related to"], ["caused", "causes", "led to", "results in"]),
+    (["may ", "might ", "possible"], ["definitely", "certainly", "proves"]),
+    (["could "], ["will ", "eliminates"]),
+    (["some ", "a subset", "limited to"], ["all ", "every ", "universally"]),
+    (["preliminary evidence", "initial evidence", "limited evidence", "suggests"], ["proves", "conclusively established", "conclusively demonstrated", "definitive evidence"]),
+    (["ilişkili", "ilişki bulundu", "ilişki gözlendi", "bağlantılı", "korelasyon", "birlikte değişim"], ["neden oldu", "neden olur", "neden olduğu", "sebep oldu", "sebep olur", "yol açtı", "yol açar"]),
+    (
+        ["olabilir", "olabileceği", "artırabilir", "azaltabilir", "uygulanabilir", "muhtemeldir", "gösterebilir", "işaret etmektedir", "düşündürmektedir"],
+        ["kesindir", "kesin olarak", "mutlaka", "kanıtlamaktadır", "kesin olarak gösterilmiştir", "kesin olarak etkilidir"],
+    ),
+    (["bazı", "bir kısmı", "belirli katılımcılar"], ["tümü", "tüm ", "herkes", "bütün katılımcılar"]),
+    (
+        ["ön bulgular", "ilk bulgular", "sınırlı kanıt", "işaret etmektedir", "düşündürmektedir", "gözlemsel sonuç"],
+        ["kesin kanıt", "kanıtlanmıştır", "kanıtlamaktadır", "kesin olarak gösterilmiştir", "kesin olarak etkilidir", "nedensellik gösterilmiştir"],
+    ),
+]
+NEGATORS = ["not ", "no ", "never ", "does not ", "did not ", "cannot ", "değil", "gösterilmemiş", "kanıtlanmamış", "kurulamaz", "görülmedi", "söylenemez", "doğrulanmamış"]
 
 
 def risk(exact: Column, lexical: Column, semantic: Column, level: Column, quoted: Column, cited: Column, verified: Column, matched: Column) -> Column:
@@ -58,26 +72,45 @@ def fix_plan(risk_type: Column, action: Column) -> Column:
 
 def protected_tokens(c: Column) -> Column:
     """Numbers with units, versions, identifiers, dates: each once, in order of kind."""
-    return F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in PROTECTED))), lambda x: F.trim(x)))
+    found = F.transform(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in PROTECTED))), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
-def strengthened(original: Column, candidate: Column) -> Column:
-    """Whether weak wording of the original gave way to its strong counterpart."""
-    a, b = F.lower(original), F.lower(candidate)
+def _folded(c: Column) -> Column:
+    return T.collapse(F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "’‘–—", "''--"))
 
-    def has(c: Column, w: str) -> Column:
-        return c.rlike(f"\\b{w}\\b")
 
-    return reduce(lambda x, y: x | y, (has(a, w) & ~has(b, w) & has(b, s) & ~has(a, s) for w, s in STRONGER))
+def _holds(c: Column, phrases: list[str]) -> Column:
+    return reduce(lambda x, y: x | y, (F.contains(c, F.lit(p)) for p in phrases))
 
 
-def gates(original: Column, candidate: Column, citations: Column, meaning: Column, unsupported: Column, before: tuple[Column, Column], after: tuple[Column, Column]) -> Column:
-    """Reasons against a rewrite, none if it may be used."""
+def strengthened(original: Column, candidate: Column) -> Column:
+    """Whether the original has weak wording and the candidate asserts its
+    strong counterpart, in a clause without a negation."""
+    a, clauses = _folded(original), F.filter(F.split(_folded(candidate), "[;.!?]+"), lambda x: ~_holds(x, NEGATORS))
+
+    def asserted(phrases: list[str]) -> Column:
+        return F.exists(clauses, lambda x: _holds(x, phrases))
+
+    return reduce(lambda x, y: x | y, (_holds(a, weak) & asserted(strong) for weak, strong in TRANSITIONS))
+
+
+def gates(
+    original: Column, candidate: Column, citations: Column, meaning: Column, unsupported: Column, before: tuple[Column, Column], after: tuple[Column, Column], entities: Column | None = None, verdict: Column | None = None
+) -> Column:
+    """Reasons against a rewrite, none if it may be used. ``entities`` are the
+    original's names (``arrow.entities``), ``verdict`` what its source says of it."""
+    none = F.array().cast("array<string>")
+    folded, names = F.replace(F.lower(candidate), F.lit("ß"), F.lit("ss")), none if entities is None else F.coalesce(entities, none)
+    stronger = strengthened(original, candidate)
+    contradicted = F.lit(False) if verdict is None else F.coalesce(verdict == "contradicted", F.lit(False))
+    a, b = protected_tokens(original), protected_tokens(candidate)
     reasons = [
         (~F.forall(citations, lambda c: F.contains(candidate, c)), "a citation is missing"),
-        (F.size(F.array_except(protected_tokens(original), protected_tokens(candidate))) + F.size(F.array_except(protected_tokens(candidate), protected_tokens(original))) > 0, "numbers changed"),
-        (strengthened(original, candidate), "the claim is stronger"),
-        (original.rlike(NEGATED) != candidate.rlike(NEGATED), "polarity changed"),
+        (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)) > 0, "numbers changed"),
+        (~F.forall(names, lambda n: F.contains(folded, F.replace(F.lower(n), F.lit("ß"), F.lit("ss")))), "a name is missing"),
+        (stronger, "the claim is stronger"),
+        (stronger | contradicted, "the source does not support it"),
         (meaning != "preserved", "meaning is not preserved"),
         (F.size(unsupported) > 0, "unsupported claims"),
         (~overlap_reduced(before, after), "overlap did not fall"),

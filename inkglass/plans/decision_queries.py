@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkglass.functions import text as T
 from inkglass.operators import audit, bibliography, compare, evaluation, reduction, support, verification
-from inkglass.plans.registry import Fixture, query
+from inkglass.plans.registry import Fixture, literal, query
 from inkglass.session import table
 
 # ---- numbered citations -----------------------------------------------------
@@ -356,13 +356,25 @@ _REWRITES = Fixture(
     [
         (1, "Coffee may lower risk by 12 %", "Risk may fall by 12 % with coffee", 0.9, 0.8, 0.4, 0.5, 0.9, 0.5, 0.8, 0.4), (2, "Coffee may lower risk", "Coffee will lower risk", 0.95, 0.9, 0.1, 0.9, 0.9, 0.8, 0.8, 0.8),
         (3, "It is associated with age 40", "It causes age 41", 0.5, None, -0.1, None, 0.5, 0.6, 0.5, 0.5), (4, "Some plants grow", "All plants grow", None, 0.2, None, 0.2, 0.5, 0.5, 0.5, 0.5), (5, "It does not rise", "It rises", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.6),
+        (6, "Sleep is linked to mood", "Sleep has not caused it; mood fell", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4), (7, "Sleep is linked to mood", "It is not rare. Sleep led to low mood", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4),
+        (8, "Uyku ile ilişkili bulundu", "Uyku buna neden oldu", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4), (9, "Etkisi olabilir", "Etkisi kesindir", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4),
+        (10, "Bazı bitkiler büyür", "Tüm bitkiler büyür değil", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4), (11, "This may help", "This definitely helps", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4),
     ],
 )
 
 
+def _sql_any(text: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {literal(p)})" for p in phrases) + ")"
+
+
+_STRONGER = " OR ".join(
+    f"({_sql_any('lower(original)', weak)} AND len(list_filter(string_split_regex(lower(candidate), '[;.!?]+'), lambda x: {_sql_any('x', strong)} AND NOT {_sql_any('x', reduction.NEGATORS)})) > 0)" for weak, strong in reduction.TRANSITIONS
+)
+
+
 @query(
     f"""SELECT id, round(0.4 * coalesce(meaning, 0) + 0.3 * coalesce(support, 0) + 0.2 * greatest(coalesce(delta, 0), 0) + 0.1 * (1 - coalesce(lexical, 0)), 6) AS score,
-               e1 <= e0 + 1e-9 AND l1 <= l0 + 1e-9 AND (e1 < e0 - 1e-9 OR l1 < l0 - 1e-9) AS reduced, id IN (2, 3, 4) AS stronger FROM {_REWRITES.sql}"""
+               e1 <= e0 + 1e-9 AND l1 <= l0 + 1e-9 AND (e1 < e0 - 1e-9 OR l1 < l0 - 1e-9) AS reduced, {_STRONGER} AS stronger FROM {_REWRITES.sql}"""
 )
 def rewrite_ranking(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col

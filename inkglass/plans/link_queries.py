@@ -27,15 +27,15 @@ def citations_in_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS id, CAST(event_id % 40 * 10 AS BIGINT) AS s, CAST(event_id % 40 * 10 + 1 + event_id % 9 AS BIGINT) AS e FROM events WHERE event_id % 7 = 0), d AS (SELECT id, s, max(e) AS e FROM m GROUP BY id, s),
-       q AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS id, CAST(event_id % 20 * 20 + 3 AS BIGINT) AS qs, CAST(event_id % 20 * 20 + 15 AS BIGINT) AS qe FROM events WHERE event_id % 5 = 0),
+    """WITH m AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS id, CAST(event_id % 40 * 10 AS BIGINT) AS s, CAST(event_id % 40 * 10 + 1 + event_id % 9 AS BIGINT) AS e FROM events), d AS (SELECT id, s, max(e) AS e FROM m GROUP BY id, s),
+       q AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS id, CAST(event_id % 20 * 20 + 3 AS BIGINT) AS qs, CAST(event_id % 20 * 20 + 15 AS BIGINT) AS qe FROM events),
        p AS (SELECT id, sum(greatest(0, least(e, qe) - greatest(s, qs))) AS quoted FROM d JOIN q USING (id) GROUP BY id)
        SELECT id, round(coalesce(quoted, 0) / n, 6) AS coverage FROM (SELECT id, sum(e - s) AS n FROM d GROUP BY id) LEFT JOIN p USING (id)"""
 )
 def quote_coverage(spark: SparkSession, sf: str) -> DataFrame:
     e, ev = F.col("event_id"), table(spark, sf, "events")
-    m = ev.where(e % 7 == 0).select(F.col("user_id").alias("id"), (e % 40 * 10).alias("start"), (e % 40 * 10 + 1 + e % 9).alias("end")).groupBy("id", "start").agg(F.max("end").alias("end"))
-    q = ev.where(e % 5 == 0).select(F.col("user_id").alias("id"), (e % 20 * 20 + 3).alias("start"), (e % 20 * 20 + 15).alias("end")).distinct()
+    m = ev.select(F.col("user_id").alias("id"), (e % 40 * 10).alias("start"), (e % 40 * 10 + 1 + e % 9).alias("end")).groupBy("id", "start").agg(F.max("end").alias("end"))
+    q = ev.select(F.col("user_id").alias("id"), (e % 20 * 20 + 3).alias("start"), (e % 20 * 20 + 15).alias("end")).distinct()
     return links.quote_coverage(m, q).withColumn("coverage", F.round("coverage", 6))
 
 

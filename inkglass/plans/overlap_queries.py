@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkglass.functions import arrow
 from inkglass.functions import text as T
 from inkglass.operators import compare, evaluation, intervals, retrieval, review
 from inkglass.plans import overlap
@@ -39,7 +40,7 @@ _OVERLAP = f"""(
 @query(f"SELECT item_id, sentence_index, hash, position FROM {_ITEMS}")
 def winnow_points(spark: SparkSession, sf: str) -> DataFrame:
     rows = overlap.fingerprints(overlap.sentence_table(table(spark, sf, "benchmark"), "item_id"), "item_id")
-    return rows.select("item_id", "sentence_index", F.explode("points").alias("p")).select("item_id", "sentence_index", "p.hash", F.col("p.position").cast("long").alias("position"))
+    return rows.select("item_id", "sentence_index", F.explode("points").alias("p")).select("item_id", "sentence_index", arrow.hash_hex(F.col("p.hash")).alias("hash"), F.col("p.position").cast("long").alias("position"))
 
 
 @query(f"SELECT doc_id, sentence_index, item_id, item_sentence, shared, round(overlap, 6) AS overlap FROM {_OVERLAP} WHERE overlap >= 0.3")

@@ -156,6 +156,7 @@ def _sql_signal(kind: str, pattern: str) -> str:
 _NOT_CLAIM = f"""(trim(text) = '' OR starts_with(trim(text), '#') OR starts_with(trim(text), '(*)') OR starts_with(trim(text), '(**)')
   OR (length(regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g')) >= 4 AND regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g') = upper(regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g')))
   OR regexp_matches(trim(text), {literal(C.FORM_LABEL)}) OR regexp_matches(trim(text), {literal(C.INSTRUCTION)}) OR regexp_matches(trim(text), {literal(C.DECISION)})
+  OR (regexp_matches(trim(text), {literal(C.FORM_CONTEXT)}) AND regexp_matches(trim(text), {literal(C.DIRECTIVE)}))
   OR len({sql_words("text")}) < 5)"""
 _CLAIMS = f"""SELECT conv_id, turn, CAST(i AS BIGINT) AS sentence_index, s[i + 1] AS sentence
   FROM (SELECT conv_id, turn, {sql_sentences("text")} AS s FROM conversations WHERE NOT {_NOT_CLAIM}), LATERAL (SELECT unnest(range(len(s))) AS i)

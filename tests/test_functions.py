@@ -17,14 +17,23 @@ def test_winnow_is_the_windows_minima():
     r = random.Random(5)
     for _ in range(500):
         h = [f"{r.randint(0, 6):016x}" for _ in range(r.randint(0, 30))]
-        assert arrow.winnow(h) == brute_winnow(h)
+        texts = ["".join(r.choice("abc") for _ in range(r.randint(0, 40))) for _ in range(r.randint(0, 6))]
+        few = lambda g: sum(map(ord, g)) % 7  # noqa: E731  many ties
+        hashes, places, n = arrow.fingerprints(texts, few)
+        at = 0
+        for t, k in zip(texts, n.tolist(), strict=True):
+            h = [few(t[i : i + 5]) for i in range(len(t) - 4)] if len(t) >= 5 else [few(t)] if t else []
+            assert places[at : at + k].tolist() == brute_winnow(h) and hashes[at : at + k].tolist() == [h[i] for i in brute_winnow(h)]
+            at += k
 
 
-def test_fingerprint_of_short_and_empty():
+def test_fingerprint_of_short_and_odd():
     md5 = arrow._hash("md5")
-    assert arrow.fingerprint("", md5, {}) == []
-    assert [p for _, p in arrow.fingerprint("abc", md5, {})] == [0]
+    assert [x.tolist() for x in arrow.fingerprints(["", "abc", ""], md5)] == [[md5("abc")], [0], [0, 1, 0]]
     assert arrow._hash("blake2b")("abc") != md5("abc")
+    wide = "".join(chr(0x4E00 + k) for k in range(9000)) + "😀"  # too many letters for one number
+    h, at, n = arrow.fingerprints([wide], md5)
+    assert at.tolist() == brute_winnow([md5(wide[i : i + 5]) for i in range(len(wide) - 4)]) and n.tolist() == [len(at)]
 
 
 def test_citations():
@@ -44,8 +53,13 @@ def test_numbers():
 def test_sentences_keep_their_places():
     p = "  Dr. Smith left. It was late! See fig. 3 of J. Doe. Done"
     parts = arrow.split_protected(p)
-    assert [t for t, _, _ in parts] == ["Dr. Smith left.", "It was late!", "See fig. 3 of J. Doe.", "Done"]
+    assert [t for t, _, _ in parts] == ["Dr. Smith left.", "It was late!", "See fig. 3 of J.", "Doe.", "Done"]
     assert all(p.strip()[s:e] == t for t, s, e in parts)
+    cases = {
+        "He ate. then he left.": 1, "Bkz. ibid. Ahmet geldi.": 1, "Sayın Müh. Ali geldi.": 1, "See fig. Three. It ends.": 3, "Prof. Dr. Ali geldi. Şimdi gitti.": 1, "Prof. Dr. Ali geldi ve uzun uzun anlattı. Şimdi gitti.": 2, "1. Giriş bölümü. Sonra gelir.": 1,
+        "T.C. Ankara. İkinci cümle.": 2, "Oran 3.5 Oldu. Bitti.": 1, "Wait... Now. End.": 1, "Ne? Evet! Tamam.": 3, "bak http://a.org/x. Sonra.": 1,
+    }
+    assert {t: len(arrow.split_protected(t)) for t in cases} == cases
     assert arrow.split_protected("") == []
 
 
@@ -60,6 +74,9 @@ def test_quotes():
 
 def test_entities_and_passages():
     assert arrow.name_like("NASA and John Smith use PySpark") == ["NASA", "John Smith", "PySpark"]
+    assert arrow.name_like("iPhone and eBay, Émile Zola") == ["iPhone", "eBay", "Émile Zola"]
+    assert arrow.name_like("Ada Lovelace, Grace met Alan Turing DNA Ada Lovelace") == ["Ada Lovelace", "Alan Turing", "DNA"]
+    assert arrow.name_like("") == arrow.name_like("plain words Only one") == []
     assert arrow.passages(["aa", "", "bbb", "c" * 7], 8) == ["aa\n\nbbb", "c" * 7]
 
 
@@ -81,4 +98,4 @@ def test_trigram_overlap_bounds(spark):
 def test_udf_columns(spark):
     df = spark.createDataFrame([("Café A. Done.", "Cafe")], "a string, b string")
     r = df.select(arrow.nfkd_ascii(F.col("a")).alias("n"), arrow.sequence_ratio(F.col("a"), F.col("b")).alias("s"), F.size(arrow.sentences(F.col("a"))).alias("k"), arrow.quotes(F.lit('"x"')).alias("q")).first()
-    assert r.n == "Cafe A. Done." and 0 < r.s < 1 and r.k == 1 and r.q[0].end == 3
+    assert r.n == "Cafe A. Done." and 0 < r.s < 1 and r.k == 2 and r.q[0].end == 3
