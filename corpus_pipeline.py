@@ -47,7 +47,7 @@ STAGES = [
     ("token-id output", token_output),
 ]
 
-#: The classifiers and the tokenizer have no SQL; tests hold the rows against a brute-force version.
+#: The classifiers and the tokenizer have no SQL; tests hold each stage's rows against a plain version of it.
 ORACLE_SQL = None
 
 

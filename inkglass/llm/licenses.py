@@ -7,7 +7,8 @@ the rules whose keyword is there are run. Of two detections of which one
 contains the other, the one of higher priority stays, then the longer, then the
 earlier rule; what only overlaps in part stays.
 
-The rules are made from families, versions and the ways they are written:
+Names, notices and clauses are written out, a rule each; those of licenses with
+versions are made from families, versions and the ways they are written:
 titles, short forms, SPDX ids and tags, file headers, urls.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkglass.llm import wordhash as wh
+from inkglass.llm.license_phrases import CLAUSES, NAMES, WEAK
 from inkglass.session import ship
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -129,8 +131,8 @@ def rules() -> list[Rule]:
         for v in COMMONS_VERSIONS:
             out.append(Rule(f"{label}-{v}", 40 + len(parts), 0.95, "cc", rf"\bcc[- ]{parts.replace('-', '[- ]')}[- ]{re.escape(v)}(?![\d.]\d)"))
             out.append(Rule(f"{label}-{v}", 50 + len(parts), 0.95, "creativecommons.org", rf"creativecommons\.org/licenses/{parts}/{re.escape(v)}"))
-    for label, key, phrase in PLAIN:
-        out.append(Rule(label, 15 if label in ("copyright", "proprietary") else 25, 0.3 if label == "copyright" else 0.8, key, rf"(?<!\w){_spaced(phrase)}(?!\w)"))
+    for label, key, phrase in [*PLAIN, *NAMES, *CLAUSES]:
+        out.append(Rule(label, 15 if label in WEAK else 25, 0.3 if label in ("copyright", "disclaimer") else 0.8, key, rf"(?<!\w){_spaced(phrase)}(?!\w)"))
         if label in SPDX:
             out.append(Rule(label, 60, 1.0, "spdx", rf"spdx-license-identifier:\s*{label}\b"))
     return list(dict.fromkeys(out))
