@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -49,11 +50,13 @@ def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a local temporary folder stands in.
+    and the master is local (tests, a laptop) a temporary folder stands in.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="inkglass-scratch-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/inkglass/{uuid.uuid4().hex}"
