@@ -115,6 +115,36 @@ def fingerprints(texts: list[str], hasher: Callable[[str], int], known: dict[str
     return h[points], place[points].astype(np.int32), np.bincount(of[points], minlength=len(texts)) if len(points) else np.zeros(len(texts), np.int64)
 
 
+def segment_pairs(a: str, b: str, hasher: Callable[[str], int], known: dict[str, int] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Stretches of ``a`` and of ``b`` under common points, the i-th place of a
+    hash in the one with the i-th in the other; what touches is one stretch."""
+    h, at, n = fingerprints([a, b], hasher, known)
+    places: list[dict[int, list[int]]] = [{}, {}]
+    for k, (x, p) in enumerate(zip(h.tolist(), at.tolist(), strict=True)):
+        places[int(k >= n[0])].setdefault(x, []).append(p)
+    met = [pair for x in places[0].keys() & places[1].keys() for pair in zip(places[0][x], places[1][x], strict=False)]
+
+    def merged(starts: list[int], size: int) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for s in sorted(starts):
+            e = min(s + K, size)
+            out[-1:] = [(out[-1][0], max(out[-1][1], e))] if out and s <= out[-1][1] else [*out[-1:], (s, e)]
+        return out
+
+    return merged([p for p, _ in met], len(a)), merged([q for _, q in met], len(b))
+
+
+@_scalar("struct<document:array<struct<start:int,end:int>>,source:array<struct<start:int,end:int>>>")
+def segments(a, b):
+    import pandas as pd
+
+    hasher, known, out = _hash("md5"), {}, []
+    for x, y in zip(a, b, strict=True):
+        both = segment_pairs(x or "", y or "", hasher, known)
+        out.append({k: [{"start": s, "end": e} for s, e in spans] for k, spans in zip(("document", "source"), both, strict=True)})
+    return pd.DataFrame(out, columns=["document", "source"])
+
+
 def with_points(df: DataFrame, column: str, mode: str = "md5", keep: list[str] | None = None) -> DataFrame:
     """``df`` with a column ``points``. Batches stay in Arrow end to end."""
     ship(df.sparkSession)

@@ -182,3 +182,23 @@ def char_ngram_jaccard(a: Column, b: Column) -> Column:
         return F.when(short, by_words).otherwise(let(char_ngrams(a), lambda x: let(char_ngrams(b), lambda y: jaccard(x, y))))
 
     return let(normalize_turkish(a), lambda x: let(normalize_turkish(b), lambda y: score(x, y)))
+
+
+QUOTED = "\"[^\"\n]+\"|“[^”\n]+”|‘[^’\n]+’|«[^»\n]+»"
+#: A numbered mark, or a year in round brackets.
+CITED = "\\[\\d+(?:\\s*[-–,]\\s*\\d+)*\\]|\\([^()]*\\b(?:19|20)\\d\\d[a-z]?\\)"
+
+
+def places(c: Column, pattern: str) -> Column:
+    """Start and end of each match, from the lengths of matches and of what
+    lies between. For sentences: the list is copied for each match."""
+    between, hits = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    each = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("b"), hits.alias("h"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.length(x["b"])
+        e = s + F.length(x["h"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end")))).alias("out"))
+
+    return F.aggregate(each, zero, add)["out"]

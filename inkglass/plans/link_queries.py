@@ -207,11 +207,13 @@ def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
 def review_reports(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON report a document with matches."""
     from inkglass.operators import review
-    from inkglass.plans.overlap_queries import _review_words
+    from inkglass.plans import overlap
     from inkglass.sources import sinks
 
-    words, totals = _review_words(spark, sf)
+    docs = table(spark, sf, "documents")
+    found = overlap.review_matches(docs, table(spark, sf, "benchmark"))
+    words, totals = review.covered_words(found), overlap.word_totals(docs)
     summary = review.coverage(words, totals).where("raw_percent > 0")
     shares = review.contributions(review.allocate_words(words, ["doc_id", "paragraph", "word"]), totals)
-    matches = words.select("doc_id", "match_rank", "source_id", "kind").distinct().withColumn("severity", F.lit("high")).withColumn("status", F.lit("unattributed_exact"))
+    matches = found.select("doc_id", "match_rank", "match_id", "source_id", "match_type", "sentence_index", "spans", "source_spans", F.size("words").alias("words"), "quoted", "cited", "severity", "status")
     return sinks.review_json(summary, matches, shares)

@@ -228,33 +228,57 @@ def common_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return by.where(listed | ((F.col("docs") >= 3) & (F.col("n") <= 12))).select(F.md5("phrase").alias("phrase"), "docs")
 
 
-def _review_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Words (doc_id, paragraph, word, source_id, match_rank, ...) of sentences
-    with matches, and documents' word counts."""
-    docs = table(spark, sf, "documents")
-    found = overlap.matches(docs, table(spark, sf, "benchmark")).withColumn("source_id", F.col("item_id"))
-    order = [F.when(F.col("match_type") == "exact", 0).otherwise(1), F.col("overlap").desc(), "sentence_index", "item_id", "item_sentence"]
-    from pyspark.sql import Window
-
-    found = found.withColumn("match_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).cast("long")).where("match_rank <= 200")
-    sentences = overlap.sentence_table(docs).withColumn("n_words", F.size(T.words(F.col("sentence"))).cast("long"))
-    totals = sentences.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
-    words = found.join(sentences, ["doc_id", "sentence_index"]).where("n_words > 0").select(
-        "doc_id", F.col("sentence_index").alias("paragraph"), F.explode(F.sequence(F.lit(1), F.col("n_words"))).alias("word"), "source_id", "match_rank",
-        F.when(F.col("match_type") == "exact", "exact").otherwise("lexical").alias("kind"), F.lit(True).alias("reviewable"), F.lit(False).alias("quoted"), F.lit(False).alias("attributed"),
-    )
-    return words, totals
+def _sql_places(c: str, pattern: str) -> str:
+    """Start and end of each match, as a list of structs."""
+    p = literal(pattern)
+    hits, between = f"regexp_extract_all({c}, {p})", f"regexp_split_to_array({c}, {p})"
+    before = f"list_sum(list_transform(({between})[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(({hits})[1:i - 1], lambda x: length(x))), 0)"
+    return f"list_transform(range(1, len({hits}) + 1), lambda i: {{'s': CAST({before} AS BIGINT), 'e': CAST({before} + length(({hits})[i]) AS BIGINT)}})"
+
+
+_KEYS = "doc_id, sentence_index, item_id, item_sentence"
+_SEVERITY = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
+_REVIEW = f"""
+  sn AS (SELECT doc_id, CAST(i AS BIGINT) AS sentence_index, s[i + 1] AS sentence, {sql_sentence("s[i + 1]")} AS n, regexp_matches(text, {literal(T.CITED)}) AS cited, len({_W}) AS n_words FROM (SELECT doc_id, text, {sql_sentences("text")} AS s FROM documents), LATERAL (SELECT unnest(range(len(s))) AS i)),
+  t AS (SELECT doc_id, CAST(sum(n_words) AS BIGINT) AS n_words FROM sn GROUP BY doc_id),
+  si AS (SELECT item_id, CAST(i AS BIGINT) AS item_sentence, s[i + 1] AS source, {sql_sentence("s[i + 1]")} AS source_n FROM (SELECT item_id, {sql_sentences("text")} AS s FROM benchmark), LATERAL (SELECT unnest(range(len(s))) AS i)),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY overlap DESC, item_id, item_sentence) AS r FROM {_OVERLAP} WHERE overlap >= 0.7) WHERE r <= 5),
+  many AS (SELECT doc_id, sentence_index, count(DISTINCT item_id) AS sources FROM best GROUP BY ALL),
+  m AS (SELECT {_KEYS}, n, source_n, cited, sources, contains(lower(sentence), lower(source)) AS verbatim, overlap, CASE WHEN contains(lower(sentence), lower(source)) THEN 1.0 ELSE overlap END AS ex FROM best JOIN many USING (doc_id, sentence_index) JOIN sn USING (doc_id, sentence_index) JOIN si USING (item_id, item_sentence)),
+  pq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index, hash ORDER BY position) AS k FROM {_DOCS}),
+  pc AS (SELECT item_id, sentence_index AS item_sentence, hash, position AS at, row_number() OVER (PARTITION BY item_id, sentence_index, hash ORDER BY position) AS k FROM {_ITEMS}),
+  met AS (SELECT {_KEYS}, position AS s, least(position + 5, length(n)) AS e FROM m JOIN pq USING (doc_id, sentence_index) JOIN pc USING (item_id, item_sentence, hash, k) WHERE NOT verbatim AND overlap < 0.9),
+  isl AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY {_KEYS} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(e) OVER (PARTITION BY {_KEYS} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM met)),
+  sp AS (SELECT {_KEYS}, min(s) AS s, max(e) AS e FROM isl GROUP BY {_KEYS}, g UNION ALL SELECT {_KEYS}, CASE WHEN verbatim THEN instr(n, source_n) - 1 ELSE 0 END, CASE WHEN verbatim THEN instr(n, source_n) - 1 + length(source_n) ELSE length(n) END FROM m WHERE verbatim OR overlap >= 0.9),
+  wp AS (SELECT {_KEYS}, unnest(range(len(p))) AS word, unnest(p) AS w FROM (SELECT {_KEYS}, {_sql_places("n", T.WORD)} AS p FROM m)),
+  cw AS (SELECT DISTINCT {_KEYS}, word FROM wp JOIN sp USING ({_KEYS}) WHERE sp.s < w.e AND w.s < sp.e),
+  cn AS (SELECT {_KEYS}, count(*) AS covered FROM cw GROUP BY ALL HAVING count(*) >= 6),
+  qt AS (SELECT DISTINCT {_KEYS} FROM sp JOIN (SELECT {_KEYS}, unnest({_sql_places("n", T.QUOTED)}) AS q FROM m) USING ({_KEYS}) WHERE q.s <= sp.s AND sp.e <= q.e),
+  f AS (SELECT m.*, covered, qt.doc_id IS NOT NULL AS quoted, ex >= 0.9 AS exact, {_sql_jaccard(_sql_grams("n"), _sql_grams("source_n"))} AS lex, (SELECT min(s) FROM sp WHERE sp.doc_id = m.doc_id AND sp.sentence_index = m.sentence_index AND sp.item_id = m.item_id AND sp.item_sentence = m.item_sentence) AS start,
+         array_to_string(regexp_extract_all(n, {literal(T.WORD)}), ' ') IN ({", ".join(map(literal, compare.COMMON_PHRASES))}) OR (sources >= 3 AND len(regexp_extract_all(n, {literal(T.WORD)})) <= 12) AS common FROM m JOIN cn USING ({_KEYS}) LEFT JOIN qt USING ({_KEYS})),
+  st AS (SELECT *, CASE WHEN common THEN 'possible_common_phrase' WHEN quoted AND cited THEN 'quoted_and_attributed' WHEN quoted THEN 'quoted_not_attributed' WHEN cited AND (exact OR lex >= 0.85) THEN 'cited_but_verbatim' WHEN exact THEN 'unattributed_exact' WHEN cited THEN 'attributed' ELSE 'unattributed_near_exact' END AS status FROM f),
+  sv AS (SELECT *, CASE WHEN status IN ('possible_common_phrase', 'quoted_and_attributed', 'attributed') THEN 'low' WHEN status = 'unattributed_exact' AND covered >= 25 THEN 'critical' ELSE 'high' END AS severity FROM st),
+  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_SEVERITY}, round(0.6 * ex + 0.4 * lex, 9) DESC, sentence_index, start, item_id, item_sentence) AS match_rank FROM sv) WHERE match_rank <= 200),
+  w AS (SELECT doc_id, sentence_index, word, item_id, match_rank, exact, quoted, NOT quoted AND status <> 'possible_common_phrase' AS reviewable, status IN ('attributed', 'quoted_and_attributed', 'paraphrase_attributed', 'cited_but_verbatim') AS attributed FROM o JOIN cw USING ({_KEYS}))"""
+
+
+@query(f"WITH {_REVIEW} SELECT doc_id, sentence_index, item_id, item_sentence, CASE WHEN exact THEN 'exact' ELSE 'near_duplicate' END AS match_type, covered AS n_words, start, quoted, cited, status, severity, match_rank FROM o")
+def review_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The review as one plan: sentences, candidates, tiers, spans, covered
+    words, attribution, order."""
+    m = overlap.review_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return m.select("doc_id", "sentence_index", "item_id", "item_sentence", "match_type", F.size("words").cast("long").alias("n_words"), F.col("start").cast("long").alias("start"), "quoted", "cited", "status", "severity", "match_rank")
 
 
-_WORDS = f"""WITH sn AS (SELECT doc_id, CAST(i AS BIGINT) AS sentence_index, len({_W}) AS n FROM (SELECT doc_id, {sql_sentences("text")} AS s FROM documents), LATERAL (SELECT unnest(range(len(s))) AS i)),
-  t AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words FROM sn GROUP BY doc_id),
-  m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY overlap DESC, item_id, item_sentence) AS r FROM {_OVERLAP} WHERE overlap >= 0.7) WHERE r <= 5),
-  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN overlap >= 0.95 THEN 0 ELSE 1 END, overlap DESC, sentence_index, item_id, item_sentence) AS match_rank FROM m) WHERE match_rank <= 200),
-  w AS (SELECT doc_id, sentence_index, item_id, match_rank, overlap >= 0.95 AS exact, unnest(range(1, n + 1)) AS word FROM o JOIN sn USING (doc_id, sentence_index))"""
+def _review_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Words (doc_id, paragraph, word, source_id, match_rank, ...) under
+    reviewed matches, and documents' word counts."""
+    docs = table(spark, sf, "documents")
+    return review.covered_words(overlap.review_matches(docs, table(spark, sf, "benchmark"))), overlap.word_totals(docs)
 
 
 @query(
-    _WORDS + """, a AS (SELECT doc_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index, word ORDER BY match_rank) AS k FROM w) WHERE k = 1)
+    f"WITH {_REVIEW}" + """, a AS (SELECT doc_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index, word ORDER BY match_rank) AS k, bool_or(reviewable) OVER (PARTITION BY doc_id, sentence_index, word) AS review FROM w) WHERE k = 1 AND review)
     SELECT doc_id, item_id AS source_id, count(*) AS words, round(count(*) * 100.0::DOUBLE / greatest(n_words, 1), 2) AS percent FROM a JOIN t USING (doc_id) GROUP BY doc_id, item_id, n_words"""
 )
 def source_contributions(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,10 +286,14 @@ def source_contributions(spark: SparkSession, sf: str) -> DataFrame:
     return review.contributions(review.allocate_words(words, ["doc_id", "paragraph", "word"]), totals)
 
 
+def _sql_share(count: str) -> str:
+    return f"round(coalesce({count}, 0) * 100.0::DOUBLE / greatest(n_words, 1), 2)"
+
+
 @query(
-    _WORDS + """, e AS (SELECT doc_id, sentence_index, word, bool_or(exact) AS exact FROM w GROUP BY ALL), c AS (SELECT doc_id, count(*) AS raw, count(*) FILTER (exact) AS ex FROM e GROUP BY doc_id),
-    p AS (SELECT doc_id, n_words, coalesce(raw, 0) * 100.0::DOUBLE / greatest(n_words, 1) AS raw, coalesce(ex, 0) * 100.0::DOUBLE / greatest(n_words, 1) AS ex, (coalesce(raw, 0) - coalesce(ex, 0)) * 100.0::DOUBLE / greatest(n_words, 1) AS lx FROM t LEFT JOIN c USING (doc_id))
-    SELECT doc_id, n_words, round(raw, 2) AS raw_percent, round(raw, 2) AS review_percent, round(ex, 2) AS exact_percent, round(lx, 2) AS lexical_percent, 0.0::DOUBLE AS semantic_percent, 0.0::DOUBLE AS quoted_percent, 0.0::DOUBLE AS attributed_percent, round(raw, 2) AS unattributed_percent FROM p"""
+    f"WITH {_REVIEW}" + f""", e AS (SELECT doc_id, sentence_index, word, bool_or(exact) AS exact, bool_or(NOT exact) AS lexical, bool_or(reviewable) AS review, bool_or(quoted) AS quoted, bool_or(attributed) AS attributed, bool_or(NOT attributed) AS unattributed FROM w GROUP BY ALL),
+    c AS (SELECT doc_id, count(*) AS raw, count(*) FILTER (review) AS rv, count(*) FILTER (review AND exact) AS ex, count(*) FILTER (review AND lexical AND NOT exact) AS lx, count(*) FILTER (quoted) AS qu, count(*) FILTER (attributed) AS own, count(*) FILTER (unattributed) AS un FROM e GROUP BY doc_id)
+    SELECT doc_id, n_words, {_sql_share("raw")} AS raw_percent, {_sql_share("rv")} AS review_percent, {_sql_share("ex")} AS exact_percent, {_sql_share("lx")} AS lexical_percent, 0.0::DOUBLE AS semantic_percent, {_sql_share("qu")} AS quoted_percent, {_sql_share("own")} AS attributed_percent, {_sql_share("un")} AS unattributed_percent FROM t LEFT JOIN c USING (doc_id)"""
 )
 def word_coverage(spark: SparkSession, sf: str) -> DataFrame:
     words, totals = _review_words(spark, sf)

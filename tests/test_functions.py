@@ -99,3 +99,13 @@ def test_udf_columns(spark):
     df = spark.createDataFrame([("Café A. Done.", "Cafe")], "a string, b string")
     r = df.select(arrow.nfkd_ascii(F.col("a")).alias("n"), arrow.sequence_ratio(F.col("a"), F.col("b")).alias("s"), F.size(arrow.sentences(F.col("a"))).alias("k"), arrow.quotes(F.lit('"x"')).alias("q")).first()
     assert r.n == "Cafe A. Done." and 0 < r.s < 1 and r.k == 2 and r.q[0].end == 3
+
+
+def test_segments_pair_places_in_order():
+    md5 = arrow._hash("md5")
+    a, b = arrow.segment_pairs("one shared passage stands here", "xx one shared passage stands here yy", md5)
+    assert a[0][0] <= 4 and a[-1][1] >= 26 and [e - s for s, e in a] == [e - s for s, e in b] and all(s2 - s1 == 3 for (s1, _), (s2, _) in zip(a, b, strict=True))
+    # a run that stands twice in the one and once in the other is met once
+    twice, once = arrow.segment_pairs("abcdefghij ... abcdefghij", "abcdefghij", md5)
+    assert len(once) == 1 and twice[0][0] < 10 and twice[-1][1] <= 11
+    assert arrow.segment_pairs("", "abc", md5) == ([], []) and arrow.segment_pairs("abc", "abc", md5) == ([(0, 3)], [(0, 3)])

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkglass.functions import arrow, claims
-from inkglass.operators import audit, corpus, evaluation, intervals, reduction, retrieval, support, verification
+from inkglass.operators import audit, corpus, evaluation, intervals, reduction, retrieval, review, support, verification
+from inkglass.plans import overlap
 from inkglass.sources import files, providers, sinks
 
 
@@ -197,3 +198,25 @@ def test_stream(spark, tmp_path, small):
     q.awaitTermination()
     whole = scan.shared_points(spark.read.parquet(f"{small}/documents.parquet"), prints)
     assert spark.read.parquet(f"file://{tmp_path}/out").drop("batch").exceptAll(whole).isEmpty() and q.lastProgress is not None
+
+
+def test_review_of_documents(spark):
+    """Copied, quoted, cited, edited and too short passages; words count once."""
+    copied, edited = "The river carries its stones along the valley floor each spring.", "The river carries its stones along the valley floor every single spring."
+    docs = spark.createDataFrame(
+        [(1, f"Some own words stand here first. {copied}"), (2, f'They wrote that "{copied}"'), (3, f"As shown elsewhere (Smith, 2019). {copied}"), (4, edited), (5, "Nothing here is taken from any other place at all."), (6, None)],
+        "doc_id long, text string",
+    )
+    sources = spark.createDataFrame([(7, copied), (8, "Too short.")], "item_id long, text string")
+    m = {r.doc_id: r for r in overlap.review_matches(docs, sources).collect()}
+    assert set(m) == {1, 2, 3, 4}
+    assert (m[1].match_type, m[1].status, m[1].severity, len(m[1].words)) == ("exact", "unattributed_exact", "high", 11)
+    assert (m[2].match_type, m[2].status, m[2].quoted) == ("exact", "quoted_not_attributed", True) and (m[3].status, m[3].cited) == ("cited_but_verbatim", True)
+    assert m[4].match_type == "near_duplicate" and m[4].status == "unattributed_near_exact" and 6 <= len(m[4].words) < 12
+    assert all(len(r.match_id) == 16 and r.match_rank == 1 for r in m.values())
+    found = overlap.review_matches(docs, sources)
+    words = review.covered_words(found)
+    by = {r.doc_id: r for r in review.coverage(words, overlap.word_totals(docs)).collect()}
+    assert by[1].exact_percent == round(100 * 11 / 17, 2) and by[2].review_percent == 0.0 and by[2].quoted_percent > 0 and by[3].attributed_percent > 0 and by[5].raw_percent == 0.0
+    shares = {r.doc_id: r.words for r in review.contributions(review.allocate_words(words, ["doc_id", "paragraph", "word"]), overlap.word_totals(docs)).collect()}
+    assert shares == {1: 11, 3: 11, 4: len(m[4].words)}
