@@ -56,10 +56,10 @@ def ingest(sources: DataFrame) -> DataFrame:
 
 
 def dedup_first(entries: DataFrame, within: list[str] | None = None) -> DataFrame:
-    """The first entry of each text, over all documents or within ``within``."""
-    firsts = entries.groupBy(*(within or []), "hash").agg(F.min(F.struct("doc_id", "entry_index")).alias("first"))
-    on = [*(within or []), "hash"]
-    return entries.join(firsts, on).where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("entry_index") == F.col("first.entry_index"))).drop("first")
+    """The first entry of each text, over all documents or within ``within``.
+    Tasks keep a text's first entry before the one shuffle."""
+    w = Window.partitionBy(*(within or []), "hash").orderBy("doc_id", "entry_index")
+    return entries.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def duplicate_groups(entries: DataFrame) -> DataFrame:

@@ -159,9 +159,8 @@ def semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def _semantic(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
-    q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    scored = rows.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", retrieval.cosine(F.col("e"), F.col("embedding")).alias("cosine"))
-    return retrieval.top_k(scored, ["query_id"], [F.round("cosine", 9).desc(), F.col("vec_id")], 10)
+    found = retrieval.nearest(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), rows, 10)
+    return found.join(rows.select("vec_id", "label"), "vec_id")
 
 
 @query(

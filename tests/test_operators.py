@@ -220,3 +220,28 @@ def test_review_of_documents(spark):
     assert by[1].exact_percent == round(100 * 11 / 17, 2) and by[2].review_percent == 0.0 and by[2].quoted_percent > 0 and by[3].attributed_percent > 0 and by[5].raw_percent == 0.0
     shares = {r.doc_id: r.words for r in review.contributions(review.allocate_words(words, ["doc_id", "paragraph", "word"]), overlap.word_totals(docs)).collect()}
     assert shares == {1: 11, 3: 11, 4: len(m[4].words)}
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    """Blocks of queries and rows against all pairs, with ties and odd vectors."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.integers(-2, 3, (300, 4)).astype(float)  # many ties, some zero
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(retrieval, "QUERY_VECTORS", 9)
+    monkeypatch.setattr(retrieval, "_ROWS", 50)
+    monkeypatch.setattr(retrieval, "_QUERIES", 4)
+    q = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {}
+    for x in retrieval.nearest(q, df, 7).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
+    v = np.vstack([v, np.zeros(4)])
+    n = np.linalg.norm(v, axis=1)
+    unit = np.divide(v, n[:, None], out=np.zeros_like(v), where=n[:, None] > 0)
+    for i in range(0, 301, 10):
+        cos = np.round(unit @ unit[i], 9)
+        assert [x for _, x in sorted(got[i])] == sorted((j for j in range(301) if j != i), key=lambda j: (-cos[j], j))[:7], i
+    with pytest.raises(Exception, match="differ in length"):
+        retrieval.nearest(q, spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), 2).collect()
