@@ -343,3 +343,66 @@ def test_chunks_make_up_the_text(spark, documents):
     assert rows.where(F.array_join("chunks", "") != F.col("norm")).isEmpty()
     assert rows.where(F.exists("chunks", lambda c: F.length(c) > exact_dedup.MAX_CHUNK)).isEmpty()
     assert rows.agg(F.sum(F.size("chunks"))).first()[0] > 2 * documents.count()
+
+
+def test_leaks_against_all_alignments(spark, small):
+    """Every item aligned with every whole document: what reaches the threshold
+    is found, by band of score; nothing else is."""
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    r, docs, sizes = random.Random(11), {}, {}
+    vocabulary = [w for t in items.values() for w in t.split()]
+    for i, t in items.items():
+        for k, share in enumerate((0.05, 0.2, 0.35, 0.5, 0.65, 0.8)):  # words that are changed, dropped or added to
+            w = []
+            for x in t.split():
+                u = r.random()
+                w += [x] if u > share else [r.choice(vocabulary)] if u > share / 2 else [] if u > share / 4 else [x, f"n{r.randint(0, 999)}"]
+            docs[len(docs)] = " ".join([*r.choices(vocabulary, k=40), *w, *r.choices(vocabulary, k=40)])
+    words = {d: next(decontaminate.wh.batch_words([t.encode()], decontaminate.wh.PUNCT))[1] for d, t in docs.items()}
+    own = {i: next(decontaminate.wh.batch_words([t.encode()], decontaminate.wh.PUNCT))[1] for i, t in items.items()}
+    want = {}
+    for i, a in own.items():
+        best = decontaminate.align([a] * len(words), list(words.values()))[0]
+        want |= {(d, i): float(b) / len(a) for d, b in zip(words, best, strict=True) if b >= decontaminate.THRESHOLD * len(a)}
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(got[p] <= want[p] + 1e-9 for p in got)
+    for low, high in ((0.4, 0.5), (0.5, 0.7), (0.7, 1.01)):
+        band = {p for p, s in want.items() if low <= s < high}
+        sizes[low] = len(band)
+        assert len(band & set(got)) >= 0.9 * len(band), (low, len(band), len(band & set(got)))
+    assert min(sizes.values()) >= 3
+
+
+def test_posteriors_of_mixing(spark, small, documents, texts):
+    """Naive Bayes over words, written out over dictionaries."""
+    import math
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    got = {r.doc_id: r for r in mixing.mixing_rates(documents, labels).collect()}
+    token, per, domain = re.compile(r"[^\W_]+|[^\w\s]+|_+"), {}, {}
+    slots = {}
+    words = {i: token.findall(t.lower()) for i, t in texts.items()}
+    each = sorted({w for ws in words.values() for w in ws})
+    for row in spark.createDataFrame([(w,) for w in each], "w string").select("w", mixing._slot(F.col("w")).alias("s")).collect():
+        slots[row.w] = row.s
+    for row in labels.collect():
+        if row.quality is not None and row.doc_id in texts:
+            y = 2 if row.toxic == 1 else 1 if row.quality == 0 else 0
+            domain[row.doc_id] = max(y, domain.get(row.doc_id, 0))
+    assert len(domain) <= mixing.TRAIN_ROWS
+    counts = [collections.Counter() for _ in range(3)]
+    for i, y in domain.items():
+        counts[y].update(slots[w] for w in words[i])
+    n, s, size = [sum(c.values()) for c in counts], mixing.SMOOTH, mixing.BUCKETS
+    prior = [math.log((sum(1 for y in domain.values() if y == k) + 1) / (len(domain) + 3)) for k in range(3)]
+    for x in set().union(*counts):
+        w = [0.0]
+        for k in (1, 2):
+            ratio = math.log((counts[k][x] + s) / (n[k] + s * size)) - math.log((counts[0][x] + s) / (n[0] + s * size))
+            w.append(ratio if abs(ratio) >= mixing.CLEAR * math.sqrt(1 / (counts[k][x] + s) + 1 / (counts[0][x] + s)) else 0.0)
+        per[x] = w
+    for i, ws in words.items():
+        z = [prior[k] - prior[0] + sum(per.get(slots[w], [0, 0, 0])[k] for w in ws) for k in range(3)]
+        e = [math.exp(x - max(z)) for x in z]
+        assert got[i].n_tokens == len(ws), i
+        assert all(abs(got[i][f"p_{d}"] - e[k] / sum(e)) < 1e-6 for k, d in enumerate(mixing.DOMAINS)), i
