@@ -411,7 +411,8 @@ def passages(paragraphs: list[str], most: int) -> list[str]:
 
 @_scalar("array<string>")
 def docx_paragraphs(c):
-    """Paragraphs of .docx bytes: body and table cells in order, blank dropped."""
+    """Paragraphs of .docx bytes: body and table cells in order, blank dropped.
+    Null where the bytes are no such file."""
     import io
     import zipfile
     from xml.etree import ElementTree
@@ -420,10 +421,13 @@ def docx_paragraphs(c):
 
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
-    def read(data: bytes) -> list[str]:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            root = ElementTree.fromstring(z.read("word/document.xml"))
+    def read(data: bytes) -> list[str] | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                root = ElementTree.fromstring(z.read("word/document.xml"))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return None
         texts = ("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
         return [t.strip() for t in texts if t.strip()]
 
-    return pd.Series([read(bytes(x)) for x in c])
+    return pd.Series([None if x is None else read(bytes(x)) for x in c])

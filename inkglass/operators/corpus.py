@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +69,8 @@ def duplicate_groups(entries: DataFrame) -> DataFrame:
 
 def save_index(entries: DataFrame, path: str, mode: str = "md5") -> dict:
     """Writes entries, fingerprints and term weights under a new version of
-    ``path``, counts them, and only then points the manifest at it."""
+    ``path``, counts them, and only then adds a manifest that names it. Earlier
+    manifests stay, so there is a whole index at every moment."""
     import uuid
 
     from inkglass.operators.retrieval import tfidf
@@ -84,14 +86,22 @@ def save_index(entries: DataFrame, path: str, mode: str = "md5") -> dict:
     idf.write.parquet(f"{at}/idf")
     weights.write.parquet(f"{at}/weights")
     counts = {k: spark.read.parquet(f"{at}/{k}").count() for k in ("entries", "fingerprints", "idf", "weights")}
-    manifest = {"schema": VERSION, "version": version, "hash": mode, "k": arrow.K, "window": arrow.WINDOW, "counts": counts}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    number = 1 + max((m["number"] for m in _manifests(spark, path)), default=0)
+    manifest = {"number": number, "schema": VERSION, "version": version, "hash": mode, "k": arrow.K, "window": arrow.WINDOW, "counts": counts}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string").coalesce(1).write.mode("append").json(f"{path}/manifest")
     return manifest
 
 
-def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of the current version; an error if it isn't whole."""
-    manifest = json.loads(spark.read.json(f"{path}/manifest").first()[0])
+def _manifests(spark: SparkSession, path: str) -> list[dict]:
+    try:
+        rows = spark.read.schema("manifest string").json(f"{path}/manifest").collect()
+    except AnalysisException:  # there is none yet
+        return []
+    return sorted((json.loads(r[0]) for r in rows), key=lambda m: -m["number"])
+
+
+def _whole(spark: SparkSession, path: str, manifest: dict) -> dict[str, DataFrame]:
+    """The tables that a manifest names; an error if they aren't as it says."""
     if manifest["schema"] != VERSION:
         raise ValueError(f"index schema {manifest['schema']} is not {VERSION}")
     tables = {k: spark.read.parquet(f"{path}/{manifest['version']}/{k}") for k in manifest["counts"]}
@@ -99,3 +109,17 @@ def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         if tables[k].count() != n:
             raise ValueError(f"{k} has not the {n} rows of the manifest")
     return tables
+
+
+def load_index(spark: SparkSession, path: str, recover: bool = False) -> dict[str, DataFrame]:
+    """The tables of the current version; an error if it isn't whole. With
+    ``recover`` the latest version that is whole."""
+    error: Exception = ValueError(f"no index at {path}")
+    for manifest in _manifests(spark, path):
+        try:
+            return _whole(spark, path, manifest)
+        except (ValueError, AnalysisException) as e:
+            error = e
+            if not recover:
+                break
+    raise error

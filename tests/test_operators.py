@@ -43,6 +43,17 @@ def test_index_round_trip(spark, tmp_path):
     spark.createDataFrame([], "entry_id string, term string, w double").write.mode("overwrite").parquet(f"{path}/{manifest['version']}/weights")
     with pytest.raises(ValueError, match="weights"):
         corpus.load_index(spark, path)
+    again = corpus.save_index(entries, path)
+    assert again["number"] == 2 and corpus.load_index(spark, path)["entries"].count() == 2
+    spark.createDataFrame([], "term string, idf double").write.mode("overwrite").parquet(f"{path}/{again['version']}/idf")
+    with pytest.raises(ValueError, match="idf"):
+        corpus.load_index(spark, path)
+    with pytest.raises(ValueError, match="weights"):  # the one before isn't whole either
+        corpus.load_index(spark, path, recover=True)
+    corpus.save_index(entries, path)
+    assert corpus.load_index(spark, path, recover=True)["entries"].count() == 2
+    with pytest.raises(ValueError, match="no index"):
+        corpus.load_index(spark, f"file://{tmp_path}/none")
 
 
 def test_files(spark, tmp_path):
@@ -53,6 +64,7 @@ def test_files(spark, tmp_path):
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>One</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>Cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
     (tmp_path / "b.docx").write_bytes(data.getvalue())
     (tmp_path / "c.pdf").write_text("no")
+    (tmp_path / "d.docx").write_bytes(b"no archive")
     rows = files.read_paragraphs(spark, f"file://{tmp_path}").orderBy("path", "paragraph_index").collect()
     assert [r.text for r in rows] == ["# T", "line", "next", "One", "Cell"]
     with pytest.raises(ValueError, match="unsupported"):
