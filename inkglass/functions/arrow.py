@@ -311,21 +311,21 @@ def find_citations(paragraph: str) -> list[dict]:
     def free(m: re.Match) -> bool:
         return not any(s <= m.start() < e for s, e in taken)
 
-    for m in PARENTHESES.finditer(paragraph):
+    for m in PARENTHESES.finditer(paragraph) if "(" in paragraph else ():
         parts = [p for p in (PART.fullmatch(x.strip()) for x in m[1].split(";")) if p and _plausible(p[1])]
         for p in parts:
             dated(m, p[1], p[2])
         if parts:
             taken.append(m.span())
-    for m in NARRATIVE.finditer(paragraph):
+    for m in NARRATIVE.finditer(paragraph) if "(" in paragraph else ():
         if free(m):
             dated(m, m[1], m[2])
             taken.append(m.span())
-    for m in NUMBERED.finditer(paragraph):
+    for m in NUMBERED.finditer(paragraph) if "[" in paragraph else ():
         for n in expand_numbers(m[1]):
             add(m, numbered_ref=n)
         taken.append(m.span())
-    for m in DOI.finditer(paragraph):
+    for m in DOI.finditer(paragraph) if "10." in paragraph else ():
         if free(m):
             add(m, doi=m[0].rstrip(".,;:)]}>").lower())
     return sorted(out, key=lambda c: c["char_offset"])
