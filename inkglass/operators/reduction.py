@@ -111,7 +111,7 @@ def gates(
         (~F.forall(names, lambda n: F.contains(folded, F.replace(F.lower(n), F.lit("ß"), F.lit("ss")))), "a name is missing"),
         (stronger, "the claim is stronger"),
         (stronger | contradicted, "the source does not support it"),
-        (meaning != "preserved", "meaning is not preserved"),
+        (~meaning.isin("preserved", "meaning_preserved"), "meaning is not preserved"),
         (F.size(unsupported) > 0, "unsupported claims"),
         (~overlap_reduced(before, after), "overlap did not fall"),
     ]
