@@ -409,6 +409,37 @@ def passages(paragraphs: list[str], most: int) -> list[str]:
     return [*out, held] if held else out
 
 
+def passage_spans(text: str, most: int) -> list[tuple[int, int]]:
+    """Start and end of passages of at most ``most`` characters: whole
+    paragraphs with the blank lines after them, as many as fit; a longer one is
+    cut. Blank paragraphs end up in a passage only between others."""
+    if len(text) <= most:
+        return [(0, len(text))]
+    edges = [0, *(m.end() for m in re.finditer(r"\n\s*\n", text)), len(text)]
+    out: list[tuple[int, int]] = []
+    open_ = False  # whether the last passage may take more paragraphs
+    for s, e in zip(edges, edges[1:], strict=False):
+        if not text[s:e].strip():
+            continue
+        if open_ and e - out[-1][0] <= most:
+            out[-1] = (out[-1][0], e)
+        elif e - s <= most:
+            out.append((s, e))
+            open_ = True
+        else:
+            out += [(k, min(k + most, e)) for k in range(s, e, most)]
+            open_ = False
+    return out
+
+
+@_scalar("array<struct<text:string,start:int,end:int>>")
+def passage_column(c, most):
+    """Passages of a text with their offsets: each is a slice of it."""
+    import pandas as pd
+
+    return pd.Series([[{"text": (x or "")[s:e], "start": s, "end": e} for s, e in passage_spans(x or "", int(n))] for x, n in zip(c, most, strict=True)])
+
+
 @_scalar("array<string>")
 def docx_paragraphs(c):
     """Paragraphs of .docx bytes: body and table cells in order, blank dropped.

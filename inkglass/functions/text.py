@@ -202,3 +202,42 @@ def places(c: Column, pattern: str) -> Column:
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end")))).alias("out"))
 
     return F.aggregate(each, zero, add)["out"]
+
+
+def quote_ranges(c: Column) -> Column:
+    """Start and end of quotations, kind of mark by kind of mark, so that one
+    within another is found too."""
+    return F.concat(*(places(c, p) for p in QUOTED.split("|")))
+
+
+def in_quotation(paragraph: Column, start: Column, end: Column) -> Column:
+    """Whether the span lies in a quotation, or the paragraph is one."""
+    inside = F.exists(quote_ranges(paragraph), lambda q: (q["start"] <= start) & (end <= q["end"]))
+    return F.startswith(F.regexp_replace(paragraph, "^\\s+", ""), F.lit(">")) | inside
+
+
+def sentence_at(paragraph: Column, offset: Column) -> Column:
+    """The sentence around an offset, which is clamped to the paragraph; white
+    space after a sentence belongs to it. Null counts as empty."""
+    p = F.coalesce(paragraph, F.lit(""))
+    at = F.greatest(F.lit(0), F.least(offset, F.length(p) - 1)).cast("int")
+    head = F.substring(p, F.lit(1), at + 1)
+    start = F.length(head) - F.length(F.element_at(F.split(head, SENTENCE_END), -1))
+    return F.regexp_replace(F.split(F.substring(p, start + 1, F.length(p)), SENTENCE_END)[0], "^\\s+|\\s+$", "")
+
+
+def remap_span(start: Column, end: Column, offsets: Column) -> Column:
+    """struct(start, end) of a normalised text's span in the original, by the
+    original place of each character. Spans are clamped; without a map they
+    stay as they are, and an empty one stays empty."""
+    n = F.size(offsets)
+    s = F.greatest(F.lit(0), F.least(start, n - 1)).cast("int")
+    e = F.greatest(F.lit(0), F.least(end, n)).cast("int")
+
+    def original(i: Column) -> Column:
+        return F.get(offsets, i)
+
+    known = n > 0
+    first = F.when(known, original(s)).otherwise(start)
+    last = F.when(~known, end).when(s >= e, original(s)).otherwise(original(e - 1) + 1)
+    return F.struct(first.cast("long").alias("start"), last.cast("long").alias("end"))

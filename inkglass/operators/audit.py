@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkglass.functions import text as T
+from inkglass.operators.links import WEAK
 
 PASS = 80
 RATIOS = ["citation_coverage", "verification_ratio", "support_ratio", "bibliography_consistency", "evidence_coverage"]
@@ -103,3 +104,77 @@ def link_claims(claims: DataFrame, citations: DataFrame) -> DataFrame:
     final = tail.rlike(closing) | after.rlike(closing)
     several = F.count("*").over(Window.partitionBy("doc_id", "citation_id")) > 1
     return rows.select("doc_id", "claim_id", "citation_id", F.when(final, 100).otherwise(80).cast("long").alias("link_confidence"), several.alias("ambiguous"))
+
+
+def metric_counts(claims: DataFrame, sources: DataFrame, references: DataFrame, suggestions: DataFrame, issues: DataFrame, citations: DataFrame, weak: int = WEAK) -> DataFrame:
+    """What ``product_ratios`` reads, a row for each document with claims, over
+    claims (doc_id, claim_id, cited, severity), their sources (doc_id, claim_id,
+    evaluated, verdict, evidence, confidence), references (doc_id, status,
+    evaluated), suggestions (doc_id, confidence), issues (doc_id) and citations
+    (doc_id, raw_text). Each table is summed up by document before it is joined."""
+
+    def n(c: Column, name: str) -> Column:
+        return F.count(F.when(c, 1)).alias(name)
+
+    high, cited, used = F.col("severity") == "high", F.col("cited"), F.col("evaluated")
+    asserted = F.bool_or(used & F.col("verdict").isin("supported", "partially_supported"))
+    each = sources.groupBy("doc_id", "claim_id").agg(
+        F.bool_or(used).alias("used"), F.bool_or(used & F.col("evidence")).alias("evidence"), F.coalesce(asserted, F.lit(False)).alias("backed"),
+        n(used & (F.col("verdict") == "contradicted"), "against"), n(used & (F.col("confidence") < weak), "weak"),
+    )
+    own = claims.join(each, ["doc_id", "claim_id"], "left").groupBy("doc_id").agg(
+        F.count("*").alias("total_claims"), n(cited, "cited_claims"), n(~cited & high, "uncited_high"), n(F.col("used"), "cited_evaluated"), n(F.col("evidence"), "cited_with_evidence"), n(F.col("backed"), "supported_cited_claims"),
+        F.coalesce(F.sum("against"), F.lit(0)).alias("contradictions"), F.coalesce(F.sum("weak"), F.lit(0)).alias("weak_cited_source_matches"), n(high & ~F.col("backed"), "unresolved_high"),
+    )
+    parts = [
+        references.groupBy("doc_id").agg(F.count("*").alias("bib_total"), n(used, "bib_evaluated"), n(F.col("status") == "verified", "verified_citations"), n(F.col("status") == "partially_verified", "partially_verified")),
+        suggestions.groupBy("doc_id").agg(n(F.col("confidence") < weak, "weak_suggestions")),
+        issues.groupBy("doc_id").agg(F.count("*").alias("bibliography_issues")),
+        citations.where(F.trim("raw_text") != "").groupBy("doc_id").agg(F.count_distinct(F.trim("raw_text")).alias("distinct_citations")),
+    ]
+    for p in parts:
+        own = own.join(p, "doc_id", "left")
+    own = own.fillna(0, [c for p in parts for c in p.columns if c != "doc_id"])
+    return own.withColumn("bibliography_entries", F.col("bib_total"))
+
+
+def product_summary(counts: DataFrame) -> DataFrame:
+    """Counts, ratios to three places, the score, and the names of the ratios
+    that are unavailable."""
+    df = product_ratios(counts)
+    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in ("verification_ratio", "support_ratio", "evidence_coverage"))))
+    df = df.withColumn("unavailable_metrics", missing).withColumns({c: F.bround(c, 3) for c in RATIOS})
+    return df.withColumns({"claims_requiring_citations": F.col("total_claims") - F.col("cited_claims"), "unresolved_citations": F.col("bib_total") - F.col("verified_citations")})
+
+
+def similarity_summary(sentences: DataFrame) -> DataFrame:
+    """Counts by document over (doc_id, risk, matched, bibliography, length): all
+    sentences count in the total, those of the bibliography not as eligible."""
+    return sentences.groupBy("doc_id").agg(
+        F.count(F.when(F.col("risk") == "high", 1)).alias("high_risk"), F.count(F.when(F.col("risk") == "medium", 1)).alias("medium_risk"), F.count("*").alias("total_sentences"),
+        F.count(F.when(F.col("matched"), 1)).alias("matched_sentences"), F.coalesce(F.sum(F.when(~F.col("bibliography"), F.col("length"))), F.lit(0)).alias("eligible_chars"),
+    )
+
+
+def privacy_notice(offline: Column, queried: Column, from_cache: Column, academic_network: Column, llm: Column, llm_tasks: Column, llm_network: Column, network: Column) -> Column:
+    """What left the machine, in words, from the record of a run."""
+
+    def names(c: Column) -> Column:
+        return F.array_join(c, ", ")
+
+    some, cached = F.size(queried) > 0, F.size(from_cache) > 0
+    tasks = F.when(F.size(llm_tasks) > 0, names(llm_tasks)).otherwise("language model")
+    lookups = (
+        F.when(offline & cached, F.concat(F.lit("Offline: records came from the cache of "), names(from_cache), F.lit("; no text was sent.")))
+        .when(offline, F.lit("Offline: no records were looked up; no text was sent."))
+        .when(some & academic_network, F.concat(F.lit("Lookups went to "), names(queried), F.lit("; the document's text did not.")))
+        .when(some, F.concat(F.lit("Records of "), names(queried), F.lit(" came from the cache; nothing was sent.")))
+        .otherwise(F.lit("No record provider was asked."))
+    )
+    model = (
+        F.when(~llm, F.lit("No text went to a language model."))
+        .when(llm_network, F.concat(F.lit("Claims went to a language model ("), tasks, F.lit(").")))
+        .when(offline | ~network, F.concat(F.lit("Language model tasks ("), tasks, F.lit(") were left out.")))
+        .otherwise(F.concat(F.lit("Language model results ("), tasks, F.lit(") came from the cache.")))
+    )
+    return F.concat_ws(" ", lookups, model, F.lit("A verified reference does not show that a claim holds."))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from inkglass.functions import arrow
 from inkglass.functions import text as T
 
 # Thresholds, weights, work types, provider order.
-VERIFIED, PARTIAL = 70, 50
+VERIFIED, PARTIAL, STRONG = 70, 50, 80
 MAX_AGE = 25
 PRIMARY = ["research-article", "original-research", "clinical-trial", "randomized-controlled-trial", "research-output"]
 SECONDARY = [
@@ -69,6 +71,33 @@ def ranked(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
 
 
+def strong_match(query: Column, title: Column, doi: Column, arxiv: Column, sequence: Column | None = None) -> Column:
+    """Whether a record is the one asked for: of an equal id, or of an equal
+    title and relevance of ``STRONG`` or more."""
+
+    def same(f: Callable[[Column], Column], c: Column) -> Column:
+        return F.coalesce(f(query) == f(c), F.lit(False))
+
+    alike = same(T.normalize_title, title) & (relevance(query, title, doi, arxiv, sequence) >= STRONG)
+    return same(T.normalize_doi, doi) | same(T.normalize_arxiv, arxiv) | alike
+
+
+def title_similarity(a: Column, b: Column, sequence: Column | None = None) -> Column:
+    """0 to 100: .55 shared words of all words, .45 matching sequence of the
+    titles' normal forms; null without words on either side."""
+    x, y = T.normalize_title(F.coalesce(a, F.lit(""))), T.normalize_title(F.coalesce(b, F.lit("")))
+    ratio = arrow.sequence_ratio(x, y) if sequence is None else sequence
+    shared = T.jaccard(F.array_distinct(T.tokens_by_space(x)), F.array_distinct(T.tokens_by_space(y)))
+    return F.when((x != "") & (y != ""), T.half_even((shared * 0.55 + ratio * 0.45) * 100)).cast("long")
+
+
+def best_reference(scored: DataFrame) -> DataFrame:
+    """The candidate of each entry with the highest ``overall``, then the first
+    title in normal form, then the first to arrive; one aggregate, no sort."""
+    key = F.struct(-F.col("overall"), T.normalize_title(F.coalesce("title", F.lit(""))), F.col("arrival"))
+    return scored.groupBy("entry_id").agg(F.min_by(F.struct(*(c for c in scored.columns if c != "entry_id")), key).alias("best")).select("entry_id", "best.*")
+
+
 def author_score(entry_authors: Column, surnames: Column) -> Column:
     """Share of a record's surnames that the entry names; ASCII input."""
     names = T.ascii_tokens(entry_authors)
@@ -153,3 +182,26 @@ def conflicts(records: DataFrame) -> DataFrame:
         rows = pairs.where(left.isNotNull() & right.isNotNull() & (left != right)).select("a.work_id", F.lit(field).alias("field"), F.col("a.api").alias("a_api"), F.col("b.api").alias("b_api"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def conflict_notes(records: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(entry_id, notes): what providers disagree on. Records (entry_id, work_id,
+    pos, api, title, year, doi) of one work and equal DOI that differ in title,
+    else in year; only without those, candidates (entry_id, rank, title, year,
+    doi, title_score, author_score) that are the first one's work under another
+    DOI, by scores against the first. Joins are on the entry."""
+    a, b = records.alias("a"), records.alias("b")
+    pairs = a.join(b, F.expr("a.entry_id = b.entry_id AND a.work_id = b.work_id AND a.pos < b.pos"))
+    pairs = pairs.where(T.normalize_doi(F.col("a.doi")) == T.normalize_doi(F.col("b.doi")))
+    x, y = (T.normalize_title(F.coalesce(f"{s}.title", F.lit(""))) for s in "ab")
+    who = F.concat(F.col("a.api"), F.lit(" and "), F.col("b.api"))
+    note = F.when((x != "") & (y != "") & (x != y), F.concat(F.lit("titles differ: "), who)).when(F.col("a.year") != F.col("b.year"), F.concat(F.lit("years differ: "), who))
+    within = pairs.select("a.entry_id", note.alias("note")).where("note IS NOT NULL").distinct()
+
+    first, other = candidates.where("rank = 1").alias("f"), candidates.where("rank > 1").alias("o")
+    both = first.join(other, F.col("f.entry_id") == F.col("o.entry_id"))
+    fits = (F.col("o.title_score") >= VERIFIED) & F.coalesce(F.col("f.year") == F.col("o.year"), F.lit(True)) & F.coalesce(F.col("o.author_score") >= PARTIAL, F.lit(True))
+    across = both.where((T.normalize_doi(F.col("f.doi")) != T.normalize_doi(F.col("o.doi"))) & fits)
+    across = across.select("f.entry_id", F.concat(F.lit("one work, two DOIs: "), T.normalize_doi(F.col("f.doi")), F.lit(" and "), T.normalize_doi(F.col("o.doi"))).alias("note")).distinct()
+    across = across.join(within.select("entry_id").distinct(), "entry_id", "left_anti")
+    return within.unionByName(across).groupBy("entry_id").agg(F.concat_ws("; ", F.array_sort(F.collect_list("note"))).alias("notes"))

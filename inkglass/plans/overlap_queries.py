@@ -235,6 +235,10 @@ def _sql_places(c: str, pattern: str) -> str:
     return f"list_transform(range(1, len({hits}) + 1), lambda i: {{'s': CAST({before} AS BIGINT), 'e': CAST({before} + length(({hits})[i]) AS BIGINT)}})"
 
 
+def _sql_quotes(c: str) -> str:
+    return " || ".join(_sql_places(c, p) for p in T.QUOTED.split("|"))
+
+
 _KEYS = "doc_id, sentence_index, item_id, item_sentence"
 _SEVERITY = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 _REVIEW = f"""
@@ -252,7 +256,7 @@ _REVIEW = f"""
   wp AS (SELECT {_KEYS}, unnest(range(len(p))) AS word, unnest(p) AS w FROM (SELECT {_KEYS}, {_sql_places("n", T.WORD)} AS p FROM m)),
   cw AS (SELECT DISTINCT {_KEYS}, word FROM wp JOIN sp USING ({_KEYS}) WHERE sp.s < w.e AND w.s < sp.e),
   cn AS (SELECT {_KEYS}, count(*) AS covered FROM cw GROUP BY ALL HAVING count(*) >= 6),
-  qt AS (SELECT DISTINCT {_KEYS} FROM sp JOIN (SELECT {_KEYS}, unnest({_sql_places("n", T.QUOTED)}) AS q FROM m) USING ({_KEYS}) WHERE q.s <= sp.s AND sp.e <= q.e),
+  qt AS (SELECT DISTINCT {_KEYS} FROM sp JOIN (SELECT {_KEYS}, unnest({_sql_quotes("n")}) AS q FROM m) USING ({_KEYS}) WHERE q.s <= sp.s AND sp.e <= q.e),
   f AS (SELECT m.*, covered, qt.doc_id IS NOT NULL AS quoted, ex >= 0.9 AS exact, {_sql_jaccard(_sql_grams("n"), _sql_grams("source_n"))} AS lex, (SELECT min(s) FROM sp WHERE sp.doc_id = m.doc_id AND sp.sentence_index = m.sentence_index AND sp.item_id = m.item_id AND sp.item_sentence = m.item_sentence) AS start,
          array_to_string(regexp_extract_all(n, {literal(T.WORD)}), ' ') IN ({", ".join(map(literal, compare.COMMON_PHRASES))}) OR (sources >= 3 AND len(regexp_extract_all(n, {literal(T.WORD)})) <= 12) AS common FROM m JOIN cn USING ({_KEYS}) LEFT JOIN qt USING ({_KEYS})),
   st AS (SELECT *, CASE WHEN common THEN 'possible_common_phrase' WHEN quoted AND cited THEN 'quoted_and_attributed' WHEN quoted THEN 'quoted_not_attributed' WHEN cited AND (exact OR lex >= 0.85) THEN 'cited_but_verbatim' WHEN exact THEN 'unattributed_exact' WHEN cited THEN 'attributed' ELSE 'unattributed_near_exact' END AS status FROM f),

@@ -109,3 +109,22 @@ def test_segments_pair_places_in_order():
     twice, once = arrow.segment_pairs("abcdefghij ... abcdefghij", "abcdefghij", md5)
     assert len(once) == 1 and twice[0][0] < 10 and twice[-1][1] <= 11
     assert arrow.segment_pairs("", "abc", md5) == ([], []) and arrow.segment_pairs("abc", "abc", md5) == ([(0, 3)], [(0, 3)])
+
+
+def test_passages_are_slices():
+    text = "one two\n\nthree\n \n\n\n" + "x" * 25 + "\n\nfour\n\n   \n\nfive six seven"
+    assert arrow.passage_spans("", 5) == [(0, 0)] and arrow.passage_spans("short", 5) == [(0, 5)]
+    for most in range(1, len(text) + 2):
+        spans = arrow.passage_spans(text, most)
+        assert all(0 < e - s <= most for s, e in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        covered = {k for s, e in spans for k in range(s, e)}
+        assert all(k in covered for k, c in enumerate(text) if not c.isspace())
+    assert [text[s:e] for s, e in arrow.passage_spans(text, 20)] == ["one two\n\nthree\n \n\n\n", "x" * 20, "x" * 5 + "\n\n", "four\n\n   \n\n", "five six seven"]
+
+
+def test_passage_column_and_places(spark):
+    df = spark.createDataFrame([(1, "Aa bb. Cc «d “e” f» g. Hh", "aa\n\nbbb"), (2, None, None), (3, "> all “of” it", "")], "id int, p string, t string")
+    rows = {r.id: r for r in df.select("id", arrow.passage_column(F.col("t"), F.lit(4)).alias("s"), T.sentence_at(F.col("p"), F.lit(12)).alias("at"), T.quote_ranges(F.col("p")).alias("q"), T.in_quotation(F.col("p"), F.lit(0), F.lit(1)).alias("in_q")).collect()}
+    assert [(x.text, x.start, x.end) for x in rows[1].s] == [("aa\n\n", 0, 4), ("bbb", 4, 7)]
+    assert rows[1].at == "Cc «d “e” f» g." and [(x.start, x.end) for x in rows[1].q] == [(13, 16), (10, 19)] and not rows[1].in_q
+    assert rows[2].at == "" and [(x.text, x.start, x.end) for x in rows[2].s] == [("", 0, 0)] and rows[3].in_q

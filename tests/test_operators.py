@@ -257,3 +257,34 @@ def test_nearest_vectors(spark, monkeypatch):
         assert [x for _, x in sorted(got[i])] == sorted((j for j in range(301) if j != i), key=lambda j: (-cos[j], j))[:7], i
     with pytest.raises(Exception, match="differ in length"):
         retrieval.nearest(q, spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), 2).collect()
+
+
+def test_conflict_notes(spark):
+    from inkglass.operators import verification
+
+    records = spark.createDataFrame(
+        [
+            (1, 1, 0, "crossref", "Deep Nets", 2017, "10.1000/a"), (1, 1, 1, "openalex", "Deep nets!", 2018, "10.1000/A"), (1, 1, 2, "arxiv", "Shallow", 2017, None),
+            (2, 2, 0, "crossref", "X y", 2000, "10.1000/b"), (2, 2, 1, "openalex", "Z y", 2001, "10.1000/b"), (3, 3, 0, "crossref", "Same", 2000, "10.1000/c"),
+        ],
+        "entry_id int, work_id int, pos int, api string, title string, year int, doi string",
+    )
+    candidates = spark.createDataFrame(
+        [
+            (1, 1, "t", 2017, "10.1000/a", 100, 100), (1, 2, "t", 2017, "10.1000/q", 100, 100), (3, 1, "t", 2000, "10.1000/c", 100, 100), (3, 2, "t", 2000, "10.1000/d", 70, None),
+            (3, 3, "t", 2001, "10.1000/e", 100, 100), (3, 4, "t", None, "10.1000/f", 69, 100), (3, 5, "t", 2000, "10.1000/g", 90, 49), (3, 6, "t", 2000, None, 90, 90),
+        ],
+        "entry_id int, rank int, title string, year int, doi string, title_score int, author_score int",
+    )
+    notes = {r.entry_id: r.notes for r in verification.conflict_notes(records, candidates).collect()}
+    assert notes == {1: "years differ: crossref and openalex", 2: "titles differ: crossref and openalex", 3: "one work, two DOIs: 10.1000/c and 10.1000/d"}
+
+
+def test_meaning_without_words(spark):
+    from inkglass.operators import meaning
+
+    df = spark.createDataFrame([(1, "It is not so.", "It is so."), (2, None, "It holds."), (3, "It holds.", None), (4, "A. B.", "A. B. C and c. C."), (5, "a and b", "A and b AND c. "), (6, "é. Ğ", "é. Ğ landé. Öandé")], "id int, p string, h string")
+    s = {r.id: (round(r.s.score, 3), r.s.verdict) for r in df.select("id", meaning.screen(F.col("p"), F.col("h")).alias("s")).collect()}
+    assert s[1] == (0.5, "contradicted") and s[2] == (0.0, "unknown") and s[3] == (0.0, "unknown")
+    a = {r.id: r.a for r in df.select("id", meaning.new_assertions(F.col("p"), F.col("h")).alias("a")).collect()}
+    assert a[4] == ["C and c", "C", "c. C"] and a[5] == ["c"] and a[6] == ["Öandé"] and a[3] == []
