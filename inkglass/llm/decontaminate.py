@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkglass.llm import wordhash as wh
+from inkglass.llm.workers import tidy
 from inkglass.session import ship
 
 N = 3
@@ -225,7 +226,7 @@ def _search(index, threshold: float):
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "n_seeds", "first_word", "last_word"])
 
-    return run
+    return tidy(run, "decontaminate")
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from inkglass.llm import wordhash as wh
 from inkglass.llm.license_phrases import CLAUSES, NAMES, WEAK
+from inkglass.llm.workers import tidy
 from inkglass.session import ship
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -250,7 +251,7 @@ def _scan(own: list[Rule] | None):
                     names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"],
                 )
 
-    return run
+    return tidy(run, "licenses")
 
 
 def license_scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from inkglass.llm import wordhash as wh
 from inkglass.llm.components import components
+from inkglass.llm.workers import tidy
 from inkglass.session import scratch_dir, ship, stored
 
 K, ROWS, BITS = 128, 4, 4
@@ -122,7 +123,7 @@ def _sign(n: int):
                     names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sig"],
                 )
 
-    return run
+    return tidy(run, "minhash")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
@@ -151,7 +152,7 @@ def _meet_first(n: int, per_cent: int):
                         b.append(nodes[i])
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return tidy(run, "minhash")
 
 
 def _in_cells(floor: float, exact: tuple[int, int] | None):
@@ -201,7 +202,7 @@ def _in_cells(floor: float, exact: tuple[int, int] | None):
                     lo = k
         yield out()
 
-    return run
+    return tidy(run, "minhash")
 
 
 def _cells(rows: DataFrame) -> DataFrame:

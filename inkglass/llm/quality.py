@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from inkglass.llm import wordhash as wh
 from inkglass.llm.sample import first_present
+from inkglass.llm.workers import tidy
 from inkglass.session import ship
 
 BITS = 18
@@ -132,7 +133,7 @@ def _score(model):
                     scores += [float(1 / (1 + np.exp(-np.clip(w[s] @ x + bias, -35, 35)))) for s, x in features(texts[lo : lo + 1000])]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
-    return run
+    return tidy(run, "quality")
 
 
 def held_out(doc_id):
@@ -150,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
     y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     y = first_present(y, docs, TRAIN_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(_vectors, "doc_id long, y int, slots binary, values binary").toArrow()
+    rows = texts.mapInArrow(tidy(_vectors, "quality"), "doc_id long, y int, slots binary, values binary").toArrow()
     cols = [rows.column(c).to_pylist() for c in ("doc_id", "y", "slots", "values")]
     order = sorted(range(len(cols[0])), key=lambda k: ((cols[0][k] * 0x9E3779B97F4A7C15) % 2**64, cols[2][k]))
     return fit([(np.frombuffer(cols[2][k], np.int32), np.frombuffer(cols[3][k], np.float16).astype(np.float32), cols[1][k]) for k in order])
@@ -180,7 +181,7 @@ def _keep(model, least: float):
                     keep += [bool(1 / (1 + np.exp(-np.clip(w[s] @ x + bias, -35, 35))) >= least) for s, x in features(texts[lo : lo + 1000])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidy(run, "quality")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", least: float = 0.5) -> DataFrame:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkglass.llm.workers import tidy
 from inkglass.session import ship
 
 MODEL = "piece_bpe_32k.model"
@@ -319,7 +320,7 @@ def _count(path: str, limit: int):
                 n.append(count(text, t))
             yield pa.record_batch([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return run
+    return tidy(run, "token_counts")
 
 
 def token_counts(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkglass.llm.workers import tidy
 from inkglass.session import scratch_dir, ship, stored
 
 MAGIC = b"IGTOK1"
@@ -166,7 +167,7 @@ def _sample(path: str, width: int):
             some = [x for ids in enc.encode([x or "" for x in batch.column(0).to_pylist()]) for x in stretches(ids)]
             yield pa.record_batch([pa.array(some, pa.binary())], names=["ids"])
 
-    return run
+    return tidy(run, "token_store")
 
 
 def _write(path: str, folder: str, dictionary, width: int):
@@ -202,7 +203,7 @@ def _write(path: str, folder: str, dictionary, width: int):
             names=["shard", "n_docs", "n_ids", "first_id", "null_ids"],
         )
 
-    return run
+    return tidy(run, "token_store")
 
 
 class Shard:
@@ -255,7 +256,7 @@ def _read(folder: str):
                     yield pa.record_batch(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 shard.close()
 
-    return run
+    return tidy(run, "token_store")
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, width: int = 2) -> DataFrame:

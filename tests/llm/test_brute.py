@@ -406,3 +406,14 @@ def test_posteriors_of_mixing(spark, small, documents, texts):
         e = [math.exp(x - max(z)) for x in z]
         assert got[i].n_tokens == len(ws), i
         assert all(abs(got[i][f"p_{d}"] - e[k] / sum(e)) < 1e-6 for k, d in enumerate(mixing.DOMAINS)), i
+
+
+def test_workers_let_go_of_others():
+    import pyarrow as pa
+
+    from inkglass.llm import licenses, workers
+
+    licenses.standard()
+    batch = pa.record_batch([pa.array([1, 2])], names=["a"])
+    assert list(workers.tidy(lambda batches: (b.slice(1) for b in batches), "licenses")(iter([batch]))) == [batch.slice(1)] and licenses.standard.cache_info().currsize == 1
+    assert list(workers.tidy(lambda batches: iter(batches), "minhash")(iter([batch]))) == [batch] and licenses.standard.cache_info().currsize == 0
