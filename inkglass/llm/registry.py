@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkglass.llm import chat, decontaminate, exact_dedup, licenses, minhash, mixing, quality, secrets, token_counts, token_store
+from inkglass.llm import chat, decontaminate, exact_dedup, licenses, minhash, mixing, quality, secrets, token_counts, token_store, vector_codes
 from inkglass.session import table
 
 
@@ -50,9 +50,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_chat_perspectives": chat.ORACLE, "op9_minhash_near_dedup": minhash.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE, "op5_chat_perspectives": chat.ORACLE, "op9_minhash_near_dedup": minhash.ORACLE, "op11_vector_codes": vector_codes.ORACLE,
+    }

@@ -41,18 +41,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_block(b: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_block(b: np.ndarray, sep: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~sep[b]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up[: len(b)], out=sums[1:])
+    np.cumsum(values[b] * up[: len(b)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
-def words(data: bytes, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def byte_values(seed: int) -> np.ndarray:
+    """Values of bytes for another hash, which tells A-Z from a-z."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def words(data: bytes, sep: np.ndarray = SPACE, values: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, start and end bytes of all words of ``data``."""
     b = np.frombuffer(data, np.uint8)
     out, at = [], 0
@@ -64,7 +69,7 @@ def words(data: bytes, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray,
                 to = at + int(cut[-1]) + 1
                 break
             to = min(to + BLOCK, len(b))
-        h, s, e = _hash_block(b[at:to], sep)
+        h, s, e = _hash_block(b[at:to], sep, values)
         out.append((h, s + at, e + at))
         at = to
     if not out:
