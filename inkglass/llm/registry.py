@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkglass.llm import chat, collocations, decontaminate, exact_dedup, licenses, minhash, mixing, quality, secrets, token_counts, token_store, vector_codes
+from inkglass.llm import chat, collocations, decontaminate, exact_dedup, licenses, minhash, mixing, quality, secrets, substring_dedup, token_counts, token_store, vector_codes
 from inkglass.session import table
 
 
@@ -54,6 +54,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -65,5 +69,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE, "op5_chat_perspectives": chat.ORACLE, "op9_minhash_near_dedup": minhash.ORACLE, "op11_vector_codes": vector_codes.ORACLE,
-        "op13_collocations": collocations.ORACLE,
+        "op12_substring_dedup": substring_dedup.ORACLE, "op13_collocations": collocations.ORACLE,
     }

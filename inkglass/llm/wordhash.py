@@ -90,14 +90,14 @@ def groups(texts: list[bytes], limit: int = BLOCK):
         yield lo, len(texts)
 
 
-def batch_words(texts: list[bytes], sep: np.ndarray = SPACE):
+def batch_words(texts: list[bytes], sep: np.ndarray = SPACE, values: np.ndarray = _BYTE):
     """For each run of texts: its first index, word hashes, word starts and
     ends (bytes in the joined run), the first word of each text (with the total
     last) and the first byte of each text."""
     for lo, hi in groups(texts):
         part = texts[lo:hi]
         at = np.cumsum([0] + [len(t) + 1 for t in part])
-        h, s, e = words(b"\n".join(part) + b"\n", sep)
+        h, s, e = words(b"\n".join(part) + b"\n", sep, values)
         yield lo, h, s, e, np.searchsorted(s, at), at
 
 
@@ -111,6 +111,19 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(acc + np.uint64(n))
 
 
+def windows(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each position, as ``ngrams`` but another one,
+    in time that does not grow with n."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for a in range(0, len(out), BLOCK // 2):
+        part = h[a : a + BLOCK // 2 + n - 1]
+        up, down = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        out[a : a + BLOCK // 2] = mix((sums[n:] - sums[:-n]) * down[: len(sums) - n])
+    return out
+
+
 def shingle_sets(texts: list[bytes], n: int = 4, sep: np.ndarray = SPACE) -> list[np.ndarray]:
     """Each text's sorted distinct n-word shingles as 64-bit hashes. A text of
     fewer words has its whole sequence as one shingle; one without words none."""
