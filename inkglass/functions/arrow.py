@@ -1,7 +1,7 @@
 """What Catalyst has no expression for, as Arrow-batched Python.
 
 One module holds all of it: hashing with BLAKE2b, winnowing, the protected
-sentence splitter, offset maps, positional regex extraction, sequence matching,
+sentence splitter, positional regex extraction, sequence matching,
 Unicode normal forms, quote matching.
 """
 
@@ -197,30 +197,6 @@ def sentences(c):
     return pd.Series([[{"text": t, "start": s, "end": e} for t, s, e in split_protected(x or "")] for x in c])
 
 
-def build_offset_map(original: str, normalized: str) -> list[int]:
-    """For each place of a normalised text, the original place it comes from;
-    white space that was collapsed maps to the place after its run."""
-    out, i = [], 0
-    for ch in normalized:
-        if ch.isspace():
-            while i < len(original) and original[i].isspace():
-                i += 1
-            out.append(i)
-        else:
-            while i < len(original) and original[i].isspace():
-                i += 1
-            out.append(min(i, max(len(original) - 1, 0)))
-            i += 1
-    return out
-
-
-@_scalar("array<int>")
-def offset_map(original, normalized):
-    import pandas as pd
-
-    return pd.Series([build_offset_map(a or "", b or "") for a, b in zip(original, normalized, strict=True)])
-
-
 @_scalar("double")
 def sequence_ratio(a, b):
     """Share of matching characters in the longest matching blocks."""

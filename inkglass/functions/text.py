@@ -55,10 +55,16 @@ def normalize_turkish(c: Column) -> Column:
     return normalize_sentence(F.translate(c, "’‘–—", "''--"))
 
 
+# White space at the ends of a text, and marks that a source's text loses.
+ENDS = "^\\s+|\\s+$"
+REFERENCE_MARK = "\\[\\d+(?:[,\\-–]\\s*\\d+)*\\]"
+CITATION_MARK = "\\([A-ZÀ-ÖØ-öø-ÿÇĞİÖŞÜ][a-zà-öø-ÿçğıöşü]+(?:\\s+(?:et\\s+al\\.|ve\\s+ark\\.|vd\\.))?,\\s*\\d{4}\\)"
+
+
 def normalize_corpus(c: Column) -> Column:
-    """A source's text without its citation marks; ends are not trimmed."""
-    c = F.regexp_replace(F.trim(c), "\\[\\d+(?:\\s*[-–,]\\s*\\d+)*\\]", "")
-    c = F.regexp_replace(c, "\\([A-ZÇĞİÖŞÜ][\\p{L}'’-]*(?:\\s+et\\s+al\\.)?,\\s*\\d{4}\\)", "")
+    """A source's text without its citation marks; ends are trimmed before the
+    marks go, not after. ``functions.offsets.corpus_map`` has its places."""
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, ENDS, ""), REFERENCE_MARK, ""), CITATION_MARK, "")
     return F.regexp_replace(fold_turkish(c), "\\s+", " ")
 
 

@@ -35,3 +35,20 @@ def covered(items: DataFrame, spans: DataFrame, keys: list[str], bin_width: int
     right = spans.select(*keys, "s_start", "s_end").withColumn("_bin", bins("s_start", "s_end"))
     hit = left.join(right, [*keys, "_bin"]).where("s_start < end AND start < s_end")
     return hit.select(*items.columns).distinct()
+
+
+def locate(points: DataFrame, spans: dict[str, DataFrame], keys: list[str], at: str = "at") -> DataFrame:
+    """Rows of ``points`` with, for each name of ``spans``, the span (keys,
+    start, end, ...) that the point lies in, as a struct, or null: one sweep
+    over starts and points in order, in which the last span that began is
+    carried. Spans of one name are disjoint within their keys. One shuffle by
+    the keys, however many kinds of spans, and no pair is met that isn't one."""
+    w = Window.partitionBy(*keys).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = points.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(1).alias("_point"), F.struct(*points.columns).alias("_row"))
+    for name, df in spans.items():
+        rest = [c for c in df.columns if c not in keys]
+        rows = rows.unionByName(df.select(*keys, F.col("start").cast("long").alias("_at"), F.lit(0).alias("_point"), F.struct(*rest).alias(name)), allowMissingColumns=True)
+    for name in spans:
+        rows = rows.withColumn(name, F.last(name, ignorenulls=True).over(w))
+    open_ = [F.when(F.col(f"{name}.end") > F.col("_at"), F.col(name)).alias(name) for name in spans]
+    return rows.where("_point = 1").select("_row.*", *open_)

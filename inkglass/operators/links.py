@@ -18,7 +18,8 @@ WEAK = 60
 def citations_in_sentences(sentences: DataFrame, citations: DataFrame) -> DataFrame:
     """Citations (doc_id, paragraph_index, citation_id, char_offset) with the
     sentence (.., sentence_index, start, end) they start in: equal paragraph
-    first, then the place."""
+    first, then the place. Spans may overlap here; of a parse they don't, and
+    ``intervals.locate`` finds them by a sweep."""
     rows = sentences.join(citations, ["doc_id", "paragraph_index"]).where("start <= char_offset AND char_offset < end")
     return rows.select("doc_id", "paragraph_index", "sentence_index", "citation_id")
 

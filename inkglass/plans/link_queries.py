@@ -215,5 +215,5 @@ def review_reports(spark: SparkSession, sf: str) -> DataFrame:
     words, totals = review.covered_words(found), overlap.word_totals(docs)
     summary = review.coverage(words, totals).where("raw_percent > 0")
     shares = review.contributions(review.allocate_words(words, ["doc_id", "paragraph", "word"]), totals)
-    matches = found.select("doc_id", "match_rank", "match_id", "source_id", "match_type", "sentence_index", "spans", "source_spans", F.size("words").alias("words"), "quoted", "cited", "severity", "status")
+    matches = found.select("doc_id", "match_rank", "match_id", "source_id", "match_type", "paragraph", "sentence_index", "start", "end", "source_start", "source_end", "source_text", F.size("words").alias("words"), "quoted", "cited", "bibliography", "severity", "status", "explanation", "recommendation")
     return sinks.review_json(summary, matches, shares)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from inkglass.functions import arrow
 from inkglass.functions import text as T
 from inkglass.operators import compare, evaluation, intervals, retrieval, review
-from inkglass.plans import overlap
+from inkglass.plans import overlap, parse
 from inkglass.plans.registry import Fixture, literal, query
-from inkglass.plans.text_queries import sql_sentence, sql_sentences, sql_words
+from inkglass.plans.text_queries import sql_fold, sql_sentence, sql_sentences, sql_words
 from inkglass.session import table
 
 
@@ -239,49 +239,167 @@ def _sql_quotes(c: str) -> str:
     return " || ".join(_sql_places(c, p) for p in T.QUOTED.split("|"))
 
 
-_KEYS = "doc_id, sentence_index, item_id, item_sentence"
+#: Documents have no citations, quotations or reference lists: these are put in, by what lines and sentences begin or end with.
+_MARKS = [
+    ("([a-d])\\.\\n", "$1 (Smith, 2019).\n\n"), ("([e-h])\\.\\n", "$1 [3].\n\n"), ("\\.\\n", ".\n\n"), ('([.!?]) ([E-O][^.!?"\\n]*\\.)', '$1 "$2"'),
+]
+_LIST = ("\\n\\n([^\\n]+)\\z", "\n\nReferences\n\n$1")
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    for pattern, to in _MARKS:
+        text = F.regexp_replace(text, pattern, to)
+    return table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(text, *_LIST)).otherwise(text).alias("text"))
+
+
+def _sql_marked() -> str:
+    def replaced(c: str, pattern: str, to: str) -> str:
+        return f"regexp_replace({c}, {literal(pattern)}, {literal(to.replace('$', chr(92)))}, 'g')"
+
+    text = "text"
+    for pattern, to in _MARKS:
+        text = replaced(text, pattern, to)
+    return f"(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN {replaced(text, *_LIST)} ELSE {text} END AS text FROM documents)"
+
+
+def _sql_parsed(x: str, rows: str, keys: str) -> str:
+    """Sentences of ``rows`` (keys, text): a mark ends one before white space
+    and a capital, unless an abbreviation, a number or the like stands there."""
+    border = literal("[.!?]\\s+[A-ZÇĞİÖŞÜ]")
+    kept = "(?i:prof\\. dr\\.)|\\b10\\.|(?i:https?|ftp)://|(?:^|\\s)\\d+\\.|\\.{3}(?:\\s|$)|(?:^|[^0-9])[.,][0-9]"
+    word = "lower(regexp_extract(substr(text, 1, CAST(s AS BIGINT)), '(\\S+)\\s*$', 1))"
+    known = ", ".join(literal(w) for w in sorted(arrow.ABBREVIATIONS))
+    return f"""
+  {x}p AS MATERIALIZED (SELECT * FROM {rows}),
+  {x}b AS (SELECT {keys}, text, i, length(h[i]) AS l, sum(length(b[i]) + CASE WHEN i > 1 THEN length(h[i - 1]) ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY i) AS s
+           FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT {keys}, text, regexp_extract_all(text, {border}) AS h, regexp_split_to_array(text, {border}) AS b FROM {x}p))),
+  {x}k AS (SELECT {keys}, CAST(s + l - 1 AS BIGINT) AS "start", CAST(s + 1 AS BIGINT) AS before FROM {x}b
+           WHERE NOT ({word} IN ({known}) OR {word} || '.' IN ({known}) OR regexp_matches(substr(text, CAST(greatest(s - 19, 1) AS BIGINT), CAST(least(21, s + 1) AS BIGINT)), {literal(kept)}))),
+  {x}s AS MATERIALIZED (SELECT *, substr(text, "start" + 1, "end" - "start") AS sentence FROM (
+           SELECT *, row_number() OVER w - 1 AS i, coalesce(lead(before) OVER w, length(text)) AS "end" FROM (SELECT *, 0 AS "start", NULL AS before FROM {x}p UNION ALL SELECT {x}p.*, "start", before FROM {x}k JOIN {x}p USING ({keys})) WINDOW w AS (PARTITION BY {keys} ORDER BY "start")))"""
+
+
+def _sql_hashes(x: str, rows: str, keys: str) -> str:
+    """Points (keys, hash, position) of ``rows`` (keys, n)."""
+    return f"""
+  {x}sh AS (SELECT {keys}, p, greatest(length(n) - 4, 1) AS m, substr(md5(substr(n, p + 1, 5)), 1, 16) AS h FROM {rows}, LATERAL (SELECT unnest(range(greatest(length(n) - 4, 1))) AS p) WHERE length(n) > 0),
+  {x}w AS (SELECT *, min(h || lpad(CAST(99999999 - p AS VARCHAR), 8, '0')) OVER (PARTITION BY {keys} ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS best, min(h || lpad(CAST(p AS VARCHAR), 8, '0')) OVER (PARTITION BY {keys}) AS first FROM {x}sh),
+  {x}h AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys}, hash ORDER BY position) AS k FROM (
+    SELECT DISTINCT {keys}, substr(best, 1, 16) AS hash, 99999999 - CAST(substr(best, 17) AS BIGINT) AS position FROM {x}w WHERE m > 4 AND p <= m - 4
+    UNION ALL SELECT DISTINCT {keys}, substr(first, 1, 16), CAST(substr(first, 17) AS BIGINT) FROM {x}w WHERE m <= 4))"""
+
+
+def _sql_islands(rows: str, keys: str) -> str:
+    """``rows`` (keys, s, e) with what overlaps or touches as one."""
+    return f"""(SELECT {keys}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
+      SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ({rows}))) GROUP BY {keys}, g)"""
+
+
+def _sql_map(c: str, own: bool) -> str:
+    """The original places of a text whose runs of white space become one:
+    the first of a run, or ``own`` the one after it where that is no space."""
+    after = f"i + length(regexp_extract(substr({c}, i + 1), '^\\s+'))"
+    place = f"CASE WHEN regexp_matches({c}[i + 1], '\\s') AND {c}[i + 1] <> ' ' THEN {after} ELSE i END" if own else "i"
+    return f"list_transform(list_filter(range(length({c})), lambda i: NOT (i > 0 AND regexp_matches({c}[i + 1], '\\s') AND regexp_matches({c}[i], '\\s'))), lambda i: {place})"
+
+
+_Q, _E = "doc_id, paragraph, sentence_index", "item_id, item_sentence"
+_KEYS = f"{_Q}, {_E}"
+_PART = "(?i)(.+?)\\s*,\\s*(?:\\d{4}[a-z]?|t\\.?\\s*y\\.?|n\\.?\\s*d\\.?)(?:\\s*,\\s*(?:p{1,2}|s{1,2})\\.\\s*\\d+(?:\\s*[-–]\\s*\\d+)?)?"
+_DATED = f"""len(list_filter(flatten(list_transform(regexp_extract_all(text, '\\(([^()\\n]{{1,250}})\\)', 1), lambda x: string_split(x, ';'))), lambda x: regexp_full_match(trim(x), {literal(_PART)})
+  AND regexp_full_match(regexp_extract(trim(x), {literal("^" + _PART + "$")}, 1), '[\\p{{Lu}}][\\p{{L}}\\p{{N}}_ .,''’&-]*'))) > 0"""
+_CITES = f"({_DATED} OR regexp_matches(text, '\\[\\d+(?:\\s*[-–]\\s*\\d+|\\s*,\\s*\\d+)*\\]') OR regexp_matches(text, {literal(T.DOI)}) OR regexp_matches(text, '\\b[A-ZÇĞİÖŞÜ][\\p{{L}}''’.-]*\\s+\\(\\d{{4}}[a-zA-Z]?\\)'))"
+_PARAGRAPHS = f"""(SELECT doc_id, CAST(i AS BIGINT) AS paragraph, array_to_string(list_filter(list_transform(string_split(b[i + 1], chr(10)), lambda x: trim(x)), lambda x: length(x) > 0), ' ') AS text
+    FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS b FROM {_sql_marked()}), LATERAL (SELECT unnest(range(len(b))) AS i))"""
+
+
+def _sql_tf(keys: str, rows: str) -> str:
+    return f"(SELECT {keys}, term, count(*) AS tf FROM {_TERMS.format(id=keys, text='n', source=rows)} GROUP BY ALL)"
+
+
 _SEVERITY = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
-_REVIEW = f"""
-  sn AS (SELECT doc_id, CAST(i AS BIGINT) AS sentence_index, s[i + 1] AS sentence, {sql_sentence("s[i + 1]")} AS n, regexp_matches(text, {literal(T.CITED)}) AS cited, len({_W}) AS n_words FROM (SELECT doc_id, text, {sql_sentences("text")} AS s FROM documents), LATERAL (SELECT unnest(range(len(s))) AS i)),
-  t AS (SELECT doc_id, CAST(sum(n_words) AS BIGINT) AS n_words FROM sn GROUP BY doc_id),
-  si AS (SELECT item_id, CAST(i AS BIGINT) AS item_sentence, s[i + 1] AS source, {sql_sentence("s[i + 1]")} AS source_n FROM (SELECT item_id, {sql_sentences("text")} AS s FROM benchmark), LATERAL (SELECT unnest(range(len(s))) AS i)),
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY overlap DESC, item_id, item_sentence) AS r FROM {_OVERLAP} WHERE overlap >= 0.7) WHERE r <= 5),
-  many AS (SELECT doc_id, sentence_index, count(DISTINCT item_id) AS sources FROM best GROUP BY ALL),
-  m AS (SELECT {_KEYS}, n, source_n, cited, sources, contains(lower(sentence), lower(source)) AS verbatim, overlap, CASE WHEN contains(lower(sentence), lower(source)) THEN 1.0 ELSE overlap END AS ex FROM best JOIN many USING (doc_id, sentence_index) JOIN sn USING (doc_id, sentence_index) JOIN si USING (item_id, item_sentence)),
-  pq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index, hash ORDER BY position) AS k FROM {_DOCS}),
-  pc AS (SELECT item_id, sentence_index AS item_sentence, hash, position AS at, row_number() OVER (PARTITION BY item_id, sentence_index, hash ORDER BY position) AS k FROM {_ITEMS}),
-  met AS (SELECT {_KEYS}, position AS s, least(position + 5, length(n)) AS e FROM m JOIN pq USING (doc_id, sentence_index) JOIN pc USING (item_id, item_sentence, hash, k) WHERE NOT verbatim AND overlap < 0.9),
-  isl AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY {_KEYS} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(e) OVER (PARTITION BY {_KEYS} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM met)),
-  sp AS (SELECT {_KEYS}, min(s) AS s, max(e) AS e FROM isl GROUP BY {_KEYS}, g UNION ALL SELECT {_KEYS}, CASE WHEN verbatim THEN instr(n, source_n) - 1 ELSE 0 END, CASE WHEN verbatim THEN instr(n, source_n) - 1 + length(source_n) ELSE length(n) END FROM m WHERE verbatim OR overlap >= 0.9),
-  wp AS (SELECT {_KEYS}, unnest(range(len(p))) AS word, unnest(p) AS w FROM (SELECT {_KEYS}, {_sql_places("n", T.WORD)} AS p FROM m)),
-  cw AS (SELECT DISTINCT {_KEYS}, word FROM wp JOIN sp USING ({_KEYS}) WHERE sp.s < w.e AND w.s < sp.e),
+_REVIEW = f"""{_sql_parsed("d", _PARAGRAPHS, "doc_id, paragraph")},{_sql_parsed("u", "(SELECT item_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM benchmark)", "item_id")},
+  bib AS (SELECT doc_id, min(paragraph) AS first FROM dp WHERE lower(text) IN ('references', 'bibliography', 'works cited', 'kaynaklar', 'kaynakça') GROUP BY doc_id),
+  pa AS MATERIALIZED (SELECT doc_id, paragraph, text, coalesce(paragraph >= first, FALSE) AS bibliography, NOT coalesce(paragraph >= first, FALSE) AND {_CITES} AS cited FROM dp LEFT JOIN bib USING (doc_id)),
+  q AS MATERIALIZED (SELECT doc_id, paragraph, i AS sentence_index, sentence, "start", "end", {sql_sentence("sentence")} AS n FROM ds),
+  t AS MATERIALIZED (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words FROM (SELECT doc_id, len(regexp_extract_all(sentence, {literal(T.WORD)})) AS n FROM ds) GROUP BY doc_id),
+  e AS MATERIALIZED (SELECT * FROM (SELECT item_id, i AS item_sentence, sentence AS source, "start" AS source_base, regexp_replace({sql_fold("sentence")}, '\\s+', ' ', 'g') AS n FROM us) WHERE length(n) >= 10),
+  {_sql_hashes("q", "q", _Q)},{_sql_hashes("e", "e", _E)},
+  qn AS (SELECT {_Q}, count(DISTINCT hash) AS c FROM qh GROUP BY ALL), en AS (SELECT {_E}, count(DISTINCT hash) AS c FROM eh GROUP BY ALL),
+  fp AS MATERIALIZED (SELECT {_KEYS}, s / (qn.c + en.c - s) AS exact FROM (SELECT {_KEYS}, count(*) AS s FROM (SELECT DISTINCT {_Q}, hash FROM qh) JOIN (SELECT DISTINCT {_E}, hash FROM eh) USING (hash) GROUP BY ALL) JOIN qn USING ({_Q}) JOIN en USING ({_E})),
+  ef AS (SELECT * FROM {_sql_tf(_E, "e")}), df AS (SELECT term, ln((1 + (SELECT count(*) FROM e)) / (1 + count(*))) + 1 AS idf FROM ef GROUP BY term),
+  eu AS (SELECT {_E}, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {_E})) AS w FROM ef JOIN df USING (term)),
+  qu AS (SELECT {_Q}, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {_Q})) AS v FROM {_sql_tf(_Q, "q")} JOIN df USING (term)),
+  lx AS MATERIALIZED (SELECT {_KEYS}, sum(v * w) AS lexical FROM qu JOIN eu USING (term) GROUP BY ALL),
+  sv AS MATERIALIZED (SELECT a.vec_id AS doc_id, b.vec_id AS item_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS semantic FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT doc_id FROM documents) AND b.vec_id IN (SELECT item_id FROM benchmark)),
+  pr AS (SELECT {_KEYS} FROM fp WHERE exact >= 0.7 UNION SELECT {_KEYS} FROM lx WHERE lexical >= 0.55 UNION SELECT {_KEYS} FROM q JOIN sv USING (doc_id) JOIN e USING (item_id) WHERE semantic >= 0.82),
+  sc AS MATERIALIZED (SELECT {_KEYS}, coalesce(exact, 0) AS exact, coalesce(lexical, 0) AS lexical, coalesce(semantic, 0) AS semantic FROM pr LEFT JOIN fp USING ({_KEYS}) LEFT JOIN lx USING ({_KEYS}) LEFT JOIN sv USING (doc_id, item_id)),
+  rk AS (SELECT {_KEYS}, sum(1 / (60 + r)) AS score FROM (SELECT {_KEYS}, row_number() OVER (PARTITION BY {_Q}, g ORDER BY x DESC, {_E}) AS r FROM (
+    SELECT {_KEYS}, 1 AS g, round(exact, 9) AS x FROM sc UNION ALL SELECT {_KEYS}, 2, round(lexical, 9) FROM sc UNION ALL SELECT {_KEYS}, 3, round(semantic, 9) FROM sc) WHERE x > 0) WHERE r <= 50 GROUP BY ALL),
+  cd AS (SELECT *, row_number() OVER (PARTITION BY {_Q} ORDER BY round(score, 12) DESC, {_E}) AS candidate FROM rk QUALIFY candidate <= 50),
+  ty AS (SELECT *, CASE WHEN exact >= 0.9 THEN 'exact' WHEN exact >= 0.7 THEN 'near_duplicate' WHEN lexical >= 0.55 THEN 'lexical_overlap' ELSE 'semantic_overlap' END AS found FROM sc JOIN cd USING ({_KEYS})),
+  tk AS (SELECT * FROM ty QUALIFY row_number() OVER (PARTITION BY {_Q} ORDER BY round(0.3 * exact + 0.3 * lexical + 0.4 * greatest(0, semantic), 9) DESC, candidate) <= 100),
+  m AS MATERIALIZED (SELECT tk.*, sentence, source, q.n, e.n AS source_n, q."start" AS s0, q."end" AS e0, source_base, instr(lower(sentence), lower(source)) - 1 AS found_at, CASE WHEN found_at >= 0 THEN 'exact' ELSE found END AS match_type, CASE WHEN found_at < 0 AND found IN ('near_duplicate', 'lexical_overlap') THEN TRUE ELSE FALSE END AS own,
+         pa.text, pa.bibliography, pa.cited, count(DISTINCT item_id) OVER (PARTITION BY {_Q}) AS sources FROM tk JOIN q USING ({_Q}) JOIN e USING ({_E}) JOIN pa USING (doc_id, paragraph)),
+  met AS (SELECT {_KEYS}, qh.position AS qs, least(qh.position + 5, length(n)) AS qe, eh.position AS es, least(eh.position + 5, length(source_n)) AS ee FROM m JOIN qh USING ({_Q}) JOIN eh USING ({_E}, hash, k) WHERE own),
+  mp AS (SELECT {_KEYS}, {_sql_map("sentence", True)} AS qm, {_sql_map("source", False)} AS em FROM m WHERE own),
+  sp AS MATERIALIZED (SELECT {_KEYS}, s0 + qm[s + 1] AS s, s0 + qm[e] + 1 AS e FROM {_sql_islands(f"SELECT {_KEYS}, qs AS s, qe AS e FROM met", _KEYS)} JOIN mp USING ({_KEYS}) JOIN m USING ({_KEYS})
+         UNION ALL SELECT {_KEYS}, CASE WHEN found_at >= 0 THEN s0 + found_at ELSE s0 END, CASE WHEN found_at >= 0 THEN s0 + found_at + length(source) ELSE e0 END FROM m WHERE NOT own),
+  ss AS (SELECT {_KEYS}, min(em[s + 1]) AS ssp, max(em[e] + 1) AS sse FROM {_sql_islands(f"SELECT {_KEYS}, es AS s, ee AS e FROM met", _KEYS)} JOIN mp USING ({_KEYS}) GROUP BY {_KEYS}),
+  wp AS (SELECT {_KEYS}, s0 + w.s AS word, s0 + w.e AS past FROM (SELECT {_KEYS}, s0, unnest({_sql_places("sentence", T.WORD)}) AS w FROM m)),
+  cw AS MATERIALIZED (SELECT DISTINCT {_KEYS}, word FROM wp JOIN sp USING ({_KEYS}) WHERE sp.s < past AND word < sp.e),
   cn AS (SELECT {_KEYS}, count(*) AS covered FROM cw GROUP BY ALL HAVING count(*) >= 6),
-  qt AS (SELECT DISTINCT {_KEYS} FROM sp JOIN (SELECT {_KEYS}, unnest({_sql_quotes("n")}) AS q FROM m) USING ({_KEYS}) WHERE q.s <= sp.s AND sp.e <= q.e),
-  f AS (SELECT m.*, covered, qt.doc_id IS NOT NULL AS quoted, ex >= 0.9 AS exact, {_sql_jaccard(_sql_grams("n"), _sql_grams("source_n"))} AS lex, (SELECT min(s) FROM sp WHERE sp.doc_id = m.doc_id AND sp.sentence_index = m.sentence_index AND sp.item_id = m.item_id AND sp.item_sentence = m.item_sentence) AS start,
-         array_to_string(regexp_extract_all(n, {literal(T.WORD)}), ' ') IN ({", ".join(map(literal, compare.COMMON_PHRASES))}) OR (sources >= 3 AND len(regexp_extract_all(n, {literal(T.WORD)})) <= 12) AS common FROM m JOIN cn USING ({_KEYS}) LEFT JOIN qt USING ({_KEYS})),
-  st AS (SELECT *, CASE WHEN common THEN 'possible_common_phrase' WHEN quoted AND cited THEN 'quoted_and_attributed' WHEN quoted THEN 'quoted_not_attributed' WHEN cited AND (exact OR lex >= 0.85) THEN 'cited_but_verbatim' WHEN exact THEN 'unattributed_exact' WHEN cited THEN 'attributed' ELSE 'unattributed_near_exact' END AS status FROM f),
-  sv AS (SELECT *, CASE WHEN status IN ('possible_common_phrase', 'quoted_and_attributed', 'attributed') THEN 'low' WHEN status = 'unattributed_exact' AND covered >= 25 THEN 'critical' ELSE 'high' END AS severity FROM st),
-  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_SEVERITY}, round(0.6 * ex + 0.4 * lex, 9) DESC, sentence_index, start, item_id, item_sentence) AS match_rank FROM sv) WHERE match_rank <= 200),
-  w AS (SELECT doc_id, sentence_index, word, item_id, match_rank, exact, quoted, NOT quoted AND status <> 'possible_common_phrase' AS reviewable, status IN ('attributed', 'quoted_and_attributed', 'paraphrase_attributed', 'cited_but_verbatim') AS attributed FROM o JOIN cw USING ({_KEYS}))"""
+  qt AS (SELECT DISTINCT {_KEYS} FROM sp JOIN (SELECT doc_id, paragraph, unnest({_sql_quotes("text")}) AS x FROM (SELECT DISTINCT doc_id, paragraph, text FROM m)) USING (doc_id, paragraph) WHERE x.s <= sp.s AND sp.e <= x.e),
+  ex AS (SELECT {_KEYS}, min(s) AS "start", max(e) AS "end" FROM sp GROUP BY {_KEYS}),
+  f AS (SELECT m.*, covered, "start", "end", source_base + coalesce(ssp, 0) AS source_start, source_base + coalesce(sse, length(source)) AS source_end, qt.doc_id IS NOT NULL OR starts_with(trim(text), '>') AS quoted,
+         greatest(CASE WHEN found_at >= 0 THEN 1 ELSE 0 END, 0.6 * exact + 0.4 * lexical, semantic) AS combined,
+         array_to_string(list_transform(regexp_extract_all(sentence, {literal(T.WORD)}), lambda x: lower(x)), ' ') IN ({", ".join(map(literal, compare.COMMON_PHRASES))}) OR (sources >= 3 AND len(regexp_extract_all(sentence, {literal(T.WORD)})) <= 12) AS common
+         FROM m JOIN cn USING ({_KEYS}) JOIN ex USING ({_KEYS}) LEFT JOIN ss USING ({_KEYS}) LEFT JOIN qt USING ({_KEYS})),
+  st AS (SELECT *, match_type IN ('near_duplicate', 'lexical_overlap') AS close, CASE WHEN bibliography THEN 'review_required' WHEN common THEN 'possible_common_phrase' WHEN quoted AND cited THEN 'quoted_and_attributed' WHEN quoted THEN 'quoted_not_attributed'
+         WHEN cited AND (match_type = 'exact' OR (close AND lexical >= 0.85)) THEN 'cited_but_verbatim' WHEN match_type = 'exact' THEN 'unattributed_exact' WHEN close AND cited THEN 'attributed' WHEN close THEN 'unattributed_near_exact' WHEN cited THEN 'paraphrase_attributed' ELSE 'unattributed_semantic' END AS status FROM f),
+  sy AS (SELECT *, CASE WHEN status IN ('quoted_not_attributed', 'cited_but_verbatim', 'unattributed_near_exact') THEN 'high' WHEN status = 'unattributed_exact' THEN CASE WHEN covered >= 20 THEN 'critical' ELSE 'high' END WHEN status = 'unattributed_semantic' THEN 'medium' ELSE 'low' END AS severity FROM st),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_SEVERITY}, round(combined, 6) DESC, paragraph, "start", item_id, sentence_index, item_sentence) AS match_rank FROM sy QUALIFY match_rank <= 200),
+  w AS (SELECT doc_id, paragraph, word, item_id, match_rank, CASE match_type WHEN 'exact' THEN 'exact' WHEN 'semantic_overlap' THEN 'semantic' ELSE 'lexical' END AS kind, quoted, bibliography, NOT quoted AND NOT bibliography AND status <> 'possible_common_phrase' AS reviewable, status IN ('attributed', 'quoted_and_attributed', 'paraphrase_attributed', 'cited_but_verbatim') AS attributed FROM o JOIN cw USING ({_KEYS}))"""
+
+
+def _reviewed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The review of marked documents, whose sentences have their document's
+    vector, against the benchmark's passages, whose sentences have their item's."""
+    docs, items, vectors = _marked(spark, sf), table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
+    keys = parse.sentences(parse.paragraphs(docs)).select("doc_id", "paragraph_index", "sentence_index")
+    own = keys.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    theirs = parse.source_sentences(items).select("item_id", "item_sentence").join(vectors.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
+    return overlap.review_matches(docs, items, own, theirs), docs
+
+
+@query(f"""WITH {_REVIEW} SELECT doc_id, paragraph, sentence_index, item_id AS source_id, item_sentence, match_type, round(lexical, 6) AS lexical_score, round(semantic, 6) AS semantic_score, round(combined, 6) AS combined_score,
+    covered AS n_words, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", CAST(source_start AS BIGINT) AS source_start, CAST(source_end AS BIGINT) AS source_end, quoted, cited, bibliography, status, severity, match_rank FROM o""")
+def review_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The review as one plan: parse, candidates by three signals, tiers, spans
+    in the original, covered words, attribution, order."""
+    m, _ = _reviewed(spark, sf)
+    places = [F.col(c).cast("long").alias(c) for c in ("start", "end", "source_start", "source_end")]
+    return m.select("doc_id", "paragraph", "sentence_index", "source_id", "item_sentence", "match_type", *(F.round(c, 6).alias(c) for c in ("lexical_score", "semantic_score", "combined_score")), F.size("words").cast("long").alias("n_words"), *places, "quoted", "cited", "bibliography", "status", "severity", "match_rank")
 
 
-@query(f"WITH {_REVIEW} SELECT doc_id, sentence_index, item_id, item_sentence, CASE WHEN exact THEN 'exact' ELSE 'near_duplicate' END AS match_type, covered AS n_words, start, quoted, cited, status, severity, match_rank FROM o")
-def review_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """The review as one plan: sentences, candidates, tiers, spans, covered
-    words, attribution, order."""
-    m = overlap.review_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
-    return m.select("doc_id", "sentence_index", "item_id", "item_sentence", "match_type", F.size("words").cast("long").alias("n_words"), F.col("start").cast("long").alias("start"), "quoted", "cited", "status", "severity", "match_rank")
+@query(f"""WITH {_sql_parsed("d", _PARAGRAPHS, "doc_id, paragraph")}, bib AS (SELECT doc_id, min(paragraph) AS first FROM dp WHERE lower(text) = 'references' GROUP BY doc_id),
+    c AS (SELECT doc_id, paragraph, unnest({_sql_places("text", "\\(Smith, 2019\\)|\\[[1-9]\\d*\\]")}) AS c FROM dp)
+    SELECT doc_id, paragraph AS paragraph_index, CAST(i AS BIGINT) AS sentence_index, count(*) AS citations FROM c JOIN ds USING (doc_id, paragraph) LEFT JOIN bib USING (doc_id) WHERE "start" <= c.s AND c.s < "end" AND coalesce(paragraph < first, TRUE) GROUP BY ALL""")
+def cited_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The parse of marked documents: citations by paragraph and sentence."""
+    return parse.cited_sentences(_marked(spark, sf)).groupBy("doc_id", "paragraph_index", "sentence_index").agg(F.count("*").alias("citations"))
 
 
 def _review_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Words (doc_id, paragraph, word, source_id, match_rank, ...) under
     reviewed matches, and documents' word counts."""
-    docs = table(spark, sf, "documents")
-    return review.covered_words(overlap.review_matches(docs, table(spark, sf, "benchmark"))), overlap.word_totals(docs)
+    m, docs = _reviewed(spark, sf)
+    return review.covered_words(m), overlap.word_totals(docs)
 
 
 @query(
-    f"WITH {_REVIEW}" + """, a AS (SELECT doc_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index, word ORDER BY match_rank) AS k, bool_or(reviewable) OVER (PARTITION BY doc_id, sentence_index, word) AS review FROM w) WHERE k = 1 AND review)
+    f"WITH {_REVIEW}" + """, a AS (SELECT doc_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, paragraph, word ORDER BY match_rank) AS k, bool_or(reviewable) OVER (PARTITION BY doc_id, paragraph, word) AS review FROM w) WHERE k = 1 AND review)
     SELECT doc_id, item_id AS source_id, count(*) AS words, round(count(*) * 100.0::DOUBLE / greatest(n_words, 1), 2) AS percent FROM a JOIN t USING (doc_id) GROUP BY doc_id, item_id, n_words"""
 )
 def source_contributions(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,9 +412,9 @@ def _sql_share(count: str) -> str:
 
 
 @query(
-    f"WITH {_REVIEW}" + f""", e AS (SELECT doc_id, sentence_index, word, bool_or(exact) AS exact, bool_or(NOT exact) AS lexical, bool_or(reviewable) AS review, bool_or(quoted) AS quoted, bool_or(attributed) AS attributed, bool_or(NOT attributed) AS unattributed FROM w GROUP BY ALL),
-    c AS (SELECT doc_id, count(*) AS raw, count(*) FILTER (review) AS rv, count(*) FILTER (review AND exact) AS ex, count(*) FILTER (review AND lexical AND NOT exact) AS lx, count(*) FILTER (quoted) AS qu, count(*) FILTER (attributed) AS own, count(*) FILTER (unattributed) AS un FROM e GROUP BY doc_id)
-    SELECT doc_id, n_words, {_sql_share("raw")} AS raw_percent, {_sql_share("rv")} AS review_percent, {_sql_share("ex")} AS exact_percent, {_sql_share("lx")} AS lexical_percent, 0.0::DOUBLE AS semantic_percent, {_sql_share("qu")} AS quoted_percent, {_sql_share("own")} AS attributed_percent, {_sql_share("un")} AS unattributed_percent FROM t LEFT JOIN c USING (doc_id)"""
+    f"WITH {_REVIEW}" + f""", each_word AS (SELECT doc_id, paragraph, word, bool_or(kind = 'exact') AS exact, bool_or(kind = 'lexical') AS lexical, bool_or(kind = 'semantic') AS semantic, bool_or(reviewable) AS review, bool_or(quoted) AS quoted, bool_or(bibliography) AS bibliography, bool_or(attributed) AS attributed, bool_or(NOT attributed) AS unattributed FROM w GROUP BY ALL),
+    c AS (SELECT doc_id, count(*) AS raw, count(*) FILTER (review) AS rv, count(*) FILTER (review AND exact) AS ex, count(*) FILTER (review AND lexical AND NOT exact) AS lx, count(*) FILTER (review AND semantic AND NOT exact AND NOT lexical) AS se, count(*) FILTER (quoted) AS qu, count(*) FILTER (bibliography) AS bi, count(*) FILTER (attributed) AS own, count(*) FILTER (unattributed) AS un FROM each_word GROUP BY doc_id)
+    SELECT doc_id, n_words, {_sql_share("raw")} AS raw_percent, {_sql_share("rv")} AS review_percent, {_sql_share("ex")} AS exact_percent, {_sql_share("lx")} AS lexical_percent, {_sql_share("se")} AS semantic_percent, {_sql_share("qu")} AS quoted_percent, {_sql_share("bi")} AS bibliography_percent, {_sql_share("own")} AS attributed_percent, {_sql_share("un")} AS unattributed_percent FROM t LEFT JOIN c USING (doc_id)"""
 )
 def word_coverage(spark: SparkSession, sf: str) -> DataFrame:
     words, totals = _review_words(spark, sf)

@@ -63,11 +63,6 @@ def test_sentences_keep_their_places():
     assert arrow.split_protected("") == []
 
 
-def test_offset_map():
-    assert arrow.build_offset_map("a  b", "a b") == [0, 3, 3]
-    assert arrow.build_offset_map("", "") == []
-
-
 def test_quotes():
     assert arrow.quote_pairs('a "b" “c «d»” "open') == [(2, 5), (6, 13), (9, 12)]
 
