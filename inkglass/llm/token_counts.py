@@ -9,12 +9,15 @@ carries the number of tokens it adds (or takes back). States are bounded by the
 longest piece, and are compiled when first met.
 
 No piece holds a space after another character, so such a place sets the
-machine to one state whatever came before. A chunk of text is a map from entry
-state to exit state and count: up to its first such place by the entry state,
-from there on a constant. Maps of chunks compose, in any grouping, so a text's
-chunks are counted apart and joined by a parallel prefix scan. The constant
-part is a sum over the words between spaces, each of which is run once and
-remembered.
+machine to one state whatever came before. A chunk of text with such places is
+a constant, the sum over the words between them, each of which is run once and
+remembered; only what comes before the first and after the last is open, and
+chunks are joined two by two. A run without such a place, however long, is cut
+into chunks that are maps from entry state to exit state and count. A map is
+computed for the state that the characters before the chunk lead to from the
+start, which is nearly always the one that comes; maps compose in any grouping,
+so they are joined by a parallel prefix scan, and where another state comes the
+chunk is run from that.
 """
 
 from __future__ import annotations
@@ -35,8 +38,11 @@ from inkglass.session import ship
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CHUNK = 1 << 16  # characters
+RUN, WARM = 1 << 14, 64  # characters of a chunk of a run without spaces, and before it
 WORDS, STATES = 500_000, 250_000  # remembered by a worker at most
+KEPT, HELD = 256, 1 << 24  # characters of a remembered word, and of all of them, at most
 SPACE = "▁"
+ORIGIN = ("", ("",), (0,))  # the state at the start
 
 
 def default_model() -> str:
@@ -68,13 +74,14 @@ class Transducer:
         self.moves: dict[tuple[str, str], tuple] = {}
         self.known: dict[str, int] = {}
         self.parts: dict[str, int] = {}
+        self.held = 0  # characters of known words and parts
         self.forget()
 
     def forget(self) -> None:
         self.states: list[tuple] = []
         self.steps: list[dict[str, tuple[int, int]]] = []  # of each state: character to next state and tokens added
         self.numbers: dict[tuple, int] = {}
-        self.start = self.number(("", ("",), (0,)))
+        self.start = self.number(ORIGIN)
 
     def number(self, state: tuple) -> int:
         n = self.numbers.get(state)
@@ -175,26 +182,44 @@ class Transducer:
         self.steps[state][c] = out
         return out
 
-    def run(self, text: str) -> int:
-        """Tokens of a text from the start state."""
+    def walk(self, text: str, entry: tuple) -> tuple[tuple, int]:
+        """The state after a text from the state ``entry``, and its tokens."""
         if len(self.states) > STATES:
             self.forget()
-        n, state, steps = 0, self.start, self.steps
+        n, state, steps = 0, self.number(entry), self.steps
         for c in text:
             move = steps[state].get(c)
             if move is None:
                 move = self.step(state, c)
             state, k = move
             n += k
-        return n
+        return self.states[state], n
+
+    def run(self, text: str, size: int = 0) -> int:
+        """Tokens of a text from the start state."""
+        size = size or RUN
+        if len(text) <= size:
+            return self.walk(text, ORIGIN)[1]
+        chunks = [text[k : k + size] for k in range(0, len(text), size)]
+        entries = [ORIGIN, *(self.walk(c[-WARM:], ORIGIN)[0] for c in chunks[:-1])]
+        return scan([Map.of(c, e, self) for c, e in zip(chunks, entries, strict=True)], self)[-1].to[ORIGIN][1]
+
+    def remember(self, where: dict[str, int], text: str, n: int) -> None:
+        """Keeps a count. Both memories are bounded by entries and characters."""
+        if len(text) <= KEPT:
+            self.held += len(text)
+            if self.held > HELD or len(where) > WORDS:
+                self.known.clear()
+                self.parts.clear()
+                self.held = len(text)
+            where[text] = n
 
     def part(self, text: str) -> int:
         n = self.parts.get(text)
         if n is None:
-            if len(self.parts) > WORDS:
-                self.parts.clear()
             # runs of spaces have one score, so the local test can't tell their ties: by the rules themselves
-            n = self.parts[text] = self.by_rules(text) if text.startswith(SPACE * 2) else self.run(text)
+            n = self.by_rules(text) if text.startswith(SPACE * 2) else self.run(text)
+            self.remember(self.parts, text, n)
         return n
 
     def by_rules(self, text: str) -> int:
@@ -215,9 +240,7 @@ class Transducer:
                 else:
                     open_ += run
             n += self.part(open_)
-            if len(self.known) > WORDS:
-                self.known.clear()
-            self.known[text] = n
+            self.remember(self.known, text, n)
         return n
 
 
@@ -291,22 +314,59 @@ class Chunk:
         return t.word(self.head[1:]) + self.body + (t.word(self.tail[1:]) if self.tail else 0)
 
 
-def scan(chunks: list[Chunk], t: Transducer) -> list[Chunk]:
+@dataclass(frozen=True)
+class Map:
+    """Of a stretch of a run: exit state and tokens for entry states that came
+    up; and its chunk, or the two maps it is made of, for other states."""
+
+    to: dict[tuple, tuple[tuple, int]]
+    chunk: str
+    parts: tuple[Map, Map] | None = None
+
+    @staticmethod
+    def of(chunk: str, entry: tuple, t: Transducer) -> Map:
+        return Map({entry: t.walk(chunk, entry)}, chunk)
+
+    def at(self, entry: tuple, t: Transducer) -> tuple[tuple, int]:
+        if entry not in self.to:
+            if self.parts:
+                state, n = self.parts[0].at(entry, t)
+                state, k = self.parts[1].at(state, t)
+                self.to[entry] = state, n + k
+            else:
+                self.to[entry] = t.walk(self.chunk, entry)
+        return self.to[entry]
+
+    def then(self, other: Map, t: Transducer) -> Map:
+        out = Map({}, "", (self, other))
+        for entry in self.to:
+            out.at(entry, t)
+        return out
+
+
+def scan(maps: list[Map], t: Transducer) -> list[Map]:
     """Prefix compositions, in a number of rounds that is the logarithm of theirs."""
-    out, gap = list(chunks), 1
+    out, gap = list(maps), 1
     while gap < len(out):
         out = [out[k - gap].then(out[k], t) if k >= gap else out[k] for k in range(len(out))]
         gap *= 2
     return out
 
 
+def joined(chunks: list[Chunk], t: Transducer) -> Chunk:
+    """All chunks as one, two by two."""
+    while len(chunks) > 1:
+        chunks = [chunks[k].then(chunks[k + 1], t) if k + 1 < len(chunks) else chunks[k] for k in range(0, len(chunks), 2)]
+    return chunks[0]
+
+
 def count(text: str, t: Transducer, size: int = CHUNK) -> int:
     if not text:
         return 0
     text = " " + text.replace(SPACE, " ")
     if len(text) <= size:
         return Chunk.of(text, t).total(t)
-    return scan([Chunk.of(text[k : k + size], t) for k in range(0, len(text), size)], t)[-1].total(t)
+    return joined([Chunk.of(text[k : k + size], t) for k in range(0, len(text), size)], t).total(t)
 
 
 def _count(path: str, limit: int):

@@ -266,6 +266,20 @@ def test_token_counts_of_chunks():
         assert token_counts.count(x, t) == n == token_counts.count(x, t, r.randint(1, 9))
 
 
+def test_token_counts_of_maps():
+    """Runs without spaces as maps of chunks of any size, whatever state they are entered in."""
+    import sentencepiece
+
+    t, lib, r = token_counts.Transducer(token_counts.default_model()), sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model()), random.Random(4)
+    for _ in range(400):
+        x = "".join(r.choice(["the", "ing", "a", "b", "é", "日本", "1", ".", "ll", "tion", "\n"]) for _ in range(r.randint(1, 60)))
+        whole = t.run(token_counts.SPACE + x)
+        assert whole == len(lib.encode(x)) or "\n" in x
+        assert all(t.run(token_counts.SPACE + x, size) == whole for size in (1, 2, 5, 17))
+    a = token_counts.Map.of("tion", token_counts.ORIGIN, t)
+    assert a.at(t.walk("sta", token_counts.ORIGIN)[0], t)[1] + t.walk("sta", token_counts.ORIGIN)[1] == t.walk("station", token_counts.ORIGIN)[1]
+
+
 def test_mixing_meets_targets(spark, small, documents):
     rows = mixing.mixing_rates(documents, spark.read.parquet(f"{small}/labels.parquet"), {"good": 0.8, "poor": 0.15, "toxic": 0.05}).collect()
     total = sum(r.n_tokens for r in rows)

@@ -89,6 +89,17 @@ def test_long_texts_have_tokens(text):
         assert out[0] == len(lib.encode(text))
 
 
+def test_tokens_in_proportion_to_length():
+    """Eight times the letters without a space take about eight times as long, in bounded memories."""
+    t, r = token_counts.transducer(token_counts.default_model()), random.Random(6)
+    text = "".join(r.choice(["the", "ing", "sta", "tion", "x"]) for _ in range(2_400_000))
+    short = seconds(lambda: token_counts.count(text[:1_000_000], t))
+    assert seconds(lambda: token_counts.count(text[:8_000_000], t)) < 16 * short + 2
+    for k in range(300):
+        token_counts.count("".join(chr(0x4E00 + r.randrange(3000)) for _ in range(2000)) + str(k), t)
+    assert sum(map(len, t.known)) + sum(map(len, t.parts)) <= token_counts.HELD and max(map(len, t.known)) <= token_counts.KEPT
+
+
 @pytest.mark.parametrize("text", ["a" * 1_000_000, " " * 3_000_000, "日本" * 200_000, "ab1" * 200_000], ids=["letters", "spaces", "unspaced", "mixed"])
 def test_long_texts_have_ids(text):
     from tokenizers import Tokenizer
