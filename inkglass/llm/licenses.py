@@ -108,13 +108,21 @@ def _spaced(phrase: str) -> str:
     return phrase.replace(" ?", r"\s*").replace(" ", r"\s+")
 
 
+LINK = re.compile(r"https?://\S*")
+
+
+def _linked(url: str) -> str:
+    """A link that holds ``url``, to its end."""
+    return rf"https?://\S*{re.escape(url)}\S*"
+
+
 def rules() -> list[Rule]:
     out: list[Rule] = []
     for label, key, title, short, versions, url in FAMILIES:
         stem = "licen" if "licen" in title else key
         out.append(Rule(label, 20, 0.8, stem, rf"\b{_spaced(title)}\b"))
         out.append(Rule(label, 10, 0.5, "licen", rf"\blicen[cs]ed?\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?{re.escape(short)}\b"))
-        out.append(Rule(label, 30, 0.9, url, rf"https?://\S*{re.escape(url)}\S*"))
+        out.append(Rule(label, 30, 0.9, url, _linked(url)))
         out.append(Rule(label, 15, 0.6, "licen", rf"\b{re.escape(short)}[- ]?licen[cs]ed?\b"))
         for v in versions:
             e, whole = re.escape(v), v.removesuffix(".0")
@@ -142,7 +150,8 @@ def rules() -> list[Rule]:
 class Scanner:
     """Runs rules over texts in lower case. Patterns that open with a word
     border are searched for without it, which lets a search jump to their first
-    characters, and their matches are held against the border after."""
+    characters, and their matches are held against the border after. Links are
+    found once for all their rules, each to where it ends."""
 
     BORDER = (r"\b", r"(?<!\w)")
 
@@ -150,7 +159,12 @@ class Scanner:
         import ahocorasick
 
         self.by_key: dict[str, list] = {}
+        self.links: list[tuple[int, Rule]] = []
         for k, r in enumerate(rules() if own is None else own):
+            if r.pattern == _linked(r.keyword):
+                self.links.append((k, r))
+                self.by_key.setdefault(r.keyword, [])
+                continue
             border = next((b for b in self.BORDER if r.pattern.startswith(b)), "")
             self.by_key.setdefault(r.keyword, []).append((k, r, re.compile(r.pattern.removeprefix(border)), bool(border)))
         self.keywords = ahocorasick.Automaton()
@@ -164,6 +178,10 @@ class Scanner:
     def detections(self, text: str, present: set[str]) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) of what no other contains, by place."""
         found = []
+        links = [(k, r) for k, r in self.links if r.keyword in present]
+        for m in LINK.finditer(text) if links else ():
+            begin = text.index("://", m.start()) + 3
+            found += [(-r.priority, m.start() - m.end(), k, m.start(), m.end(), r) for k, r in links if text.find(r.keyword, begin, m.end()) >= 0]
         for key in present & self.by_key.keys():
             for k, r, p, border in self.by_key[key]:
                 m = p.search(text)

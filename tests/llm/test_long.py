@@ -89,6 +89,20 @@ def test_long_texts_have_tokens(text):
         assert out[0] == len(lib.encode(text))
 
 
+def test_links_without_spaces():
+    """A megabyte of links in one run, and the links' rules against their patterns."""
+    scanner, own = licenses.Scanner(), [r for r in licenses.rules() if r.pattern == licenses._linked(r.keyword)]
+    url = own[0].keyword
+    text = "https://example.org/a?b=" * 45_000 + url
+    out = []
+    assert seconds(lambda: out.extend(scanner.detections(text, scanner.present(text)))) < 2 and [(s, e) for s, e, _ in out] == [(0, len(text))]
+    r = random.Random(9)
+    for _ in range(500):
+        text = "".join(r.choice(["http://", "https://", "x", " ", "\n", url, own[-1].keyword, "http", "://"]) for _ in range(r.randrange(1, 25)))
+        want = sorted((m.start(), m.end(), x.label) for x in own[:1] for m in re.finditer(x.pattern, text))
+        assert sorted((s, e, x.label) for s, e, x in licenses.Scanner(own[:1]).detections(text, {url})) == want
+
+
 def test_tokens_in_proportion_to_length():
     """Eight times the letters without a space take about eight times as long, in bounded memories."""
     t, r = token_counts.transducer(token_counts.default_model()), random.Random(6)
