@@ -212,13 +212,6 @@ def nfc(c):
     return pd.Series([None if x is None else unicodedata.normalize("NFC", x) for x in c])
 
 
-@_scalar("string")
-def nfkd_ascii(c):
-    import pandas as pd
-
-    return pd.Series([None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in c])
-
-
 @_scalar("string")
 def unescape_html(c):
     import html

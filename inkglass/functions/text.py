@@ -7,6 +7,7 @@ for is in ``functions.arrow``.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -139,9 +140,38 @@ def normalize_arxiv(c: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """By Unicode's compatibility decomposition: characters whose ASCII part is
+    one character, what that is, and the others' parts, where they have one."""
+    plain = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, range(0x80, 0x10000)) if not "\ud800" <= c <= "\udfff" and not "\uac00" <= c <= "\ud7a3"}
+    one = {c: p for c, p in plain.items() if len(p) == 1}
+    return "".join(one), "".join(one.values()), {c: p for c, p in plain.items() if len(p) > 1}
+
+
+_FROM, _TO, _LONGER = _plain_letters()
+_SEVERAL = "[" + "".join(_LONGER) + "]"
+
+
+def plain_ascii(c: Column) -> Column:
+    """A text's ASCII part after compatibility decomposition: letters lose their
+    accents, ligatures and the like are spelt out, the rest is dropped."""
+
+    def spelt(t: Column) -> Column:
+        parts = F.map_from_arrays(F.array(*map(F.lit, _LONGER)), F.array(*map(F.lit, _LONGER.values())))
+        return F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(parts, x), x)), "")
+
+    odd = F.when(c.rlike(_SEVERAL), spelt(c)).otherwise(c)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(odd, _FROM, _TO), "[^\\x00-\\x7F]", "")).otherwise(c)
+
+
+def plain_tokens(c: Column) -> Column:
+    """Words of letters a to z and digits, accents folded."""
+    return ascii_tokens(plain_ascii(c))
+
+
 def normalize_title(c: Column) -> Column:
-    """ASCII words of a title. Accents are read by ``functions.arrow.nfkd_ascii``."""
-    return F.array_join(ascii_tokens(c), " ")
+    """ASCII words of a title, accents folded."""
+    return F.array_join(plain_tokens(c), " ")
 
 
 def cap_words(c: Column, n: int = 25) -> Column:

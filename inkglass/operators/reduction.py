@@ -139,42 +139,58 @@ def offsets(spans: DataFrame) -> DataFrame:
     return by.groupBy("doc_id", "phase").agg(F.count(F.when(F.col("exact"), 1)).alias("exact"), F.count(F.when(~F.col("exact"), 1)).alias("lexical"))
 
 
-def improve(state: DataFrame, candidates: DataFrame, scan: Callable[[DataFrame], DataFrame], most: int = 3) -> tuple[DataFrame, str, int]:
-    """Applies the best rewrite of each passage, round by round.
+def improve(state: DataFrame, candidates: DataFrame, scan: Callable[[DataFrame], DataFrame], most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Applies the best rewrite of each passage, round by round, to each
+    document on its own: (doc_id, passage_id, text) as it ends, and (doc_id,
+    reason, rounds).
 
     ``state`` is (doc_id, passage_id, text), ``candidates`` (passage_id, text,
     score, rejected), ``scan`` gives (doc_id, percent, high_risk) for a state.
-    A round counts if high risk does not rise and it, or the percentage, falls.
-    Returns the last state that counted, why it ended, and the rounds done.
-    Each state goes to shared storage, so lineage stays short.
+    A round counts for a document if its high risk does not rise and it, or the
+    percentage, falls; a document for which it doesn't count leaves with the
+    state before. One whose candidates are used up leaves too. Rounds only touch
+    documents that are still in, and every round goes to shared storage, so
+    lineage stays short; the driver learns only whether any are left. Passage
+    ids are unique over all documents.
     """
     where = scratch_dir(state.sparkSession)
-    state = stored(state, where, "state0")
-    usable = candidates.where(~F.col("rejected"))
-    if candidates.isEmpty():
-        return state, "no_eligible_reducible_passages", 0
-    if usable.isEmpty():
-        return state, "no_safe_candidates", 0
-
-    def totals(s: DataFrame) -> tuple[int, float]:
-        r = scan(s).agg(F.coalesce(F.sum("high_risk"), F.lit(0)).alias("h"), F.coalesce(F.sum("percent"), F.lit(0.0)).alias("p")).first()
-        return int(r.h), float(r.p)
-
-    high, percent = totals(state)
+    state = stored(state.select("doc_id", "passage_id", "text"), where, "state0")
+    owned = candidates.join(state.select("doc_id", "passage_id").distinct(), "passage_id").select("doc_id", "passage_id", F.col("text").alias("new"), "score", "rejected")
+    safe = owned.groupBy("doc_id").agg(F.bool_or(~F.col("rejected")).alias("safe"))
+    begin = state.select("doc_id").distinct().join(safe, "doc_id", "left")
+    reason = F.when(F.col("safe").isNull(), "no_eligible_reducible_passages").when(~F.col("safe"), "no_safe_candidates")
+    left = stored(begin.where("safe is null or not safe").select("doc_id", reason.alias("reason"), F.lit(0).alias("rounds")), where, "left0")
+    active = begin.where("safe").select("doc_id")
+    done = state.join(active, "doc_id", "left_anti").select(*state.columns)
+    state = stored(state.join(active, "doc_id", "left_semi"), where, "active0")
+    usable = stored(owned.where(~F.col("rejected")).select("doc_id", "passage_id", "new", "score"), where, "usable0")
+    measures = stored(_measured(state, scan), where, "measures0")
     for k in range(1, most + 1):
-        best = usable.groupBy("passage_id").agg(F.max_by("text", F.struct("score", F.col("text"))).alias("new"))
-        new = state.join(best, "passage_id", "left").select("doc_id", "passage_id", F.coalesce("new", "text").alias("text"))
-        new = stored(new, where, f"state{k}")
-        if new.exceptAll(state).isEmpty():
-            return state, "no_measured_improvement", k - 1
-        h, p = totals(new)
-        if h > high or not (h < high or p < percent - EPSILON):
-            return state, "no_measured_improvement", k - 1
-        usable = usable.join(best, (usable.passage_id == best.passage_id) & (usable.text == best.new), "left_anti")
-        state, high, percent = new, h, p
-        if usable.isEmpty():
-            return state, "no_safe_candidates", k
-    return state, "max_iterations_reached", most
+        if state.isEmpty():
+            break
+        best = usable.groupBy("doc_id", "passage_id").agg(F.max_by("new", F.struct("score", "new")).alias("new"))
+        tried = stored(state.join(best, ["doc_id", "passage_id"], "left").select("doc_id", "passage_id", "text", F.coalesce("new", "text").alias("next"), F.col("new").isNotNull().alias("used")), where, f"tried{k}")
+        after = stored(_measured(tried.select("doc_id", "passage_id", F.col("next").alias("text")), scan), where, f"measures{k}")
+        changed = tried.where("text <> next").select("doc_id").distinct().withColumn("changed", F.lit(True))
+        h, p, h0, p0 = (F.coalesce(c, F.lit(0)) for c in ("a.high_risk", "a.percent", "b.high_risk", "b.percent"))
+        counts = F.coalesce("changed", F.lit(False)) & (h <= h0) & ((h < h0) | (p < p0 - EPSILON))
+        judged = state.select("doc_id").distinct().join(changed, "doc_id", "left").alias("d").join(after.alias("a"), F.col("d.doc_id") == F.col("a.doc_id"), "left").join(measures.alias("b"), F.col("d.doc_id") == F.col("b.doc_id"), "left")
+        judged = stored(judged.select("d.doc_id", counts.alias("counts")), where, f"judged{k}")
+        used = tried.where("used").select("doc_id", "passage_id", F.col("next").alias("new"))
+        usable = stored(usable.join(used, ["doc_id", "passage_id", "new"], "left_anti").join(judged.where("counts"), "doc_id", "left_semi"), where, f"usable{k}")
+        more = usable.select("doc_id").distinct().withColumn("more", F.lit(True))
+        ended = judged.join(more, "doc_id", "left").select("doc_id", "counts", (F.col("counts") & F.coalesce("more", F.lit(False)) & F.lit(k < most)).alias("stays"), F.coalesce("more", F.lit(False)).alias("more"))
+        reason = F.when(~F.col("counts"), "no_measured_improvement").when(~F.col("more"), "no_safe_candidates").otherwise("max_iterations_reached")
+        ended = stored(ended.select("*", reason.alias("reason"), (F.lit(k) - F.when(F.col("counts"), 0).otherwise(1)).alias("rounds")), where, f"ended{k}")
+        now = tried.join(ended, "doc_id").select("doc_id", "passage_id", F.when(F.col("counts"), F.col("next")).otherwise(F.col("text")).alias("text"), "stays")
+        left = left.unionByName(ended.where("not stays").select("doc_id", "reason", "rounds"))
+        done = done.unionByName(now.where("not stays").drop("stays"))
+        state, measures = stored(now.where("stays").drop("stays"), where, f"active{k}"), after
+    return done, left.withColumn("rounds", F.col("rounds").cast("long"))
+
+
+def _measured(state: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return scan(state).groupBy("doc_id").agg(F.sum(F.col("high_risk").cast("long")).alias("high_risk"), F.sum(F.col("percent").cast("double")).alias("percent"))
 
 
 def apply_rewrites(texts: DataFrame, edits: DataFrame) -> DataFrame:

@@ -99,15 +99,16 @@ def best_reference(scored: DataFrame) -> DataFrame:
 
 
 def author_score(entry_authors: Column, surnames: Column) -> Column:
-    """Share of a record's surnames that the entry names; ASCII input."""
-    names = T.ascii_tokens(entry_authors)
+    """Share of a record's surnames that the entry names, accents folded."""
+    names = T.plain_tokens(entry_authors)
     n = F.size(F.filter(surnames, lambda s: F.array_contains(names, s)))
     whole = F.greatest(F.size(surnames), F.regexp_count(entry_authors, F.lit(AUTHOR_COUNT)), F.lit(1))
     return F.when((F.coalesce(entry_authors, F.lit("")) != "") & (F.size(names) > 0) & (F.size(surnames) > 0), T.half_even(n / whole * 100))
 
 
 def surnames(authors: Column) -> Column:
-    last = F.transform(authors, lambda a: F.element_at(T.ascii_tokens(a), F.when(F.size(T.ascii_tokens(a)) > 0, -1).otherwise(1)))
+    """The last word of each name, accents folded, each once."""
+    last = F.transform(authors, lambda a: T.let(T.plain_tokens(a), lambda w: F.get(w, F.size(w) - 1)))
     return F.array_distinct(F.filter(last, lambda x: x.isNotNull()))
 
 

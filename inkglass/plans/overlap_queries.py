@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from inkglass.functions import arrow
 from inkglass.functions import text as T
-from inkglass.operators import compare, evaluation, intervals, retrieval, review
+from inkglass.operators import compare, evaluation, index, intervals, retrieval, review
 from inkglass.plans import overlap, parse
 from inkglass.plans.registry import Fixture, literal, query
 from inkglass.plans.text_queries import sql_fold, sql_sentence, sql_sentences, sql_words
-from inkglass.session import table
+from inkglass.session import scratch_dir, table
 
 
 def _sql_points(source: str, id_: str) -> str:
@@ -192,6 +192,26 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return fused.select(F.col("query_id").alias("doc_id"), F.col("entry_id").alias("item_id"), F.round("score", 9).alias("score"), "rank")
 
 
+_SENTENCES = f"(SELECT doc_id, CAST(i AS BIGINT) AS sentence_index, {sql_sentence('s[i + 1]')} AS n FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents), LATERAL (SELECT unnest(range(len(s))) AS i))"
+
+
+@query(
+    f"""SELECT 'terms' AS kind, df AS times, count(*) AS n FROM (SELECT term, count(DISTINCT (doc_id, sentence_index)) AS df FROM {_TERMS.format(id="doc_id, sentence_index", text="n", source=_SENTENCES)} GROUP BY term) GROUP BY ALL
+        UNION ALL SELECT 'fingerprints', c, count(*) FROM (SELECT hash, count(*) AS c FROM {_DOCS} GROUP BY hash) GROUP BY ALL"""
+)
+def index_update(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of all sources but one, brought to all of them: how many terms
+    and fingerprints occur how often, as if it had been built at once."""
+    path = f"{scratch_dir(spark)}/index"
+    rows = overlap.sentence_table(table(spark, sf, "documents")).select("doc_id", F.col("sentence_index").alias("entry_index"), F.col("n").alias("normalized_text"), F.sha2("n", 256).alias("hash"))
+    index.update(rows.join(table(spark, sf, "documents").where("source <> 'src0'").select("doc_id"), "doc_id", "left_semi"), path)
+    manifest, _ = index.update(rows, path)
+    found = index.tables(spark, path, manifest)
+    terms = found["idf"].groupBy(F.lit("terms").alias("kind"), F.col("df").alias("times")).agg(F.count("*").alias("n"))
+    prints = found["fingerprints"].groupBy("hash").agg(F.count("*").alias("c")).groupBy(F.lit("fingerprints").alias("kind"), F.col("c").alias("times")).agg(F.count("*").alias("n"))
+    return terms.unionByName(prints)
+
+
 _SCORES = Fixture(
     "id long, exact double, lexical double, semantic double",
     [(1, 0.97, 0.2, 0.1), (2, 0.95, 0.0, 0.0), (3, 0.72, 0.9, -0.2), (4, 0.2, 0.41, 0.9), (5, 0.1, 0.39, 0.83), (6, 0.0, 0.0, 0.81), (7, 0.6999, 0.4, 0.5), (8, 0.0, 0.1, -0.9)],

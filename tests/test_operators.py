@@ -172,10 +172,29 @@ def test_improve_loop(spark):
         return s.groupBy("doc_id").agg(F.sum(F.when(F.contains("text", F.lit("copied")), 50.0).otherwise(0.0)).alias("percent"), F.count(F.when(F.contains("text", F.lit("copied")), 1)).alias("high_risk"))
 
     good = spark.createDataFrame([("p1", "new words", 0.9, False), ("p1", "copied", 0.1, False)], "passage_id string, text string, score double, rejected boolean")
-    out, why, rounds = reduction.improve(state, good, scan)
-    assert {r.text for r in out.collect()} == {"new words", "own"} and rounds == 1 and why == "no_measured_improvement"
-    assert reduction.improve(state, good.withColumn("rejected", F.lit(True)), scan)[1] == "no_safe_candidates"
-    assert reduction.improve(state, good.limit(0), scan)[1] == "no_eligible_reducible_passages"
+    out, ended = reduction.improve(state, good, scan)
+    assert {r.text for r in out.collect()} == {"new words", "own"} and [tuple(r) for r in ended.collect()] == [(1, "no_measured_improvement", 1)]
+    assert [tuple(r) for r in reduction.improve(state, good.withColumn("rejected", F.lit(True)), scan)[1].collect()] == [(1, "no_safe_candidates", 0)]
+    assert [tuple(r) for r in reduction.improve(state, good.limit(0), scan)[1].collect()] == [(1, "no_eligible_reducible_passages", 0)]
+
+
+def test_documents_improve_on_their_own(spark):
+    """What one document comes to doesn't depend on the others."""
+    state = [(1, "a", "copied"), (2, "b", "copied"), (3, "c", "copied copied copied"), (4, "d", "own"), (5, "e", "copied")]
+    new = [("a", "fresh", 0.9), ("b", "copied copied", 0.9), ("c", "copied copied", 0.9), ("c", "copied", 0.5), ("c", "fresh", 0.4), ("c", "all fresh", 0.3), ("e", "copied", 0.7)]
+    state = spark.createDataFrame(state, "doc_id long, passage_id string, text string")
+    new = spark.createDataFrame([(*r, False) for r in new], "passage_id string, text string, score double, rejected boolean")
+
+    def scan(s):
+        n = F.regexp_count("text", F.lit("copied"))
+        return s.groupBy("doc_id").agg((F.sum(n) * 10.0).alias("percent"), F.lit(0).alias("high_risk"))
+
+    whole, ended = reduction.improve(state, new, scan)
+    got, why = {r.passage_id: r.text for r in whole.collect()}, {r.doc_id: (r.reason, r.rounds) for r in ended.collect()}
+    assert got == {"a": "fresh", "b": "copied", "c": "fresh", "d": "own", "e": "copied"}
+    assert why == {1: ("no_safe_candidates", 1), 2: ("no_measured_improvement", 0), 3: ("max_iterations_reached", 3), 4: ("no_eligible_reducible_passages", 0), 5: ("no_measured_improvement", 0)}
+    alone, ended = reduction.improve(state.where("doc_id in (1, 3)"), new, scan)
+    assert {r.passage_id: r.text for r in alone.collect()} == {k: got[k] for k in "ac"} and {r.doc_id: (r.reason, r.rounds) for r in ended.collect()} == {k: why[k] for k in (1, 3)}
 
 
 def test_apply_rewrites(spark):
