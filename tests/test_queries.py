@@ -3,7 +3,7 @@
 import pytest
 from engines import rows_of
 
-from inkglass.plans import audit_queries, decision_queries, link_queries, meaning_queries, overlap_queries, text_queries  # noqa: F401
+from inkglass.plans import audit_queries, decision_queries, link_queries, meaning_queries, overlap_queries, rewrite_queries, text_queries  # noqa: F401
 from inkglass.plans.registry import QUERIES, SQL
 
 
