@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkglass.functions import text as T
 from inkglass.operators import audit, bibliography, compare, evaluation, reduction, support, verification
-from inkglass.plans.registry import Fixture, literal, query
+from inkglass.plans.registry import Derived, Fixture, literal, query
 from inkglass.session import table
 
 # ---- numbered citations -----------------------------------------------------
@@ -38,21 +38,37 @@ def citations_numbered(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- citations and bibliography ---------------------------------------------
 
-_CITES = Fixture(
+_CITES = Derived(
     "doc_id long, citation_id long, authors string, year long, doi string, numbered_ref long, no_date boolean",
     [
         (1, 1, "Smith & Jones", 2019, None, None, False), (1, 2, "Yılmaz vd.", 2020, None, None, False), (1, 3, None, None, None, 3, False), (1, 4, None, None, "10.1000/abc", None, False),
         (1, 5, "Brown", None, None, None, True), (1, 6, "Ghost", 1999, None, None, False), (1, 7, None, None, None, 1200, False), (1, 8, "smith et al.", 2019, None, None, False),
         (2, 9, "Adams", 2001, None, 1, False), (2, 10, "Baker", 2005, "10.1000/zzz", None, False), (2, 11, None, None, None, 9, False), (2, 12, "Adams", 2001, None, None, False),
     ],
+    "lineitem",
+    "1000 + l_orderkey",
+    "l_linenumber",
+    "CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'Clerk' || (l_partkey % 5) || CASE WHEN l_suppkey % 3 = 0 THEN ' & Smith' ELSE '' END END",
+    "CASE WHEN l_partkey % 7 = 0 OR l_suppkey % 9 = 0 THEN NULL ELSE 2000 + l_suppkey % 4 END",
+    "CASE WHEN l_partkey % 6 = 0 THEN '10.1000/' || (l_suppkey % 5) END",
+    "CASE WHEN l_partkey % 7 = 0 THEN 1 + l_suppkey % 8 END",
+    "l_suppkey % 9 = 0 AND l_partkey % 7 > 0",
 )
-_ENTRIES = Fixture(
+_ENTRIES = Derived(
     "doc_id long, entry_index long, authors string, year long, doi string, numbered_ref long, no_date boolean",
     [
         (1, 0, "Smith, J., Jones, K.", 2019, None, 1, False), (1, 1, "Yilmaz, A.", 2020, "10.1000/abc", 2, False), (1, 2, "Clark, B.", 2010, None, 3, False), (1, 3, "Brown, C.", None, None, None, True),
         (1, 4, "Clark, D.", 2011, None, 3, False), (1, 5, "Extra, E.", 2000, "10.1000/abc", None, False), (2, 0, "Baker, Z.", 2005, "10.1000/yyy", 1, False), (2, 1, "Adams, Q.", 2001, None, 2, False),
         (2, 2, "Baker, Z.", 2005, None, None, False),
     ],
+    "lineitem",
+    "1000 + l_orderkey",
+    "l_linenumber",
+    "'Clerk' || (l_suppkey % 5) || ', A., Smith, J.'",
+    "CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE 2000 + l_partkey % 4 END",
+    "CASE WHEN l_suppkey % 4 = 0 THEN '10.1000/' || (l_partkey % 5) END",
+    "CASE WHEN l_partkey % 3 > 0 THEN l_linenumber END",
+    "l_partkey % 9 = 0",
 )
 _KEY = (
     "coalesce(list_filter(string_split(trim(regexp_replace(translate(regexp_replace(replace(lower(authors), '&', 'and'), 'et\\s+al\\.|vd\\.?', ' ', 'g'), 'ığüşöç', 'igusoc'), '[^a-z]+', ' ', 'g')), ' '),"
@@ -70,7 +86,7 @@ _C, _E = f"(SELECT *, {_KEY} AS k FROM {_CITES.sql})", f"(SELECT *, {_KEY} AS k
              ELSE c.k = e.k AND c.year IS NOT DISTINCT FROM e.year END"""
 )
 def citation_bib_link(spark: SparkSession, sf: str) -> DataFrame:
-    return bibliography.link(_CITES.frame(spark), _ENTRIES.frame(spark))
+    return bibliography.link(_CITES.frame(spark, sf), _ENTRIES.frame(spark, sf))
 
 
 @query(
@@ -79,7 +95,7 @@ def citation_bib_link(spark: SparkSession, sf: str) -> DataFrame:
           FROM (SELECT DISTINCT doc_id, numbered_ref FROM {_C} WHERE numbered_ref IS NOT NULL) c LEFT JOIN {_E} e ON e.doc_id = c.doc_id AND e.numbered_ref = c.numbered_ref GROUP BY c.doc_id, c.numbered_ref)"""
 )
 def numbered_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return bibliography.resolve_numbers(_CITES.frame(spark), _ENTRIES.frame(spark))
+    return bibliography.resolve_numbers(_CITES.frame(spark, sf), _ENTRIES.frame(spark, sf))
 
 
 @query(
@@ -89,16 +105,20 @@ def numbered_resolution(spark: SparkSession, sf: str) -> DataFrame:
         UNION ALL SELECT doc_id, 'listed_not_cited', k, year, 1 FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE e.doc_id = c.doc_id AND e.k = c.k AND e.year IS NOT DISTINCT FROM c.year)"""
 )
 def bib_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return bibliography.issues(_CITES.frame(spark), _ENTRIES.frame(spark))
+    return bibliography.issues(_CITES.frame(spark, sf), _ENTRIES.frame(spark, sf))
 
 
-_PARAGRAPHS = Fixture(
+_PARAGRAPHS = Derived(
     "doc_id long, paragraph_index long, text string",
     [
         (1, 0, "# Title"), (1, 1, "Some text (Smith, 2019)."), (1, 2, "## References:"), (1, 3, "[1] Smith, J. (2019). Deep things. Journal of Depth. 10.1000/abc."), (1, 4, "2. Brown, C. (n.d.). Undated work. Press."),
         (1, 5, "# Appendix"), (1, 6, "Not an entry 2020."), (2, 0, "Text only."), (2, 1, "More text."), (3, 0, "INTRO"), (3, 1, "Words here."), (3, 2, "EK-1 SOURCES"), (3, 3, "Adams, Q. (2001). A title. Place"),
         (3, 4, "Baker, Z. (2005). Another title"), (3, 5, "Clark, B. 10.1000/xyz"), (3, 6, "Plain line"), (4, 0, "Ek 2: Kaynakça"), (4, 1, "Demir, A. 1999b, Eski bir eser. Ankara"),
     ],
+    "lineitem",
+    "1000 + l_orderkey",
+    "l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey",
+    "CASE WHEN l_linenumber = 1 AND l_partkey % 2 = 0 THEN '# Part ' || l_partkey WHEN l_linenumber = 2 AND l_suppkey % 3 = 0 THEN '## References:' WHEN l_linenumber = 2 AND l_suppkey % 3 = 1 THEN 'EK-1 SOURCES' WHEN l_linenumber = 6 AND l_partkey % 4 = 0 THEN '# Appendix' WHEN l_partkey % 5 = 0 THEN '[' || l_linenumber || '] Clerk, A. (' || (1990 + l_suppkey % 30) || '). Title ' || l_partkey || '. Press. 10.1000/' || l_partkey || '.' WHEN l_partkey % 5 = 1 THEN l_linenumber || '. Brown, C. (n.d.). Undated ' || l_partkey || '. Press.' WHEN l_partkey % 5 = 2 THEN 'Adams, Q. (2001). A title. Place' WHEN l_partkey % 5 = 3 THEN 'Clark, B. 10.1000/X' || l_suppkey ELSE 'Plain line ' || l_partkey END",
 )
 _KEY_OF = "trim(regexp_replace(regexp_replace(lower(regexp_replace(trim(regexp_replace(trim(text), '^#+', '')), ':+$', '')), '^ek\\s*[-.]?\\s*\\d+\\s*:?\\s*', ''), '\\s+', ' ', 'g'))"
 _LIKE = "(regexp_matches(text, '(?i)\\b(?:18|19|20|21)\\d{2}[a-z]?\\b') OR regexp_matches(text, '(?i)\\((?:t\\.?\\s*y\\.?|n\\.?\\s*d\\.?)\\)') OR regexp_matches(text, '(?i)\\b10\\.\\d{4,9}/[-._;()/:A-Z0-9]+'))"
@@ -110,7 +130,7 @@ _START = f"""(SELECT doc_id, coalesce(min(paragraph_index) FILTER (known), min(p
 
 @query(f"SELECT * FROM {_START}")
 def bibliography_start(spark: SparkSession, sf: str) -> DataFrame:
-    return bibliography.starts(_PARAGRAPHS.frame(spark))
+    return bibliography.starts(_PARAGRAPHS.frame(spark, sf))
 
 
 _BODY = "trim(regexp_replace(raw, '^\\s*(?:\\[(\\d+)\\]|(\\d+)[.)])\\s*', ''))"
@@ -128,13 +148,13 @@ _DOI = "(?i)\\b10\\.\\d{4,9}/[-._;()/:A-Z0-9]+"
                nullif(regexp_replace(CASE WHEN y IS NOT NULL THEN substr(body, 1, instr(body, mark) - 1) WHEN no_date THEN substr(body, 1, instr(body, nd) - 1) END, '^[ .,(;]+|[ .,(;]+$', '', 'g'), '') AS authors FROM y"""
 )
 def bib_entries(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bibliography.entry_paragraphs(_PARAGRAPHS.frame(spark)).withColumn("e", bibliography.parse_entry(F.col("text")))
+    rows = bibliography.entry_paragraphs(_PARAGRAPHS.frame(spark, sf)).withColumn("e", bibliography.parse_entry(F.col("text")))
     return rows.select("doc_id", "paragraph_index", "e.numbered_ref", "e.year", "e.no_date", "e.doi", "e.authors")
 
 
 # ---- references against records ----------------------------------------------
 
-_REFS = Fixture(
+_REFS = Derived(
     "id long, raw string, title_score long, author_score long, year_score long, doi_score long, work_type string, arxiv_id string, entry_year long, year long",
     [
         (1, "Smith 2019", 90, 100, 100, None, "journal-article", None, 2019, 2019), (2, "Smith 2019", 90, 100, 100, 100, "review", None, 2019, 2019), (3, "Smith 2019", 95, 100, 100, 0, "letter", None, 1980, None),
@@ -142,6 +162,17 @@ _REFS = Fixture(
         (7, "Low title", 40, 100, 100, None, "Meta-Analysis", None, None, None), (8, "Low title", 20, 20, 100, None, "clinical-trial", None, 2000, 2001), (9, "Authors", 95, 60, 0, None, "other", None, 1970, 1970),
         (10, "Authors", 95, 10, 100, None, "editorial ", None, 2024, 2024), (11, "Nothing", None, None, None, None, None, None, None, None), (12, "Title only", 65, None, None, None, "book-review", None, 2000, None), (13, "Half", 60, 80, 0, None, "x", None, 1999, 2010),
     ],
+    "lineitem",
+    "1000 + l_orderkey * 8 + l_linenumber",
+    "CASE l_partkey % 4 WHEN 0 THEN 'In Proceedings of X' WHEN 1 THEN 'arXiv preprint' ELSE 'Smith 2019' END",
+    "CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_partkey * 7 % 101 END",
+    "CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE l_suppkey * 7 % 101 END",
+    "CASE l_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 100 END",
+    "CASE l_suppkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 100 END",
+    "CASE l_orderkey % 6 WHEN 0 THEN 'journal-article' WHEN 1 THEN ' Review' WHEN 2 THEN 'clinical-trial' WHEN 3 THEN 'letter' WHEN 4 THEN 'other' END",
+    "CASE WHEN l_suppkey % 3 = 0 THEN '2101.' || l_partkey WHEN l_suppkey % 3 = 1 THEN '' END",
+    "CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE 1980 + l_partkey % 45 END",
+    "CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 1980 + l_suppkey % 45 END",
 )
 
 
@@ -167,7 +198,7 @@ _OVERALL = f"CASE WHEN doi_score IS NULL THEN {_PLAIN_MEAN} WHEN doi_score = 0 T
 )
 def reference_status(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    rows = _REFS.frame(spark).withColumn("overall", verification.overall(c("title_score"), c("author_score"), c("year_score"), c("doi_score")))
+    rows = _REFS.frame(spark, sf).withColumn("overall", verification.overall(c("title_score"), c("author_score"), c("year_score"), c("doi_score")))
     return rows.select(
         "id", "overall", verification.status(c("raw"), c("work_type"), c("arxiv_id"), c("title_score"), c("author_score"), c("doi_score"), c("overall")).alias("status"),
         verification.outdated(c("entry_year"), c("year"), 2026).alias("outdated"), verification.source_type(c("work_type")).alias("source_type"),
@@ -199,12 +230,18 @@ def candidate_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- support and audit ---------------------------------------------------------
 
-_SUPPORT = Fixture(
+_SUPPORT = Derived(
     "id long, metadata long, best long, entailed string, confidence long",
     [
         (1, 80, 72, None, None), (2, 60, 55, "insufficient_information", 30), (3, 60, 10, None, None), (4, 90, None, None, None), (5, 40, 30, "contradicted", 85), (6, 50, 20, None, None), (7, 70, 65, "supported", 90),
         (8, 0, 0, None, None), (9, 100, 100, "partially_supported", 100), (10, 35, 49, None, None),
     ],
+    "orders",
+    "1000 + o_orderkey",
+    "o_orderkey % 101",
+    "CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE o_custkey % 100 END",
+    "CASE o_orderkey % 5 WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'insufficient_information' WHEN 3 THEN 'partially_supported' END",
+    "CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_orderkey % 97 END",
 )
 
 
@@ -215,7 +252,7 @@ _SUPPORT = Fixture(
 )
 def claim_support(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    rows = _SUPPORT.frame(spark).withColumn("support", support.support(c("best"), c("entailed"), c("confidence")))
+    rows = _SUPPORT.frame(spark, sf).withColumn("support", support.support(c("best"), c("entailed"), c("confidence")))
     return rows.select("id", support.verdict(c("metadata"), c("best"), c("entailed")).alias("verdict"), "support", support.overall_confidence(c("metadata"), c("support"), c("entailed").isNotNull()).alias("overall"))
 
 
@@ -228,9 +265,13 @@ def metadata_match(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", support.metadata_match(F.col("q"), F.col("t")).alias("score"))
 
 
-_SUMMARY = Fixture(
+_SUMMARY = Derived(
     "claim_id long, evaluated boolean, verdict string",
     [(1, True, "supported"), (1, True, "contradicted"), (2, True, "contradicted"), (3, True, "partially_supported"), (3, False, "contradicted"), (4, True, "unrelated"), (5, False, None), (6, True, None), (6, False, "supported")],
+    "lineitem",
+    "1000 + l_orderkey",
+    "l_linestatus = 'O' OR l_quantity > 25",
+    "CASE l_partkey % 5 WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'partially_supported' WHEN 3 THEN 'unrelated' END",
 )
 
 
@@ -239,15 +280,31 @@ _SUMMARY = Fixture(
         FROM (SELECT *, coalesce(bool_or(evaluated AND verdict = 'contradicted') OVER (PARTITION BY claim_id), FALSE) AS a, coalesce(bool_or(evaluated AND verdict IN ('supported', 'partially_supported')) OVER (PARTITION BY claim_id), FALSE) AS f FROM {_SUMMARY.sql}) GROUP BY claim_id, a, f"""
 )
 def claim_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return support.claim_summary(_SUMMARY.frame(spark))
+    return support.claim_summary(_SUMMARY.frame(spark, sf))
 
 
-_COUNTS = Fixture(
+_COUNTS = Derived(
     "doc_id long, total_claims long, cited_claims long, verified_citations long, bib_evaluated long, bib_total long, supported_cited_claims long, cited_evaluated long, cited_with_evidence long, bibliography_issues long, bibliography_entries long, distinct_citations long, uncited_high long, contradictions long, unresolved_high long",
     [
         (1, 10, 8, 5, 6, 7, 4, 5, 5, 1, 7, 6, 1, 0, 0), (2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (3, 4, 1, 0, 0, 3, 0, 1, 0, 2, 3, 1, 2, 1, 1), (4, 20, 20, 9, 9, 9, 12, 12, 12, 0, 9, 9, 0, 0, 0),
         (5, 20, 2, 1, 9, 9, 1, 12, 2, 30, 9, 9, 9, 9, 9), (6, 7, 3, 2, 3, 3, 1, 2, 1, 1, 3, 4, 0, 0, 1),
     ],
+    "orders",
+    "1000 + o_orderkey",
+    "o_orderkey % 23",
+    "least(o_orderkey % 23, o_custkey % 19)",
+    "least(o_custkey % 7, o_orderkey % 9)",
+    "o_orderkey % 9",
+    "(o_orderkey % 9) + (o_custkey % 3)",
+    "least(o_custkey % 5, o_orderkey % 6)",
+    "o_orderkey % 6",
+    "least(o_custkey % 4, o_orderkey % 6)",
+    "o_custkey % 8",
+    "o_orderkey % 11",
+    "o_custkey % 6",
+    "o_orderkey % 4",
+    "o_custkey % 3",
+    "o_orderkey % 2",
 )
 _RATIOS = f"""(SELECT *, CASE WHEN total_claims > 0 THEN cited_claims / total_claims ELSE 1.0::DOUBLE END AS cc, CASE WHEN bib_total <= 0 THEN 1.0::DOUBLE WHEN bib_evaluated > 0 THEN verified_citations / bib_evaluated END AS vr,
    CASE WHEN cited_evaluated > 0 THEN supported_cited_claims / cited_evaluated END AS sr, CASE WHEN cited_evaluated > 0 THEN cited_with_evidence / cited_evaluated END AS ec,
@@ -260,18 +317,25 @@ _RATIOS = f"""(SELECT *, CASE WHEN total_claims > 0 THEN cited_claims / total_cl
         FROM (SELECT *, CAST(greatest(0, least(100, round_even(cc * 25 + vr * 25 + sr * 20 + bc * 10 + ec * 20 - uncited_high * 2 - contradictions * 4 - unresolved_high * 2, 0))) AS BIGINT) * CASE WHEN vr IS NULL OR sr IS NULL OR ec IS NULL THEN NULL ELSE 1 END AS h FROM {_RATIOS})"""
 )
 def health_score(spark: SparkSession, sf: str) -> DataFrame:
-    rows = audit.product_ratios(_COUNTS.frame(spark))
+    rows = audit.product_ratios(_COUNTS.frame(spark, sf))
     code = audit.exit_code(F.lit("check"), F.lit(False), F.col("health_score"))
     return rows.select("doc_id", *(F.round(c, 6).alias(c) for c in audit.RATIOS), "health_score", "health_score_complete", code.alias("exit_code"))
 
 
-_QUEUE = Fixture(
+_QUEUE = Derived(
     "doc_id long, seq long, kind string, summary string, severity string, confidence long",
     [
         (1, 1, "cited", "supported", "high", 90), (1, 2, "cited", "mixed", "low", 40), (1, 3, "cited", "contradicted", "high", 70), (1, 4, "cited", "unresolved", "medium", None), (1, 5, "cited", "unavailable", "low", None),
         (1, 6, "uncited", None, "high", 55), (1, 7, "uncited", None, "high", None), (1, 8, "uncited", None, "medium", 10), (1, 9, "uncited", None, "low", 5), (1, 10, "metadata_conflict", None, "low", 1), (1, 11, "similarity_risk", None, "high", None),
         (1, 12, "bibliography_issue", None, "low", None), (2, 1, "cited", "unresolved", "high", 20), (2, 2, "cited", "unresolved", "high", 10),
     ],
+    "lineitem",
+    "1000 + l_orderkey",
+    "l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey",
+    "CASE l_partkey % 5 WHEN 0 THEN 'uncited' WHEN 1 THEN 'metadata_conflict' WHEN 2 THEN 'similarity_risk' ELSE 'cited' END",
+    "CASE WHEN l_partkey % 5 < 3 THEN NULL WHEN l_suppkey % 5 = 0 THEN 'supported' WHEN l_suppkey % 5 = 1 THEN 'mixed' WHEN l_suppkey % 5 = 2 THEN 'contradicted' WHEN l_suppkey % 5 = 3 THEN 'unresolved' ELSE 'unavailable' END",
+    "CASE (l_partkey + l_linenumber) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END",
+    "CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_partkey % 100 END",
 )
 
 
@@ -282,13 +346,13 @@ _QUEUE = Fixture(
                WHEN kind = 'uncited' THEN CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END ELSE 5 END AS g FROM {_QUEUE.sql}) WHERE g IS NOT NULL"""
 )
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
-    rows = audit.review_queue(_QUEUE.frame(spark))
+    rows = audit.review_queue(_QUEUE.frame(spark, sf))
     return rows.select("doc_id", "seq", "group", "position", audit.priority(F.col("severity"), F.col("confidence")).alias("priority"))
 
 
 # ---- attribution and reduction -------------------------------------------------
 
-_MATCHES = Fixture(
+_MATCHES = Derived(
     "id long, kind string, exact double, lexical double, semantic double, quoted boolean, cited boolean, source_cited boolean, common boolean, bibliography boolean, words long, quote_coverage double",
     [
         (1, "exact", 1.0, 0.9, 0.0, False, False, False, False, False, 30, 0.0), (2, "exact", 1.0, 0.9, 0.0, False, False, False, False, False, 10, 0.0), (3, "exact", 0.96, 0.9, 0.9, True, True, True, False, False, 10, 0.99),
@@ -297,6 +361,19 @@ _MATCHES = Fixture(
         (10, "exact", 1.0, 1.0, 1.0, False, False, False, True, False, 4, 0.0), (11, "exact", 1.0, 1.0, 1.0, False, True, True, False, True, 40, 0.0), (12, "lexical_overlap", 0.5, 0.75, 0.9, False, True, True, False, False, 9, 0.0),
         (13, "lexical_overlap", 0.75, 0.75, 0.2, True, True, True, False, False, 9, 0.5),
     ],
+    "lineitem",
+    "1000 + l_orderkey * 8 + l_linenumber",
+    "CASE l_partkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'near_duplicate' WHEN 2 THEN 'lexical_overlap' ELSE 'semantic_overlap' END",
+    "(l_partkey % 21) / 20.0",
+    "(l_suppkey % 21) / 20.0",
+    "(l_orderkey % 21) / 20.0",
+    "l_quantity > 30",
+    "l_returnflag = 'A'",
+    "l_linestatus = 'O'",
+    "l_partkey % 11 = 0",
+    "l_orderkey % 13 = 0",
+    "6 + l_orderkey % 40",
+    "(l_linenumber % 5) / 4.0",
 )
 _RISK = (
     "CASE WHEN kind = 'semantic_overlap' THEN CASE WHEN cited AND source_cited THEN 'low' ELSE 'medium' END WHEN NOT cited THEN CASE WHEN exact >= 0.95 THEN 'high' ELSE 'medium' END WHEN NOT source_cited THEN 'high'"
@@ -314,7 +391,7 @@ _RISK = (
 )
 def attribution_status(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    rows = _MATCHES.frame(spark).withColumn("a", compare.attribution(c("kind"), c("lexical"), c("quoted"), c("cited"), c("common"), c("bibliography"), c("words")))
+    rows = _MATCHES.frame(spark, sf).withColumn("a", compare.attribution(c("kind"), c("lexical"), c("quoted"), c("cited"), c("common"), c("bibliography"), c("words")))
     risk = compare.attribution_risk(c("kind"), c("exact"), c("cited"), c("source_cited"), c("quote_coverage"))
     return rows.select("id", risk.alias("risk"), "a.status", "a.severity", compare.match_id(c("id"), c("kind"), c("words")).alias("match_id"))
 
@@ -332,7 +409,7 @@ _ALIKE = "lexical >= 0.7 AND (semantic >= 0.85 OR semantic = 0)"
 )
 def fix_plan(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    rows = _MATCHES.frame(spark).withColumn("level", compare.attribution_risk(c("kind"), c("exact"), c("cited"), c("source_cited"), c("quote_coverage")))
+    rows = _MATCHES.frame(spark, sf).withColumn("level", compare.attribution_risk(c("kind"), c("exact"), c("cited"), c("source_cited"), c("quote_coverage")))
     rows = rows.withColumn("r", reduction.risk(c("exact"), c("lexical"), c("semantic"), c("level"), c("quoted"), c("cited"), F.lit(None).cast("boolean"), F.lit(True)))
     return rows.withColumn("p", reduction.fix_plan(c("r.risk_type"), c("r.action"))).select("id", "r.risk_type", "p.action", "p.rewrite_allowed")
 
@@ -351,7 +428,7 @@ def reduction_delta(spark: SparkSession, sf: str) -> DataFrame:
     return reduction.offsets(rows)
 
 
-_REWRITES = Fixture(
+_REWRITES = Derived(
     "id long, original string, candidate string, meaning double, support double, delta double, lexical double, e0 double, e1 double, l0 double, l1 double",
     [
         (1, "Coffee may lower risk by 12 %", "Risk may fall by 12 % with coffee", 0.9, 0.8, 0.4, 0.5, 0.9, 0.5, 0.8, 0.4), (2, "Coffee may lower risk", "Coffee will lower risk", 0.95, 0.9, 0.1, 0.9, 0.9, 0.8, 0.8, 0.8),
@@ -360,6 +437,18 @@ _REWRITES = Fixture(
         (8, "Uyku ile ilişkili bulundu", "Uyku buna neden oldu", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4), (9, "Etkisi olabilir", "Etkisi kesindir", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4),
         (10, "Bazı bitkiler büyür", "Tüm bitkiler büyür değil", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4), (11, "This may help", "This definitely helps", 0.7, 0.7, 0.7, 0.7, 0.5, 0.4, 0.5, 0.4),
     ],
+    "lineitem",
+    "1000 + l_orderkey * 8 + l_linenumber",
+    "CASE l_partkey % 4 WHEN 0 THEN 'Coffee may lower risk' WHEN 1 THEN 'Sleep is linked to mood' WHEN 2 THEN 'Some plants grow' ELSE 'It is associated with age' END",
+    "CASE l_suppkey % 5 WHEN 0 THEN 'Coffee will lower risk' WHEN 1 THEN 'Sleep causes mood' WHEN 2 THEN 'All plants grow' WHEN 3 THEN 'It does not cause age; it is linked' ELSE 'It is as it was' END",
+    "(l_partkey % 11) / 10.0",
+    "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE (l_suppkey % 11) / 10.0 END",
+    "(l_orderkey % 11 - 5) / 10.0",
+    "(l_linenumber % 5) / 4.0",
+    "(l_partkey % 9) / 8.0",
+    "(l_orderkey % 9) / 8.0",
+    "(l_suppkey % 9) / 8.0",
+    "(l_linenumber % 9) / 8.0",
 )
 
 
@@ -378,7 +467,7 @@ _STRONGER = " OR ".join(
 )
 def rewrite_ranking(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    return _REWRITES.frame(spark).select(
+    return _REWRITES.frame(spark, sf).select(
         "id", reduction.candidate_score(c("meaning"), c("support"), c("delta"), c("lexical")).alias("score"), reduction.overlap_reduced((c("e0"), c("l0")), (c("e1"), c("l1"))).alias("reduced"),
         reduction.strengthened(c("original"), c("candidate")).alias("stronger"),
     )

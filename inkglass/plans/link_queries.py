@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkglass.functions import text as T
 from inkglass.operators import audit, links, support
 from inkglass.plans.decision_queries import _CITES, _ENTRIES
-from inkglass.plans.registry import Fixture, query
+from inkglass.plans.registry import Derived, Fixture, query
 from inkglass.plans.text_queries import _HTML, sql_collapse, sql_sentence, sql_sentences, sql_tokens
 from inkglass.session import table
 
@@ -47,12 +47,24 @@ _TOK = "list_filter(string_split(trim(regexp_replace(translate(lower(coalesce({c
         WHERE (c.doi <> '' AND lower(c.doi) = lower(e.doi)) OR c.numbered_ref = e.numbered_ref OR (c.year = e.year AND len(list_intersect({_TOK.format(c="c.authors")}, {_TOK.format(c="e.authors")})) > 0) GROUP BY c.doc_id, c.citation_id"""
 )
 def citation_loose_link(spark: SparkSession, sf: str) -> DataFrame:
-    return links.loose_links(_CITES.frame(spark), _ENTRIES.frame(spark))
+    return links.loose_links(_CITES.frame(spark, sf), _ENTRIES.frame(spark, sf))
 
 
-_CLAIM_CITES = Fixture("claim_id long, citation_id long", [(1, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (5, 1)])
-_CITE_ENTRIES = Fixture("citation_id long, entry_index long", [(1, 0), (2, 1), (3, 2), (4, 3), (6, 5)])
-_STATUSES = Fixture("entry_index long, status string", [(0, "verified"), (1, "partially_verified"), (2, "metadata_mismatch"), (3, "provider_error")])
+_CLAIM_CITES = Derived("claim_id long, citation_id long", [(1, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (5, 1)],
+    "lineitem",
+    "1000 + l_orderkey * 8 + l_linenumber",
+    "1000 + l_orderkey",
+)
+_CITE_ENTRIES = Derived("citation_id long, entry_index long", [(1, 0), (2, 1), (3, 2), (4, 3), (6, 5)],
+    "orders",
+    "CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 1000 + o_orderkey END",
+    "1000 + o_custkey",
+)
+_STATUSES = Derived("entry_index long, status string", [(0, "verified"), (1, "partially_verified"), (2, "metadata_mismatch"), (3, "provider_error")],
+    "customer",
+    "CASE WHEN c_nationkey % 6 = 0 THEN NULL ELSE 1000 + c_custkey END",
+    "CASE c_nationkey % 7 WHEN 0 THEN 'verified' WHEN 1 THEN 'partially_verified' WHEN 2 THEN 'not_found' WHEN 3 THEN 'metadata_mismatch' WHEN 4 THEN 'provider_error' WHEN 5 THEN 'unresolved' END",
+)
 
 
 @query(
@@ -61,7 +73,7 @@ _STATUSES = Fixture("entry_index long, status string", [(0, "verified"), (1, "pa
         FROM {_CLAIM_CITES.sql} LEFT JOIN {_CITE_ENTRIES.sql} USING (citation_id) LEFT JOIN {_STATUSES.sql} USING (entry_index)"""
 )
 def cited_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return links.cited_claims(_CLAIM_CITES.frame(spark), _CITE_ENTRIES.frame(spark), _STATUSES.frame(spark))
+    return links.cited_claims(_CLAIM_CITES.frame(spark, sf), _CITE_ENTRIES.frame(spark, sf), _STATUSES.frame(spark, sf))
 
 
 @query(
@@ -145,12 +157,18 @@ def rewrite_context(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("claim_id", "context", F.array_join(links.invented(F.col("rewrite"), F.col("context")), ",").alias("invented"))
 
 
-_RUNS = Fixture("id long, command string, phase_failed boolean, score long", [(1, "check", False, 80), (2, "check", False, 79), (3, "check", False, None), (4, "check", True, 95), (5, "suggest", False, None), (6, "verify", True, None)])
+_RUNS = Derived("id long, command string, phase_failed boolean, score long", [(1, "check", False, 80), (2, "check", False, 79), (3, "check", False, None), (4, "check", True, 95), (5, "suggest", False, None), (6, "verify", True, None)],
+    "orders",
+    "1000 + o_orderkey",
+    "CASE WHEN o_custkey % 3 = 0 THEN 'report' ELSE 'check' END",
+    "o_orderkey % 7 = 0",
+    "CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_orderkey % 101 END",
+)
 
 
 @query(f"SELECT id, CAST(CASE WHEN phase_failed THEN 3 WHEN command <> 'check' THEN 0 WHEN score IS NULL OR score < 80 THEN 1 ELSE 0 END AS BIGINT) AS code FROM {_RUNS.sql}")
 def exit_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return _RUNS.frame(spark).select("id", audit.exit_code(F.col("command"), F.col("phase_failed"), F.col("score")).alias("code"))
+    return _RUNS.frame(spark, sf).select("id", audit.exit_code(F.col("command"), F.col("phase_failed"), F.col("score")).alias("code"))
 
 
 @query()

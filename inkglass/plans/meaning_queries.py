@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkglass.operators import meaning
-from inkglass.plans.registry import Fixture, literal, query
+from inkglass.plans.registry import Derived, Fixture, literal, query
 from inkglass.session import table
 
 _WORDCH = "\\p{L}\\p{N}_"
@@ -39,7 +39,7 @@ def entailment_screen(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round("s.score", 9).alias("score"), "s.verdict")
 
 
-_LABELS = Fixture(
+_LABELS = Derived(
     "id long, raw string",
     [
         (i, x) for i, x in enumerate([
@@ -47,6 +47,9 @@ _LABELS = Fixture(
             "NOT_ENTAILMENT", "label_1 contradictory", "nonentailment",
         ])
     ],
+    "events",
+    "1000 + event_id",
+    "CASE event_id % 3 WHEN 0 THEN 'LABEL_' || (user_id % 3) || ' ' ELSE '' END || CASE user_id % 4 WHEN 0 THEN 'Not_' WHEN 1 THEN 'non-' ELSE '' END || CASE event_id % 5 WHEN 0 THEN 'ENTAILMENT' WHEN 1 THEN 'contradiction' WHEN 2 THEN 'Neutral' WHEN 3 THEN 'entailed' ELSE event_type END",
 )
 
 
@@ -55,7 +58,7 @@ _LABELS = Fixture(
         SELECT id, CASE WHEN contains(s, 'contradict') THEN 'contradicted' WHEN contains(s, 'neutral') OR NOT contains(s, 'entail') OR regexp_matches(s, '\\b(non|not|no|without)\\b.*\\bentail') THEN 'unknown' ELSE 'meaning_preserved' END AS verdict FROM n"""
 )
 def model_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _LABELS.frame(spark).select("id", meaning.model_label(F.col("raw")).alias("verdict"))
+    return _LABELS.frame(spark, sf).select("id", meaning.model_label(F.col("raw")).alias("verdict"))
 
 
 _FORWARD = {"A": "meaning_preserved", "N": "partially_supported", "R": "contradicted"}

@@ -9,7 +9,7 @@ from inkglass.functions import arrow
 from inkglass.functions import text as T
 from inkglass.operators import compare, evaluation, index, intervals, retrieval, review
 from inkglass.plans import overlap, parse
-from inkglass.plans.registry import Fixture, literal, query
+from inkglass.plans.registry import Derived, Fixture, literal, query
 from inkglass.plans.text_queries import sql_fold, sql_sentence, sql_sentences, sql_words
 from inkglass.session import scratch_dir, table
 
@@ -212,9 +212,14 @@ def index_update(spark: SparkSession, sf: str) -> DataFrame:
     return terms.unionByName(prints)
 
 
-_SCORES = Fixture(
+_SCORES = Derived(
     "id long, exact double, lexical double, semantic double",
     [(1, 0.97, 0.2, 0.1), (2, 0.95, 0.0, 0.0), (3, 0.72, 0.9, -0.2), (4, 0.2, 0.41, 0.9), (5, 0.1, 0.39, 0.83), (6, 0.0, 0.0, 0.81), (7, 0.6999, 0.4, 0.5), (8, 0.0, 0.1, -0.9)],
+    "lineitem",
+    "1000 + l_orderkey * 8 + l_linenumber",
+    "(l_partkey % 41) / 40.0",
+    "(l_suppkey % 41) / 40.0",
+    "(l_orderkey % 41 - 10) / 30.0",
 )
 
 
@@ -226,7 +231,7 @@ _SCORES = Fixture(
 def match_types(spark: SparkSession, sf: str) -> DataFrame:
     e, x, s = F.col("exact"), F.col("lexical"), F.col("semantic")
     limits = (compare.REVIEW_EXACT, compare.REVIEW_NEAR, compare.REVIEW_LEXICAL)
-    return _SCORES.frame(spark).select(
+    return _SCORES.frame(spark, sf).select(
         "id", compare.match_type(e, x, s, 0.82).alias("match_type"), compare.match_type(e, x, s, compare.REVIEW_SEMANTIC, limits).alias("review_type"),
         F.round(compare.combined_score(e, x), 6).alias("combined"), F.round(compare.ranking_score(e, x, s), 6).alias("ranking"),
     )

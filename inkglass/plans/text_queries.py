@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkglass.functions import claims as C
 from inkglass.functions import text as T
 from inkglass.operators import corpus, support
-from inkglass.plans.registry import Fixture, literal, query
+from inkglass.plans.registry import Derived, Fixture, literal, query
 from inkglass.session import table
 
 
@@ -187,7 +187,7 @@ def claim_texts(spark: SparkSession, sf: str) -> DataFrame:
     return _claim_rows(spark, sf).select("conv_id", "turn", F.col("i").cast("long").alias("sentence_index"), T.cap_words(s).alias("claim"), T.search_query(s).alias("search_query"))
 
 
-_SENTENCES = Fixture(
+_SENTENCES = Derived(
     "id long, sentence string",
     [
         (1, "Smoking causes lung cancer in adults."), (2, "The rate was higher than the control group."), (3, "About 45 percent of patients improved."), (4, 'He said "all swans are white" in the talk.'),
@@ -195,6 +195,9 @@ _SENTENCES = Fixture(
         (9, "Bu yöntem daha yüksek doğruluk verir."), (10, "Yağış sel baskınına neden olmaktadır ve artar."), (11, "We decided to drop the last column."), (12, "Please note that results vary by site."),
         (13, "Growth reached 3.5 million units over 2 years."), (14, "It correlates with income and is associated with age."), (15, "SHOUTED HEADINGS ARE NOT CLAIMS AT ALL"), (16, "# A heading is no claim either way"),
     ],
+    "conversations",
+    "1000 + conv_id * 1000 + turn",
+    "text",
 )
 
 
@@ -203,15 +206,18 @@ _SENTENCES = Fixture(
 )
 def claim_signals(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("sentence")
-    return _SENTENCES.frame(spark).select("id", C.claim_type(s).alias("claim_type"), (~C.not_a_claim(s)).alias("is_claim"))
+    return _SENTENCES.frame(spark, sf).select("id", C.claim_type(s).alias("claim_type"), (~C.not_a_claim(s)).alias("is_claim"))
 
 
-_IDS = Fixture(
+_IDS = Derived(
     "id long, raw string",
     [
         (1, "doi: 10.1000/XYZ-123."), (2, "https://doi.org/10.5555/abc(12)"), (3, "arXiv:2101.01234v2"), (4, "https://arxiv.org/pdf/1706.03762.pdf"), (5, "hep-th/9901001"), (6, "no identifier"), (7, "10.12/short"),
         (8, "see 10.1016/j.cell.2020.01.001]; and more"), (9, None),
     ],
+    "pages",
+    "1000 + page_id",
+    "CASE page_id % 6 WHEN 0 THEN 'doi: 10.1000/P-' || page_id || '.' WHEN 1 THEN 'https://arxiv.org/pdf/17' || (10 + page_id % 80) || '.0' || (1000 + page_id % 9000) || '.pdf' WHEN 2 THEN url WHEN 3 THEN 'See https://doi.org/10.5555/(' || page_id || ')]' WHEN 4 THEN 'hep-th/' || (1000000 + page_id) ELSE 'arXiv:2101.' || (10000 + page_id % 9000) || 'v2' END",
 )
 
 
@@ -222,7 +228,7 @@ _IDS = Fixture(
         FROM {_IDS.sql}"""
 )
 def identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    return _IDS.frame(spark).select("id", T.normalize_doi(F.col("raw")).alias("doi"), T.normalize_arxiv(F.col("raw")).alias("arxiv"))
+    return _IDS.frame(spark, sf).select("id", T.normalize_doi(F.col("raw")).alias("doi"), T.normalize_arxiv(F.col("raw")).alias("arxiv"))
 
 
 @query("SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name || ': ' || p_brand || '!'), '[a-z0-9]+'), ' ') AS title FROM part")
@@ -230,9 +236,12 @@ def title_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", T.normalize_title(F.concat("p_name", F.lit(": "), "p_brand", F.lit("!"))).alias("title"))
 
 
-_LICENSES = Fixture(
+_LICENSES = Derived(
     "id long, license_text string",
     [(1, "CC-BY"), (2, " cc_by-sa-4.0 "), (3, "Public Domain"), (4, "All Rights Reserved"), (5, "GPL"), (6, None), (7, "CC BY"), (8, "cc-by-nd"), (9, "OA"), (10, "CC0-1.0"), (11, "cc-by-nc-sa"), (12, "")],
+    "documents",
+    "1000 + doc_id",
+    "CASE doc_id % 9 WHEN 0 THEN 'CC-BY' WHEN 1 THEN ' cc_by-nc ' WHEN 2 THEN 'PD' WHEN 3 THEN lang WHEN 4 THEN 'Open Access' WHEN 5 THEN 'CC0-1.0' WHEN 6 THEN source WHEN 7 THEN 'cc-by-nd-4.0' END",
 )
 _ALIAS_SQL = ", ".join(f"({literal(a)}, {literal(n)})" for a, n in sorted({**corpus.ALIASES, **{e.lower(): e for e in corpus.ELEMENTS}, **{f"{e.lower()}-4.0": e for e in corpus.ELEMENTS}}.items()))
 
@@ -242,7 +251,7 @@ _ALIAS_SQL = ", ".join(f"({literal(a)}, {literal(n)})" for a, n in sorted({**cor
         FROM (SELECT id, coalesce(l, 'unknown') AS license FROM {_LICENSES.sql} AS f LEFT JOIN (VALUES {_ALIAS_SQL}) AS a(k, l) ON replace(lower(trim(license_text)), '_', '-') = k)"""
 )
 def license_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.with_license(_LICENSES.frame(spark)).drop("license_text")
+    return corpus.with_license(_LICENSES.frame(spark, sf)).drop("license_text")
 
 
 @query(
@@ -254,12 +263,16 @@ def running_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("i").cast("long").alias("sentence_index"), corpus.cursor(F.length("s"), ["doc_id"], ["i"]).alias("char_offset"))
 
 
-_PAIRS = Fixture(
+_PAIRS = Derived(
     "id long, claim string, evidence string",
     [
         (1, "Coffee lowers the risk of stroke", "Coffee did not lower the risk of stroke in this cohort"), (2, "Coffee lowers the risk of stroke", "Coffee lowers the risk of stroke among adults"),
         (3, "Coffee lowers the risk of stroke", "Tea is grown in hills without shade"), (4, "Coffee lowers the risk of stroke", "Bridges carry the trains"), (5, "", "Nothing to compare"), (6, "Alpha beta gamma delta", "alpha beta epsilon"),
     ],
+    "orders",
+    "1000 + o_orderkey",
+    "'Coffee lowers the risk of stroke ' || (o_custkey % 3)",
+    "CASE o_orderkey % 4 WHEN 0 THEN 'Coffee did not lower the risk of stroke ' || (o_custkey % 2) WHEN 1 THEN 'Coffee lowers the risk ' || (o_custkey % 3) WHEN 2 THEN 'Tea has no effect on risk' ELSE 'Bridges carry trains' END",
 )
 _N = f"regexp_matches(evidence, {literal(C.NEGATION)})"
 
@@ -272,4 +285,4 @@ _N = f"regexp_matches(evidence, {literal(C.NEGATION)})"
                      len(list_intersect(list_distinct({sql_tokens("claim")}), list_distinct({sql_tokens("evidence")}))) / nullif(len(list_distinct({sql_tokens("claim")})), 0) AS share FROM {_PAIRS.sql})"""
 )
 def evidence_negation(spark: SparkSession, sf: str) -> DataFrame:
-    return _PAIRS.frame(spark).select("id", C.contradiction_risk(F.col("claim"), F.col("evidence")).alias("r")).select("id", "r.verdict", "r.confidence")
+    return _PAIRS.frame(spark, sf).select("id", C.contradiction_risk(F.col("claim"), F.col("evidence")).alias("r")).select("id", "r.verdict", "r.confidence")
