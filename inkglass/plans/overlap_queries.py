@@ -81,17 +81,8 @@ def coverage_pct(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id, CAST(instr(lower(d.text), lower(b.text)) - 1 AS BIGINT) AS start FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def verbatim_plants(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole passages in documents, case folded. Pairs meet on the passage's
-    first words among the document's word runs, an equi-join; the substring
-    test comes after."""
-    n = 4
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("p")).withColumn("w", T.tokens_by_space(F.col("p"))).where(F.size("w") > n + 1)
-    b = b.select("item_id", "p", F.array_join(F.slice("w", 2, n), " ").alias("key"))
-    w = d.select("doc_id", T.tokens_by_space(F.col("t")).alias("w")).where(F.size("w") >= n)
-    runs = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.concat_ws(" ", *(F.get("w", i + k) for k in range(n)))))).alias("key"))
-    pairs = runs.join(b, "key").select("doc_id", "item_id", "p").join(d, "doc_id").where(F.contains("t", "p"))
-    return pairs.select("doc_id", "item_id", (F.expr("instr(t, p)") - 1).cast("long").alias("start"))
+    """Whole passages in documents, case folded."""
+    return overlap.verbatim(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 def _sql_grams(c: str) -> str:
@@ -121,10 +112,10 @@ _IDF = f"(SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*)
 _UNIT = f"(SELECT item_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item_id)) AS w FROM {_TF} JOIN {_IDF} USING (term))"
 
 
-@query(f"SELECT item_id, term, round(w, 6) AS w FROM {_UNIT} WHERE w >= 0.1")
+@query(f"SELECT item_id, term, round(w, 6) AS w FROM {_UNIT}")
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     weights, _ = retrieval.tfidf(table(spark, sf, "benchmark"), "item_id")
-    return weights.where("w >= 0.1").select(F.col("entry_id").alias("item_id"), "term", F.round("w", 6).alias("w"))
+    return weights.select(F.col("entry_id").alias("item_id"), "term", F.round("w", 6).alias("w"))
 
 
 _QTF = "(SELECT doc_id, term, count(*) AS tf FROM " + _TERMS.format(id="doc_id", text="text", source="documents") + " GROUP BY ALL)"
