@@ -140,3 +140,29 @@ def test_equal_keys_of_words_are_told_apart(monkeypatch):
     batch = pa.record_batch([pa.array(["en"]), pa.array(["ab cd " * 10 + "ab"])], names=["lang", "text"])
     rows = [r for b in collocations._counts(1)(iter([batch])) for r in b.to_pylist()]
     assert {r["word"]: r["n"] for r in rows} == {"ab": 11, "cd": 10} and len({r["key"] for r in rows}) == 1
+
+
+def test_pipeline_against_plain_stages(spark, small):
+    """What each stage keeps, from plain versions of its rule over the rows it was given."""
+    import corpus_pipeline
+    from test_brute import brute_components
+
+    from inkglass.llm import decontaminate, quality, token_store
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [{r.doc_id: r.text for r in docs.collect()}]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small).cache()
+        rows.append({r.doc_id: r.text for r in docs.collect()})
+    first = spark.read.parquet(f"{small}/documents.parquet")
+    scores = {r.doc_id: r.predicted for r in quality.quality(first, spark.read.parquet(f"{small}/labels.parquet")).collect()}
+    assert set(rows[1]) == {i for i in rows[0] if scores[i] == 1}
+    groups, _ = brute_components(rows[1], 5, 80)
+    assert set(rows[2]) == set(groups.values())
+    leaked = {r.doc_id for r in decontaminate.leaks(first.where(first.doc_id.isin([int(i) for i in rows[2]])), spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
+    assert set(rows[3]) == set(rows[2]) - leaked and set(rows[4]) <= set(rows[3])
+    out = {r.doc_id: r.n_tokens for r in corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()}
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_store.default_tokenizer())
+    assert out == {i: len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows[4].items()}
