@@ -47,7 +47,8 @@ STAGES = [
     ("token-id output", token_output),
 ]
 
-#: The classifiers and the tokenizer have no SQL; tests hold each stage's rows against a plain version of it.
+#: The classifiers and the tokenizer have no SQL. `test_pipeline_against_plain_stages` holds near-dedup and the token counts against brute force, the
+#: quality and decontamination stages against their operators' own scores, and of mixing only that it keeps rows it was given.
 ORACLE_SQL = None
 
 
