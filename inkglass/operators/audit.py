@@ -18,7 +18,9 @@ COSTS = {"uncited_high": 2, "contradictions": 4, "unresolved_high": 2}
 def health_score() -> Column:
     """0 to 100 from the ratios' and findings' columns; null where a ratio is
     unavailable; a ratio outside 0 to 1 is an error."""
-    score = sum((F.col(c) * 100 * (w / 100) for c, w in WEIGHTS.items()), F.lit(0.0)) - sum((F.col(c) * w for c, w in COSTS.items()), F.lit(0))
+    score = sum((F.col(c) * w for c, w in WEIGHTS.items()), F.lit(0.0))  # term by term: another order of sums may end on the other side of a half
+    for c, w in COSTS.items():
+        score = score - F.col(c) * w
     outside = F.lit(False)
     for c in RATIOS:
         outside = outside | F.coalesce(~F.col(c).between(0, 1), F.lit(False))
