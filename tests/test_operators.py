@@ -307,3 +307,18 @@ def test_meaning_without_words(spark):
     assert s[1] == (0.5, "contradicted") and s[2] == (0.0, "unknown") and s[3] == (0.0, "unknown")
     a = {r.id: r.a for r in df.select("id", meaning.new_assertions(F.col("p"), F.col("h")).alias("a")).collect()}
     assert a[4] == ["C and c", "C", "c. C"] and a[5] == ["c"] and a[6] == ["Öandé"] and a[3] == []
+
+
+def test_best_overlaps_meet_where_the_query_is(spark):
+    from inkglass.operators import retrieval
+    from inkglass.plans import overlap
+
+    docs = spark.createDataFrame([(1, "The quick brown fox jumps. Over the lazy dog it went. The quick brown fox."), (2, ""), (3, None), (4, "Nothing like it, zzzz qqqq.")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "The quick brown fox jumped. A lazy dog it was."), (9, "Over the lazy dog it went.")], "item_id long, text string")
+    got = overlap.best_overlap(docs, items)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = overlap.sentence_overlap(docs, items).groupBy("doc_id", "item_id").agg({"overlap": "max"}).collect()
+    assert sorted((r.doc_id, r.item_id, round(r.overlap, 12)) for r in got.collect()) == sorted((r[0], r[1], round(r[2], 12)) for r in want)
+    weights, idf = retrieval.tfidf(items, "item_id")
+    plan = retrieval.tfidf_cosine(docs.withColumnRenamed("doc_id", "query_id"), weights, idf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and "query_id#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(query_id" in x and "term" in x]
