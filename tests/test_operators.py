@@ -322,3 +322,25 @@ def test_best_overlaps_meet_where_the_query_is(spark):
     weights, idf = retrieval.tfidf(items, "item_id")
     plan = retrieval.tfidf_cosine(docs.withColumnRenamed("doc_id", "query_id"), weights, idf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" in plan and "query_id#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(query_id" in x and "term" in x]
+
+
+def test_spans_index_terms_and_word_sets_move_little(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from inkglass.operators import index, retrieval
+    from inkglass.plans import overlap
+
+    docs = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog.")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "A quick brown fox jumped.")], "item_id long, text string")
+    plan = overlap.spans(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "end#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    words = spark.createDataFrame([(["b", "a", "b"],), ([],), (["c"],)], "w array<string>").select(index._counted(F.col("w")).alias("t"))
+    assert [[tuple(x) for x in r.t or []] for r in words.collect()] == [[("a", 1), ("b", 2)], [], [("c", 1)]]
+    rng = random.Random(3)
+    sets = {i: rng.sample(range(12), rng.randint(1, 9)) for i in range(80)}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.6}
+    got = retrieval.similar_sets(spark.createDataFrame([(i, v) for i, v in sets.items()], "id long, hashes array<long>"), 0.6)
+    assert {(r.a, r.b) for r in got.collect()} == want and got.count() == len(want)
