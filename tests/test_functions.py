@@ -1,5 +1,7 @@
 import random
+import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkglass.functions import arrow
@@ -123,3 +125,34 @@ def test_passage_column_and_places(spark):
     assert [(x.text, x.start, x.end) for x in rows[1].s] == [("aa\n\n", 0, 4), ("bbb", 4, 7)]
     assert rows[1].at == "Cc «d “e” f» g." and [(x.start, x.end) for x in rows[1].q] == [(13, 16), (10, 19)] and not rows[1].in_q
     assert rows[2].at == "" and [(x.text, x.start, x.end) for x in rows[2].s] == [("", 0, 0)] and rows[3].in_q
+
+
+def test_python_columns_work_in_slices(spark):
+    @arrow._scalar("struct<rows:int,most:int>", pa.struct([("rows", pa.int32()), ("most", pa.int32())]))
+    def seen(c):
+        return [{"rows": len(c), "most": sum(map(len, c))}] * len(c)
+
+    rows = spark.range(6000).coalesce(1).select("id", F.when(F.col("id") % 3000 == 7, F.repeat(F.lit("y"), 3 << 20)).otherwise(F.repeat(F.lit("x"), 2000)).alias("t"))
+    got = rows.select("id", seen(F.col("t")).alias("s")).select("id", "s.*").collect()
+    assert [r.id for r in got] == list(range(6000)) and max(r.rows for r in got) <= 1024
+    assert max(r.most for r in got if r.id % 3000 != 7) <= 1 << 20 and {r.rows for r in got if r.id % 3000 == 7} == {1}
+    assert spark.range(0).select(seen(F.col("id").cast("string"))).collect() == []
+
+
+def test_sentence_ends_against_the_plain_rule():
+    def plain(paragraph):
+        text, cuts = paragraph.strip(), []
+        for m in re.finditer(r"(?<=[.!?])\s+(?=[A-ZÇĞİÖŞÜ])", text):
+            mark = m.start() - 1
+            run = re.search(r"\S+$", text[max(0, mark - 200) : mark].rstrip())
+            word = run[0].lower() if run else ""
+            if word not in arrow.ABBREVIATIONS and word + "." not in arrow.ABBREVIATIONS and not arrow.PROTECTED.search(text[max(0, mark - 20) : mark + 1]):
+                cuts.append(m.span())
+        edges = zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(text)], strict=True)
+        return [(text[s:e], s, e) for s, e in edges if s < e]
+
+    rnd = random.Random(11)
+    parts = ["A", "b", "Ç", "İ", ".", "!", "?", " ", " ", "\n", " ", "\x1c", "10.", "3,", "4", "...", "http://", "FTP://", "Prof. Dr.", "prof. dR.", "vb", "Doç", "ibid.", "١", "x" * 210]
+    for _ in range(20000):
+        text = "".join(rnd.choices(parts, k=rnd.randrange(14)))
+        assert arrow.split_protected(text) == plain(text), text
