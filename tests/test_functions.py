@@ -156,3 +156,12 @@ def test_sentence_ends_against_the_plain_rule():
     for _ in range(20000):
         text = "".join(rnd.choices(parts, k=rnd.randrange(14)))
         assert arrow.split_protected(text) == plain(text), text
+
+
+def test_turkish_letters_are_counted_by_what_goes(spark):
+    rnd = random.Random(3)
+    texts = [None, "", "plain ascii", "ç", "😀ş" + "a" * 300, *("".join(rnd.choices("abcç ğİıöşü😀é", weights=[200, 200, 200, 1, 50, 1, 1, 1, 1, 1, 1, 3, 9], k=rnd.randrange(900))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for r in df.select("t", T.language(F.col("t")).alias("l")).collect():
+        assert r.l == ("tr" if sum(x in T.TURKISH_LETTERS for x in r.t or "") / max(len(r.t or ""), 1) > 0.005 else "en")
+    assert "[^" not in str(T.is_turkish(F.col("t")))  # all other characters were replaced one by one
