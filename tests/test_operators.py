@@ -344,3 +344,26 @@ def test_spans_index_terms_and_word_sets_move_little(spark):
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.6}
     got = retrieval.similar_sets(spark.createDataFrame([(i, v) for i, v in sets.items()], "id long, hashes array<long>"), 0.6)
     assert {(r.a, r.b) for r in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("cells", [3, 2_000_000])
+def test_overlaps_where_fingerprints_are_made(monkeypatch, cells):
+    import random
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd, hasher = random.Random(cells), arrow._hash("md5")
+    texts = ["".join(rnd.choices("ab ", k=rnd.randrange(0, 25))) for _ in range(300)]
+    sets = [set(arrow.fingerprints([t], hasher)[0].view(np.int64).tolist()) for t in texts]
+    kept = [k for k in range(0, 300, 4) if sets[k]]
+    hashes = np.array([h for k in kept for h in sorted(sets[k])], np.int64)
+    entry = np.repeat(np.arange(len(kept)), [len(sets[k]) for k in kept])
+    by = np.argsort(hashes, kind="stable")
+    index = (pa.array(kept), np.array([len(sets[k]) for k in kept]), entry[by], *np.unique(hashes[by], return_index=True, return_counts=True))
+    monkeypatch.setattr(retrieval, "_CELLS", cells)
+    batches = [pa.record_batch([pa.array(range(300)), pa.array(texts)], names=["query_id", "text"])]
+    got = sorted(tuple(r.values()) for b in retrieval._near(SimpleNamespace(value=index), 0.3, "md5")(iter(batches)) for r in b.to_pylist())
+    pairs = [(q, e, len(sets[q] & sets[e]), len(sets[q] & sets[e]) / len(sets[q] | sets[e])) for q in range(300) for e in kept if sets[q]]
+    assert got == sorted(p for p in pairs if p[3] >= 0.3)
