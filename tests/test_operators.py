@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkglass.functions import arrow, claims
-from inkglass.operators import audit, corpus, evaluation, intervals, reduction, retrieval, review, support, verification
+from inkglass.operators import audit, bibliography, corpus, evaluation, intervals, reduction, retrieval, review, support, verification
 from inkglass.plans import overlap
 from inkglass.sources import files, providers, sinks
 
@@ -367,3 +367,13 @@ def test_overlaps_where_fingerprints_are_made(monkeypatch, cells):
     got = sorted(tuple(r.values()) for b in retrieval._near(SimpleNamespace(value=index), 0.3, "md5")(iter(batches)) for r in b.to_pylist())
     pairs = [(q, e, len(sets[q] & sets[e]), len(sets[q] & sets[e]) / len(sets[q] | sets[e])) for q in range(300) for e in kept if sets[q]]
     assert got == sorted(p for p in pairs if p[3] >= 0.3)
+
+
+def test_bibliography_issues_in_one_grouping(spark, capsys):
+    cites = spark.createDataFrame([(1, "Smith", 2019, False), (1, "Smith & Lee", 2019, False), (1, "Doe", None, True), (1, "Roe", None, False), (2, None, 2001, False), (2, "Poe", 2001, False)], "doc_id long, authors string, year long, no_date boolean")
+    entries = spark.createDataFrame([(1, "Smith, J.", 2019, False, "x"), (1, "Doe, A.", None, True, "x"), (1, "Poe, E.", 2001, False, None), (2, "", 2001, False, "x"), (2, "Poe, E.", 2002, False, "y")], "doc_id long, authors string, year long, no_date boolean, doi string")
+    out = bibliography.issues(cites, entries)
+    expected = [(1, "duplicate_doi", "x", None, 2), (1, "listed_not_cited", "poe", 2001, 1), (2, "cited_not_listed", "poe", 2001, 1), (2, "listed_not_cited", "poe", 2002, 1)]
+    assert sorted(map(tuple, out.collect())) == expected
+    out.explain()
+    assert "Join" not in capsys.readouterr().out
