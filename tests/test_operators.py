@@ -278,6 +278,36 @@ def test_nearest_vectors(spark, monkeypatch):
         retrieval.nearest(q, spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), 2).collect()
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_nearest_holds_little(copies):
+    """What a task holds doesn't grow with the number of queries, nor with ties: each is met by thousands of copies."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, d, k = 12_000, 8, 3
+    v = np.random.default_rng(2).normal(size=(n, d)).astype(np.float32)
+    v[: n // 2 if copies else 0] = v[0]
+    rows = pa.record_batch([pa.array(np.arange(n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(v.ravel()))], names=["vec_id", "embedding"])
+    ids = np.arange(0, n, 6)
+    q = retrieval._unit_rows(rows.column(1).take(pa.array(ids)), None)
+    tracemalloc.start()
+    (got,) = retrieval._nearest(SimpleNamespace(value=(ids, q)), k)(iter([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    unit = retrieval._unit_rows(rows.column(1), None)
+    found = {}
+    for i, j in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        found.setdefault(i, []).append(j)
+    for i in (0, 6, 2994, 5994, 6000, 11994):
+        cos = np.round(unit @ unit[i], 9)
+        cos[i] = -2
+        assert found[i] == sorted(np.lexsort((np.arange(n), -cos))[:k].tolist(), key=lambda j: (-cos[j], j)), i
+
+
 def test_conflict_notes(spark):
     from inkglass.operators import verification
 
