@@ -407,3 +407,23 @@ def test_bibliography_issues_in_one_grouping(spark, capsys):
     assert sorted(map(tuple, out.collect())) == expected
     out.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("ranked, block", [(500_000, 2_000_000), (3, 2_000_000), (500_000, 60), (3, 60)])
+def test_similar_sets_by_blocks(spark, monkeypatch, ranked, block):
+    """Words without a rank, blocks of sets, one size in parts; and no pair moves but those that are found."""
+    import itertools
+    import random
+
+    rng = random.Random(block + ranked)
+    words = [f"w{i}" for i in range(40)]
+    sets = {i: rng.sample(words, rng.randint(1, 20)) for i in range(60)}
+    sets |= {100 + i: [*sets[i], f"own{i}"] for i in range(30)} | {200 + i: [f"one{i}"] for i in range(4)} | {300: ["one0"], 301: []}
+    monkeypatch.setattr(retrieval, "COMMON_WORDS", ranked)
+    monkeypatch.setattr(retrieval, "BLOCK_WORDS", block)
+    df = spark.createDataFrame(list(sets.items()), "id long, hashes array<string>")
+    got = retrieval.similar_sets(df, 0.6)
+    want = {(a, b): len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b]}
+    rows = [((r.a, r.b), r.overlap) for r in got.collect()]
+    assert sorted(rows) == sorted((k, v) for k, v in want.items() if v >= 0.6)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
